@@ -36,6 +36,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.covertree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.line_rules import line_rules
 
