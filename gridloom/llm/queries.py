@@ -48,6 +48,14 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.unigram import token_counts, zipf_vocabulary
+
+    return token_counts(table(spark, sf_dir, "documents"), zipf_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.langid import HELD_OUT, identify, learn
 
