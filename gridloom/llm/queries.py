@@ -64,5 +64,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, net, passed={"held_out": F.expr(HELD_OUT)})
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.licenses import learn, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, learn(docs))
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.shards import write_shards
+
+    return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
