@@ -7,8 +7,8 @@
    its words ``max_repeat`` times; the n-th repetition costs n - 1 a word, so repetition
    is spread before it is deepened (a convex cost, as parallel arcs).
 4. A pattern that has to give F words with n whole copies in F gives every document n
-   times; the rest are seeded documents: the first by a keyed hash, then those of the
-   next that still fit.  What is missing then is less than the smallest of these.
+   times; the rest are seeded documents: the first by a keyed hash, and of those around
+   the last (CANDIDATES or more on either side) the ones that come nearest to the sum.
 
 Only sums by pattern, histograms of the hash and at most a few thousand candidate rows
 for the last choice come to the driver; their number is bounded by MAX_PATTERNS and
@@ -35,7 +35,7 @@ from gridloom.llm.common import settle
 MAX_PATTERNS = 100_000
 #: Cells of the hash histograms, over all patterns.
 HISTOGRAM = 1 << 17
-#: Documents a pattern's last choice is made from.
+#: Documents on either side of the last that its pattern's final choice is made from.
 CANDIDATES = 64
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -216,14 +216,46 @@ def _choose(rows: DataFrame, rest: dict[str, int], mix: Mix) -> None:
             while to < len(cut) and n < CANDIDATES:
                 n += cut[to][2]
                 to += 1
+            n = 0
+            while k and n < CANDIDATES:  # the last that fit may be chosen differently
+                k -= 1
+                n += cut[k][2]
+                missing[p] += cut[k][1]
+            mix.below[p] = base[p] = cut[k][0] << bits
             spans[p] = (base[p], (cut[to - 1][0] + 1) << bits)
         open_ = still
     picked = _only(rows, spans).groupBy("pattern", "key").agg(F.sum("size").alias("size")).collect() if spans else []
+    last: dict[str, list[tuple[int, int]]] = {}
     for r in sorted(picked, key=lambda r: (r["pattern"], r["key"])):
-        p, n = r["pattern"], int(r["size"])
-        if 0 < n <= missing[p]:
-            missing[p] -= n
-            mix.chosen.setdefault(p, []).append(int(r["key"]))
+        if r["size"]:
+            last.setdefault(r["pattern"], []).append((int(r["key"]), int(r["size"])))
+    mix.chosen = {p: nearest_sum(own, missing[p]) for p, own in last.items()}
+
+
+#: Words up to which the last documents are chosen by all their sums.
+EXACT = 1 << 20
+
+
+def nearest_sum(candidates: list[tuple[int, int]], missing: int) -> list[int]:
+    """Keys of candidates (key, size) whose sizes sum to as near to missing as any do; by first fit while more than EXACT words are missing."""
+    out = []
+    while candidates and missing > EXACT:
+        (key, size), *candidates = candidates
+        if size <= missing:
+            out.append(key)
+            missing -= size
+    reach, mask = [1], (1 << (2 * missing + 1)) - 1  # bit s: some of the first k candidates sum to s
+    for _, size in candidates:
+        reach.append((reach[-1] | reach[-1] << size) & mask if size <= 2 * missing else reach[-1])
+    below = (reach[-1] & ((1 << (missing + 1)) - 1)).bit_length() - 1
+    above = reach[-1] >> missing
+    above = missing + (above & -above).bit_length() - 1 if above else below
+    s = below if missing - below <= above - missing or above < missing else above
+    for k in range(len(candidates), 0, -1):
+        if not reach[k - 1] >> s & 1:
+            out.append(candidates[k - 1][0])
+            s -= candidates[k - 1][1]
+    return out
 
 
 def _lookup(rows: DataFrame, values: list[tuple], schema: str) -> DataFrame:
