@@ -7,8 +7,8 @@ the best-scored pair first, leftmost on ties, is then merging the lowest rank fi
 the piece numbers are the ranks.
 
 A text is cut into pre-tokens by PATTERN.  A pre-token that is itself in the vocabulary
-is one token; any other is encoded by sentencepiece.  Pre-tokens repeat, so a task keeps
-those it has met (at most CACHED, then it starts anew).  Decoding is by inverse mapping:
+is one token; any other is encoded by sentencepiece.  Pre-tokens repeat, so a worker keeps
+those it has met, by a 64-bit hash (at most CACHED, then it starts anew).  Decoding is by inverse mapping:
 the ids' bytes, one after the other.
 
 Defined results: a null text counts as empty, which has no tokens and decodes to no
@@ -28,8 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CACHED = 1 << 17
+from gridloom.llm import textvec as V
+from gridloom.llm.pretoken import pre_tokens
+
+CACHED = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -84,69 +88,111 @@ def model_proto(vocabulary: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices of pool, one after the other."""
+    ends = np.cumsum(size)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+class _Table:
+    """Slices of one growing pool."""
+
+    def __init__(self, kind) -> None:
+        self.pool, self.used = np.zeros(1 << 16, kind), 0
+        self.start, self.size, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def extend(self, parts: list) -> None:
+        size = np.array([len(p) for p in parts], np.int64)
+        total, n = int(size.sum()), self.n + len(parts)
+        while len(self.pool) < self.used + total:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.start) < n:
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.pool[self.used : self.used + total] = [k for p in parts for k in p]
+        self.start[self.n : n] = self.used + np.cumsum(size) - size
+        self.size[self.n : n] = size
+        self.used, self.n = self.used + total, n
+
+    def take(self, which: np.ndarray) -> np.ndarray:
+        return _gather(self.pool, self.start[which], self.size[which])
+
+
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one Python worker."""
 
     def __init__(self, model: bytes, pattern: str) -> None:
-        import regex
         import sentencepiece
 
-        self.split = regex.compile(pattern).findall
+        self.pattern = pattern
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         back = {c: b for b, c in enumerate(_CHARS)}
         n = self.pieces.vocab_size() - 1
-        self.tokens = [bytes(back[c] for c in self.pieces.id_to_piece(k)) for k in range(n)]
-        self.known = {t: k for k, t in enumerate(self.tokens)}
-        self.length = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
-        self.pool = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pre_tokens: set[str]) -> None:
-        """Put the ids of pre-tokens that haven't been met into the cache."""
-        new = list(pre_tokens.difference(self.cache))
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(pre_tokens)
+        tokens = [bytes(back[c] for c in self.pieces.id_to_piece(k)) for k in range(n)]
+        self.known = {t: k for k, t in enumerate(tokens)}
+        self.bytes, self.decimals = _Table(np.uint8), _Table(np.uint8)
+        self.bytes.extend(tokens)
+        self.decimals.extend([b"%d " % k for k in range(n)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[int, int] = {}
+        self.ids = _Table(np.int32)
+
+    def _learn(self, keys: list[int], raw: list[bytes]) -> None:
+        """Put the ids of pre-tokens that haven't been met into the table."""
+        out: list = [None] * len(raw)
         hard = []
-        for text in new:
-            k = self.known.get(text.encode())
-            if k is None:
-                hard.append(text)
+        for k, token in enumerate(raw):
+            rank = self.known.get(token)
+            if rank is None:
+                hard.append(k)
             else:
-                self.cache[text] = (k,)
-        for text, ids in zip(hard, self.pieces.encode([as_piece(t.encode()) for t in hard], num_threads=1) if hard else [], strict=True):
-            self.cache[text] = tuple(ids)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each text."""
-        parts = [self.split(t) for t in texts]
-        self.learn(set().union(*parts))
-        cache = self.cache
-        for part in parts:
-            ids = [k for p in part for k in cache[p]]
-            yield np.array(ids, dtype=np.int64)
+                out[k] = (rank,)
+        got = self.pieces.encode([as_piece(raw[k]) for k in hard], num_threads=1) if hard else []
+        for k, ids in zip(hard, got, strict=True):
+            out[k] = ids
+        self.place.update(zip(keys, range(self.ids.n, self.ids.n + len(keys)), strict=True))
+        self.ids.extend(out)
+
+    def encode(self, block: V.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block's texts, and where each text's start among them (with the end)."""
+        spans = pre_tokens(block, self.pattern)
+        keys = V.span_hashes(block.data, spans.start, spans.end)
+        some, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        names = some.tolist()
+        new = [k for k, h in enumerate(names) if h not in self.place]
+        if self.ids.n + len(new) > CACHED:
+            self.forget()
+            new = list(range(len(names)))
+        data = block.data.tobytes()
+        self._learn([names[k] for k in new], [data[spans.start[first[k]] : spans.end[first[k]]] for k in new])
+        at = np.array([self.place[h] for h in names], np.int64)[which]
+        n = self.ids.size[at]
+        ends = np.cumsum(np.bincount(spans.doc, weights=n, minlength=block.rows)).astype(np.int64)
+        return self.ids.take(at), np.concatenate([[0], ends])
 
     def decode(self, ids: np.ndarray) -> bytes:
-        n = self.length[ids]
-        ends = np.cumsum(n)
-        if not len(ids):
-            return b""
-        at = np.arange(ends[-1]) + np.repeat(self.start[ids] - (ends - n), n)
-        return self.pool[at].tobytes()
-
-
-def groups(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in turn, about a megabyte at a time."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        return self.bytes.take(ids).tobytes()
+
+    def digests(self, ids: np.ndarray, cut: np.ndarray) -> tuple[list[str], list[str]]:
+        """For each text, the SHA-256 of its ids as decimals with blanks between, and of its decoded bytes."""
+        out = []
+        for table, tail in ((self.decimals, 1), (self.bytes, 0)):
+            ends = np.concatenate([[0], np.cumsum(table.size[ids])])[cut]
+            raw = memoryview(table.take(ids).tobytes())
+            out.append([hashlib.sha256(raw[a : max(a, b - tail)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        return out[0], out[1]
+
+
+_codecs: dict[int, Codec] = {}
+
+
+def codec(model: bytes, pattern: str) -> Codec:
+    """This worker's codec for a model and a pattern; one is kept from task to task."""
+    if (key := hash((model, pattern))) not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(model, pattern)
+    return _codecs[key]
 
 
 def shared_model(df: DataFrame, path: str):
@@ -159,24 +205,15 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     model = shared_model(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model.value, pattern)
+        own = codec(model.value, pattern)
         for batch in batches:
-            at, texts = 0, batch.column(0).fill_null("").to_pylist()
-            for group in groups(texts):
-                counts, names, back, all_ids = [], [], [], []
-                for ids in codec.encode(group):
-                    counts.append(len(ids))
-                    names.append(hashlib.sha256(" ".join(map(str, ids.tolist())).encode()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids.astype(np.int32))
-                columns = [c.slice(at, len(group)) for c in batch.columns[1:]] + [pa.array(counts, pa.int64()), pa.array(names), pa.array(back)]
+            for block in V.blocks(batch.column(0)):
+                ids, cut = own.encode(block)
+                columns = [c.slice(block.first, block.rows) for c in batch.columns[1:]]
+                columns += [pa.array(np.diff(cut)), *map(pa.array, own.digests(ids, cut))]
                 if keep_ids:
-                    columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids)))
                 yield pa.RecordBatch.from_arrays(columns, names=out.fieldNames())
-                at += len(group)
-
-    from pyspark.sql import types as T
 
     made = {"n_tokens", "ids_sha256", "decoded_sha256", "ids"}  # columns of the input with such names give way
     own = [c for c in dict.fromkeys([id_col, *passed]) if c not in made]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as V
-from gridloom.llm.bpe import Codec, groups, shared_model
+from gridloom.llm.bpe import codec, shared_model
 from gridloom.llm.common import settle, shared_folder
 
 LENGTH, PER_SHARD, ROUNDS = 512, 8192, 6
@@ -61,23 +61,21 @@ def width(end_id: int) -> np.dtype:
 def _encoded(docs: DataFrame, path: str, pattern: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """id, part (the task), first (sequences the task had before), n, and the filled-up ids as bytes."""
     model, kind = shared_model(docs, path), width(end_id)
+    stride = length * kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, first = Codec(model.value, pattern), TaskContext.get().partitionId(), 0
+        own, part, first = codec(model.value, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            at = 0
-            for group in groups(batch.column(1).fill_null("").to_pylist()):
-                firsts, counts, raw = [], [], []
-                for ids in codec.encode(group):
-                    n = -(-len(ids) // length)
-                    full = np.full(n * length, end_id, kind)
-                    full[: len(ids)] = ids
-                    firsts.append(first)
-                    counts.append(n)
-                    raw.append(full.tobytes())
-                    first += n
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array([part] * len(group), pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(raw, pa.binary())], names=["id", "part", "first", "n", "ids"])
-                at += len(group)
+            for block in V.blocks(batch.column(1)):
+                ids, cut = own.encode(block)
+                n = -(-np.diff(cut) // length)
+                start = np.cumsum(n) - n
+                full = np.full(int(n.sum()) * length, end_id, kind)
+                full[np.arange(len(ids)) + np.repeat(start * length - cut[:-1], np.diff(cut))] = ids
+                ends = np.concatenate([start, [n.sum()]]) * stride
+                raw = pa.BinaryArray.from_buffers(pa.binary(), block.rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(np.full(block.rows, part)), pa.array(first + start), pa.array(n), raw], names=["id", "part", "first", "n", "ids"])
+                first += int(n.sum())
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, part bigint, first bigint, n bigint, ids binary")

@@ -164,9 +164,26 @@ def codec():
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(max_size=80))
 def test_bpe_equals_the_library(library, codec, text):
-    (ids,) = codec.encode([text])
-    assert ids.tolist() == library.encode_ordinary(text)
-    assert codec.decode(ids) == text.encode()
+    for block in V.blocks(pa.array([text, "'s", text])):
+        ids, cut = codec.encode(block)
+        assert ids[: cut[1]].tolist() == ids[cut[2] :].tolist() == library.encode_ordinary(text)
+        assert codec.decode(ids) == (text + "'s" + text).encode()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=" \t\n\u00a0\u2003'stmdrevlaé1٣²!\"日ǅ\u0301", max_size=12), max_size=4))
+def test_pre_tokens_are_those_of_the_pattern(texts):
+    import regex
+
+    from gridloom.llm import pretoken
+
+    assert pretoken.BYTE_LEVEL == public_tokenizers.PATTERN
+    for pattern in (pretoken.BYTE_LEVEL, pretoken.BYTE_LEVEL + "|z"):
+        got = []
+        for block in V.blocks(pa.array(texts, pa.string())):
+            spans = pretoken.pre_tokens(block, pattern)
+            got += [(block.first + int(d), block.data[a:b].tobytes().decode()) for a, b, d in zip(spans.start, spans.end, spans.doc)]
+        assert got == [(k, t) for k, text in enumerate(texts) for t in regex.findall(pattern, text)]
 
 
 def test_bpe_over_tables(library, docs, odd):
