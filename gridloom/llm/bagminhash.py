@@ -15,11 +15,12 @@ shares none with probability 3e-6).  Candidates are verified by the exact multis
 overlap of their shingles, min over max of counts, from their whole texts.
 
 Classes are the connected components of the verified links.  Nodes of a bucket are first
-compared with one leader, so a bucket of n copies costs n comparisons; buckets whose
-nodes are all in one component are then done.  Others get further leaders, and when few
-pairs are left, all pairs of nodes from different components of a bucket are verified.
-So every link between candidates either is verified, or joins nodes that are already in
-one class.
+compared with one leader, then with another, so a bucket of n copies costs n comparisons;
+buckets whose nodes are all in one component are then done.  Of the others, those of up to
+LARGE nodes have their pairs across components verified one by one.  The nodes of larger
+ones are dealt to cells of bounded size, and two cells at a time are compared whole, as
+matrices, which gives at most a spanning set of links.  So every link between candidates
+either is verified, or joins nodes that are already in one class.
 
 Defined results: a null text is a class of its own; texts without a word are copies of one
 another; a text of one to four words has one shingle, all its words, so only equal ones are
@@ -45,8 +46,10 @@ from gridloom.llm.components import stars
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Leader rounds before all remaining pairs are verified, at most.
-LEADERS = 6
+#: Further rounds of leaders before what is left is searched whole.
+LEADERS = 1
+#: Nodes of a bucket beyond which its pairs aren't enumerated, and nodes of a cell (two cells are a task).
+LARGE, CELL = 64, 256
 #: Bits of the filter that keeps texts without candidates out of the shuffle (2 MB, whatever the input).
 SIEVE = 1 << 24
 
@@ -139,12 +142,15 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 h = bands(signatures(*parts, block.rows)).view(np.int64)
                 cut = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.rows), pa.array(digests(*parts, block.rows).view(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[some].ravel()))],
-                    names=["id", "node", "bands"],
+                    [
+                        batch.column(0).slice(block.first, block.rows), pa.array(digests(*parts, block.rows).view(np.int64)),
+                        pa.array(np.bincount(parts[0], weights=parts[2], minlength=block.rows).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[some].ravel())),
+                    ],
+                    names=["id", "node", "n", "bands"],
                 )
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -187,40 +193,113 @@ def _spread(node: str, turn: int) -> F.Column:
     return F.struct(F.xxhash64(F.lit(turn), node), F.col(node))
 
 
+def _contested(member: DataFrame, found: DataFrame, turn: int = 0) -> DataFrame:
+    """Memberships of the buckets whose nodes aren't all in one class: bucket, node, class, leader, n (the bucket's nodes)."""
+    known = found.select(F.col("a").alias("node"), F.col("b").alias("class"))
+    named = member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n"), F.min(_spread("node", turn)).getField("node").alias("leader")).where("c1 <> c2")
+    return settle(named.join(mixed, "bucket").select("bucket", "node", "class", "leader", "n"))
+
+
+def _all_links(table: pa.Table) -> pa.Table:
+    """Links between the classes of one group of texts (node, class, text), at most one less than there are classes.
+
+    Every pair's exact overlap comes from products of matrices of texts by shared shingles;
+    the k-th occurrence of a shingle is a column of its own, so counts are exact too.
+    """
+    node, group = (table.column(c).to_numpy() for c in ("node", "class"))
+    sets = _multisets(table.column("text").combine_chunks())
+    size = np.array([c.sum() for _, c in sets], np.int64)
+    keys = [np.repeat(k, c) for k, c in sets]
+    row = np.repeat(np.arange(len(sets)), size)
+    nth = np.concatenate([np.arange(n) - np.repeat(np.cumsum(c) - c, c) for n, (_, c) in zip(size, sets, strict=True)]) if len(sets) else row
+    keys = V.mix(np.concatenate(keys) ^ V.mix(nth.astype(np.uint64))) if len(sets) else np.zeros(0, np.uint64)
+    _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[a:b], column[a:b] - first] = 1
+        both += m @ m.T
+    both = both.astype(np.float64)
+    near = both >= SIMILAR * (size[:, None] + size - both)
+    near &= group[:, None] > group
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x] = parent.get(parent[x], parent[x])
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+        x, y = root(int(group[i])), root(int(group[j]))
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((node[i], node[j]))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
+def _hot_links(hot: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across classes among nodes joined by large buckets.
+
+    Nodes that large buckets join are a cluster.  A cluster is dealt to cells of at most
+    about CELL nodes, by size (similar texts differ by less than a quarter, so only equal or
+    neighbouring steps of size can meet) and by whether a node is in the cluster's largest
+    class; every two cells that can hold a link are one task.  Two cells of the largest
+    class hold none.
+    """
+    joined = stars(hot.groupBy("bucket").agg(F.min("node").alias("b")).join(hot.select("bucket", F.col("node").alias("a")), "bucket").select("a", "b"))
+    node = hot.select("node", "class").distinct().join(joined.withColumnRenamed("a", "node"), "node", "left").join(sizes, "node")
+    node = settle(node.select("node", "class", F.coalesce("b", "node").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / np.log(1 / SIMILAR)).cast("int").alias("step")))
+    largest = node.groupBy("cluster", "class").count().groupBy("cluster").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
+    node = node.join(largest, "cluster").withColumn("big", F.col("class") == F.col("largest")).drop("largest")
+    cells = node.groupBy("cluster", "step", "big").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k"))
+    # every cell, named (step, big, number), meets those of its own step and of the next
+    other = cells.select("cluster", F.col("step").alias("step2"), F.col("big").alias("big2"), F.col("k").alias("k2"))
+    meets = cells.join(other, "cluster").where("abs(step - step2) <= 1 and not (big and big2)")
+    meets = meets.groupBy("cluster", "step", "big", "k").agg(F.collect_list(F.struct("step2", "big2", "k2")).alias("others"))  # at most six
+    node = node.join(meets, ["cluster", "step", "big"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    pair = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["k2"] - 1), lambda j: F.array_sort(F.array(F.struct(F.col("step"), F.col("big"), F.col("i").alias("i")), F.struct(o["step2"].alias("step"), o["big2"].alias("big"), j.alias("i")))))))
+    dealt = node.join(texts, "node").select("node", "class", "text", "cluster", F.explode(F.array_distinct(pair)).alias("pair"))
+    return dealt.groupBy("cluster", "pair").applyInArrow(_all_links, "a bigint, b bigint")
+
+
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, node) of all texts that aren't null, and stars (a, b) that give each linked node's class."""
     rows = settle(_sketch(docs, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     member = settle(buckets.join(shared, "bucket").select("bucket", "node", "leader"))
-    chosen = nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id")
+    chosen = settle(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "n"))
     texts = settle(_texts(docs, chosen, id_col, text_col))
-
-    # each node with the least leader of its buckets first, then leaders of the buckets that are left
-    pairs = settle(member.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b")))
-    tested, found = pairs, stars(_verified(pairs, texts))
-    for turn in range(LEADERS + 1):
-        known = found.select(F.col("a").alias("node"), F.col("b").alias("class"))
-        named = member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-        mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n"), F.min(_spread("node", turn)).getField("node").alias("leader")).where("c1 <> c2")
-        member = settle(named.join(mixed, "bucket").select("bucket", "node", "class", "leader", "n"))
-        size = member.select("bucket", "n").distinct().agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).collect()[0]
-        if not size["rows"]:
-            break
-        last = size["pairs"] <= 4 * size["rows"] or turn == LEADERS
-        own = member.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"))
-        if last:
-            other = member.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
-            pairs = own.join(other, "bucket").where("ca <> cb and a > b")
-        else:
-            led = member.where("node = leader").select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"))
-            pairs = own.join(led, "bucket").where("ca <> cb").select("bucket", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        pairs = settle(pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        found = stars(found.union(_verified(pairs, texts)))
-        tested = settle(tested.union(pairs))
-        if last:
-            break
+    sizes = chosen.select("node", "n")
+
+    # each node with the least leader of its buckets, then with another leader of those that are left
+    pairs = member.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
+    found = stars(_verified(pairs, texts))
+    for turn in range(LEADERS):
+        member = _contested(member, found, turn + 1)
+        led = member.where("node = leader").select("bucket", F.col("class").alias("cb"))
+        own = member.join(led, "bucket").where("class <> cb").groupBy(F.col("node").alias("a")).agg(F.min(_spread("leader", turn)).getField("leader").alias("b"))
+        found = stars(found.union(_verified(own, texts)))
+    # large buckets by cells, small ones pair by pair
+    member = _contested(member, found)
+    hot = member.where(F.col("n") > LARGE)
+    if hot.take(1):
+        found = stars(found.union(_hot_links(hot, sizes, texts)))
+    member = _contested(member, found).where(F.col("n") <= LARGE).join(sizes.withColumnRenamed("n", "size"), "node")
+    own = member.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"))
+    other = member.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
+    near = own.join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb")))
+    found = stars(found.union(_verified(near.select("a", "b").distinct(), texts)))
     return rows.select("id", "node"), found
 
 
