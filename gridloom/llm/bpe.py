@@ -20,6 +20,7 @@ gives an empty one.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -53,12 +54,11 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
-_CHARS = byte_characters()
-_TO_CHARS = {b: c for b, c in enumerate(_CHARS)}
+_CHARS = "".join(byte_characters())
 
 
 def as_piece(raw: bytes) -> str:
-    return raw.decode("latin-1").translate(_TO_CHARS)
+    return codecs.charmap_decode(raw, "strict", _CHARS)[0]
 
 
 def _varint(n: int) -> bytes:

@@ -9,9 +9,11 @@ slot has a sequence.  Slots are dealt by range to shards of PER_SHARD sequences;
 in shard s // PER_SHARD at byte (s % PER_SHARD) * LENGTH * width.  A reader that knows the
 slot it stopped at goes on from there, and reads in training order what lies in a row.
 
+The encoded texts are kept once, compressed; the shards are then made in WAVES ranges of
+slots, one after the other, so that only a part of the sequences is in a shuffle at a time.
 Shards are written by the tasks that hold their range, under a name of the attempt, and
 renamed when complete, so a lost executor or a task that runs twice leaves whole shards
-only.  Rows that describe the sequences come back; the shards exist once they were computed.
+only.  Rows that describe the sequences come back when all shards are there.
 
 Defined results: a null or empty text has no sequences; a repeated row has its own
 sequences; the ids are stored little-endian in 2 bytes if the end id fits, else in 4; an
@@ -20,10 +22,12 @@ empty table gives no shards and no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as V
 from gridloom.llm.bpe import codec, shared_model
-from gridloom.llm.common import settle, shared_folder
+from gridloom.llm.common import shared_folder, stored
 
-LENGTH, PER_SHARD, ROUNDS = 512, 8192, 6
+LENGTH, PER_SHARD, ROUNDS, WAVES = 256, 16384, 6, 4
 
 
 def feistel(values: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -59,9 +63,8 @@ def width(end_id: int) -> np.dtype:
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """id, part (the task), first (sequences the task had before), n, and the filled-up ids as bytes."""
+    """id, part (the task), first (sequences the task had before), n, and the ids as bytes."""
     model, kind = shared_model(docs, path), width(end_id)
-    stride = length * kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, first = codec(model.value, pattern), TaskContext.get().partitionId(), 0
@@ -70,10 +73,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, length: int, end_id: int,
                 ids, cut = own.encode(block)
                 n = -(-np.diff(cut) // length)
                 start = np.cumsum(n) - n
-                full = np.full(int(n.sum()) * length, end_id, kind)
-                full[np.arange(len(ids)) + np.repeat(start * length - cut[:-1], np.diff(cut))] = ids
-                ends = np.concatenate([start, [n.sum()]]) * stride
-                raw = pa.BinaryArray.from_buffers(pa.binary(), block.rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(full)])
+                raw = pa.BinaryArray.from_buffers(pa.binary(), block.rows, [None, pa.py_buffer((cut * kind.itemsize).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(np.full(block.rows, part)), pa.array(first + start), pa.array(n), raw], names=["id", "part", "first", "n", "ids"])
                 first += int(n.sum())
 
@@ -118,7 +118,7 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out_uri: str | None =
 
         end_id = len(read_ranks(path))
     kind, stride = width(end_id), length * width(end_id).itemsize
-    rows = settle(_encoded(docs, path, pattern, length, end_id, id_col, text_col).where("n > 0"))
+    rows = stored(_encoded(docs, path, pattern, length, end_id, id_col, text_col).where("n > 0"), "zstd")
     uri = out_uri or f"{shared_folder(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
     sums = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each task
     before, total = {}, 0
@@ -126,15 +126,23 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out_uri: str | None =
         before[part] = total
         total += n
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column(3).to_numpy()
-            part, first = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            seq = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            slot = feistel(np.repeat(np.array([before[p] for p in part.tolist()]) + first, n) + seq, total, key)
-            raw = [b[k * stride : (k + 1) * stride] for b, own in zip(batch.column(4).to_pylist(), n.tolist(), strict=True) for k in range(own)]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), ids, pa.array(seq), pa.array(raw, pa.binary())], names=["slot", "shard", "id", "seq", "ids"])
+    def place(first_shard: int, last_shard: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch.column(3).to_numpy()
+                part, first = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                who = np.repeat(np.arange(len(n)), n)
+                seq = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+                slot = feistel((np.array([before[p] for p in part.tolist()], np.int64) + first)[who] + seq, total, key)
+                shard = slot // per_shard
+                own = np.flatnonzero((shard >= first_shard) & (shard < last_shard))
+                all_ids, fill, raw = batch.column(4).to_pylist(), np.full(length, end_id, kind).tobytes(), []
+                for k, j in zip(who[own].tolist(), seq[own].tolist(), strict=True):
+                    piece = all_ids[k][j * stride : (j + 1) * stride]
+                    raw.append(piece + fill[len(piece) :])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[own]), pa.array(shard[own]), batch.column(0).take(pa.array(who[own])), pa.array(seq[own]), pa.array(raw, pa.binary())], names=["slot", "shard", "id", "seq", "ids"])
+
+        return run
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, now, at = None, None, 0
@@ -158,11 +166,19 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out_uri: str | None =
             shard.close()
 
     kind_of = dict(rows.dtypes)["id"]
-    placed = rows.mapInArrow(place, f"slot bigint, shard bigint, id {kind_of}, seq bigint, ids binary")
-    shards = max(1, -(-total // per_shard))
-    dealt = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    out = dealt.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, id {kind_of}, seq bigint, n_tokens bigint, crc32 bigint")
-    return out.withColumnRenamed("id", id_col)
+    shards = -(-total // per_shard)
+    done = []
+    for w in range(WAVES):
+        a, b = shards * w // WAVES, shards * (w + 1) // WAVES
+        if a == b and (w or shards):
+            continue
+        placed = rows.mapInArrow(place(a, b), f"slot bigint, shard bigint, id {kind_of}, seq bigint, ids binary")
+        dealt = placed.repartitionByRange(max(1, b - a), "shard").sortWithinPartitions("slot")
+        done.append(stored(dealt.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, id {kind_of}, seq bigint, n_tokens bigint, crc32 bigint")))
+        del placed, dealt
+        gc.collect()  # so that Spark's cleaner drops the wave's shuffle before the next
+        rows.sparkSession.sparkContext._jvm.System.gc()
+    return reduce(DataFrame.union, done).withColumnRenamed("id", id_col)
 
 
 def read_sequences(uri: str, start: int, count: int, end_id: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
