@@ -123,7 +123,8 @@ class Search:
         queue, turn = [(-bound(self.tree, tree), 0, self.tree, tree)], 0
         while queue:
             most, _, q, d = heapq.heappop(queue)
-            if -most < self.score[q.rows, -1].min():
+            worst = self.score[q.rows, -1].min()
+            if worst != _NONE and max(-most, float(_NONE)) < worst:
                 continue
             if not q.children and not d.children:
                 rows = np.sort(d.rows)

@@ -127,7 +127,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 29, id_col: str = "do
             for block in V.blocks(batch.column(0)):
                 cells, doc = features(block)
                 n = np.bincount(doc, minlength=block.rows)
-                weight = np.bincount(doc, weights=shared.value[cells], minlength=block.rows)
+                weight = np.bincount(doc, weights=shared.value[cells], minlength=block.rows).astype(np.float64)
                 draw = weight + gumbel[block.first : block.last]
                 columns = [c.slice(block.first, block.rows) for c in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(weight), pa.array(draw), pa.array(ordered_key(draw))], names=out.fieldNames())

@@ -160,7 +160,7 @@ class Counter:
             self.cache[names[k]] = got
         got = np.array([self.cache[h] for h in names], dtype=np.float64).reshape(-1, 2)
         n = np.bincount(doc, weights=got[which, 0], minlength=block.rows).astype(np.int64)
-        return n, np.bincount(doc, weights=got[which, 1], minlength=block.rows)
+        return n, np.bincount(doc, weights=got[which, 1], minlength=block.rows).astype(np.float64)
 
 
 _counters: dict[int, Counter] = {}
