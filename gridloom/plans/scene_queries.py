@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vector as vec
-from gridloom.operators import generate, scene, sequential
+from gridloom.operators import draw, generate, scene, sequential
 from gridloom.plans.catalog import bits, few, gray, query, rgb, table
 
 SPHERES = 40
@@ -152,3 +152,18 @@ def mask_from_edges(spark, sf_dir):
 @query()
 def stereogram(spark, sf_dir):
     return sequential.stereogram(few(spark, sf_dir)).flat()
+
+
+@query("SELECT row, col, CASE WHEN row BETWEEN 2 AND 5 AND col BETWEEN 10 AND 19 THEN 255 ELSE v END AS p0 FROM img")
+def draw_rectangle(spark, sf_dir):
+    return draw.draw(gray(spark, sf_dir), draw.rectangle(2, 10, 4, 10), (255,)).flat()
+
+
+@query("SELECT row, col, CASE WHEN row = col AND row <= 9 THEN 0 ELSE v END AS p0 FROM img")
+def draw_line(spark, sf_dir):
+    return draw.draw(gray(spark, sf_dir), draw.line((0, 0), (9, 9)), (0,)).flat()
+
+
+@query()
+def draw_label(spark, sf_dir):
+    return draw.label(gray(spark, sf_dir), "rows and cols", 2, 3, (255,)).flat()
