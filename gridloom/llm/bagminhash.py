@@ -14,8 +14,8 @@ ROWS registers; nodes that agree in a band share a bucket (at similarity 0.8 a p
 shares none with probability 3e-6).  Candidates are verified by the exact multiset
 overlap of their shingles, min over max of counts, from their whole texts.
 
-Classes are the connected components of the verified links.  Nodes of a bucket are first
-compared with one leader, then with another, so a bucket of n copies costs n comparisons;
+Classes are the connected components of the verified links.  A node is first compared with
+the least node it shares a bucket with, so a group of n copies costs n comparisons;
 buckets whose nodes are all in one component are then done.  Of the others, those of up to
 LARGE nodes have their pairs across components verified one by one.  The nodes of larger
 ones are dealt to cells of bounded size, and two cells at a time are compared whole, as
@@ -32,6 +32,7 @@ carry 64-bit digests; two different multisets share one with probability 2**-64
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,8 @@ from gridloom.llm.components import stars
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Further rounds of leaders before what is left is searched whole.
-LEADERS = 1
 #: Nodes of a bucket beyond which its pairs aren't enumerated, and nodes of a cell (two cells are a task).
-LARGE, CELL = 64, 256
+LARGE, CELL = 32, 256
 #: Bits of the filter that keeps texts without candidates out of the shuffle (2 MB, whatever the input).
 SIEVE = 1 << 24
 
@@ -189,16 +188,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _spread(node: str, turn: int) -> F.Column:
-    return F.struct(F.xxhash64(F.lit(turn), node), F.col(node))
-
-
-def _contested(member: DataFrame, found: DataFrame, turn: int = 0) -> DataFrame:
-    """Memberships of the buckets whose nodes aren't all in one class: bucket, node, class, leader, n (the bucket's nodes)."""
+def _contested(member: DataFrame, found: DataFrame) -> DataFrame:
+    """Memberships of the buckets whose nodes aren't all in one class: bucket, node, class, n (the bucket's nodes)."""
     known = found.select(F.col("a").alias("node"), F.col("b").alias("class"))
     named = member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n"), F.min(_spread("node", turn)).getField("node").alias("leader")).where("c1 <> c2")
-    return settle(named.join(mixed, "bucket").select("bucket", "node", "class", "leader", "n"))
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
+    return settle(named.join(mixed, "bucket").select("bucket", "node", "class", "n"))
 
 
 def _all_links(table: pa.Table) -> pa.Table:
@@ -282,24 +277,21 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     texts = settle(_texts(docs, chosen, id_col, text_col))
     sizes = chosen.select("node", "n")
 
-    # each node with the least leader of its buckets, then with another leader of those that are left
+    # each node with the least leader of its buckets
     pairs = member.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
     found = stars(_verified(pairs, texts))
-    for turn in range(LEADERS):
-        member = _contested(member, found, turn + 1)
-        led = member.where("node = leader").select("bucket", F.col("class").alias("cb"))
-        own = member.join(led, "bucket").where("class <> cb").groupBy(F.col("node").alias("a")).agg(F.min(_spread("leader", turn)).getField("leader").alias("b"))
-        found = stars(found.union(_verified(own, texts)))
-    # large buckets by cells, small ones pair by pair
+    # buckets that are left: large ones by cells, small ones pair by pair
     member = _contested(member, found)
+    more = []
     hot = member.where(F.col("n") > LARGE)
     if hot.take(1):
-        found = stars(found.union(_hot_links(hot, sizes, texts)))
-    member = _contested(member, found).where(F.col("n") <= LARGE).join(sizes.withColumnRenamed("n", "size"), "node")
-    own = member.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"))
-    other = member.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
+        more.append(_hot_links(hot, sizes, texts))
+    small = member.where(F.col("n") <= LARGE).join(sizes.withColumnRenamed("n", "size"), "node")
+    own = small.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"))
+    other = small.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
     near = own.join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb")))
-    found = stars(found.union(_verified(near.select("a", "b").distinct(), texts)))
+    more.append(_verified(near.select("a", "b").distinct(), texts))
+    found = stars(reduce(DataFrame.union, more, found))
     return rows.select("id", "node"), found
 
 
