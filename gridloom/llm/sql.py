@@ -1,5 +1,36 @@
 """SQL of the queries that SQL can express, for DuckDB over the same tables."""
 
+#: All pairs of texts that share a shingle, exactly; classes by reachability.
+OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, text FROM documents
+), w AS (
+  SELECT row_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d WHERE text IS NOT NULL
+), k AS (
+  SELECT row_id, CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: words[i:i + 4])
+                      WHEN len(words) > 0 THEN [words] ELSE [] END AS grams FROM w
+), c AS (
+  SELECT row_id, gram, count(*) AS n FROM (SELECT row_id, unnest(grams) AS gram FROM k) GROUP BY 1, 2
+), t AS (
+  SELECT row_id, sum(n) AS n FROM c GROUP BY 1
+), o AS (
+  SELECT a.row_id AS x, b.row_id AS y, sum(least(a.n, b.n)) AS shared
+  FROM c a JOIN c b ON a.gram = b.gram AND a.row_id < b.row_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM o JOIN t p ON p.row_id = x JOIN t q ON q.row_id = y WHERE 5 * shared >= 4 * (p.n + q.n - shared)
+  UNION ALL SELECT x, y FROM (SELECT min(row_id) OVER () AS x, row_id AS y FROM k WHERE len(grams) = 0) WHERE x <> y
+), both_ways AS (
+  SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+  SELECT row_id AS a, row_id AS b FROM d
+  UNION SELECT r.a, n.y FROM reach r JOIN both_ways n ON n.x = r.b
+), classes AS (
+  SELECT a, min(d.doc_id) AS class_id, count(*) AS class_size FROM reach JOIN d ON d.row_id = reach.b GROUP BY a
+)
+SELECT doc_id, class_id, class_size, doc_id IS NOT DISTINCT FROM class_id AS representative
+FROM d JOIN classes ON classes.a = d.row_id
+"""
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
@@ -66,6 +97,7 @@ def oracle_sql() -> dict[str, str]:
     from gridloom.llm.line_rules import PHRASES
 
     return {
+        "op3_bagminhash": OP3,
         "op5_cover_tree": OP5,
         "op6_line_rules": OP6.replace("{phrases}", " OR ".join(f"contains(small, '{p}')" for p in PHRASES)),
     }
