@@ -324,16 +324,16 @@ def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> Da
     return text.join(chosen, match, "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
-def _with_node(text: DataFrame) -> DataFrame:
-    """Rows with a column text, and the digest of its shingles."""
+def _with_node(rows: DataFrame, text_col: str) -> DataFrame:
+    """row (a whole row with its text in the field text_col), its id, and the digest of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in V.blocks(batch.column(batch.schema.get_field_index("text"))):
-                part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests(*shingles(block), block.rows).view(np.int64))], names=[*part.schema.names, "node"])
+            for block in V.blocks(V.text_of(batch.column(0), text_col)):
+                columns = [c.slice(block.first, block.rows) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests(*shingles(block), block.rows).view(np.int64))], names=["row", "id", "node"])
 
-    return text.mapInArrow(run, T.StructType([*text.schema.fields, T.StructField("node", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,11 +352,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = rows.join(found.withColumnRenamed("a", "node"), "node", "left").select("id", "node", F.coalesce("b", "node").alias("class"))
     counted = named.groupBy("class", "id", "node").count()
     kept = settle(counted.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "count")).alias("k")).select("k.id", "k.node", "k.count"))
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    there = _with_node(whole.where("text is not null")).drop("text")
+    whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("empty"))
+    there = _with_node(whole.where("not empty").select("row", "id"), text_col)
     match = [there["id"].eqNullSafe(kept["id"]), there["node"] == kept["node"]]
     out = there.join(kept.where("count = 1"), match, "left_semi").select("row")
     if kept.where("count > 1").limit(1).count():  # rows that are repeated with their id: one of them stays
         more = there.join(kept.where("count > 1"), match, "left_semi").groupBy("id", "node").agg(F.min("row").alias("row"))
         out = out.union(more.select("row"))
-    return out.union(whole.where("text is null").select("row")).select("row.*")
+    return out.union(whole.where("empty").select("row")).select("row.*")

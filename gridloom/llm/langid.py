@@ -250,13 +250,18 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     """For each row its id, the columns in passed, lang_pred and score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias(id_col), *(c.alias(n) for n, c in (passed or {}).items()))
-    out = T.StructType(source.schema.fields[1:]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    return _labelled(source, shared, "", 1)
+
+
+def _labelled(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
+    """source's columns from number keep on, lang_pred and score; the text is the first column or its field text_col."""
+    out = T.StructType(source.schema.fields[keep:]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in V.blocks(batch.column(0), 4 << 20):
+            for block in V.blocks(V.text_of(batch.column(0), text_col), 1 << 20):
                 names, score = predict(shared.value, block)
-                columns = [c.slice(block.first, block.rows) for c in batch.columns[1:]]
+                columns = [c.slice(block.first, block.rows) for c in batch.columns[keep:]]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(score)], names=out.fieldNames())
 
     return source.mapInArrow(run, out)
@@ -265,6 +270,6 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 def identified_documents(docs: DataFrame, labelled: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is known with a score of at least ``least``, with all their columns."""
     net = learn(labelled, id_col, text_col, label_col)
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
-    got = identify(whole, net, "id", "text", {"row": F.col("row")})
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    got = _labelled(docs.select(F.struct("*").alias("row")), shared, text_col, 0)
     return got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

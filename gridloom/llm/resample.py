@@ -116,7 +116,12 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 29, id_col: str = "do
     """For each row its id, the columns passed, n_features, log_weight, and the key of the top-k as a double and as an integer of the same order."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)  # MODEL doubles
     source = docs.select(F.col(text_col).cast("string").alias("__text"), F.xxhash64(F.lit(seed), id_col, text_col).alias("__noise"), F.col(id_col), *passed)
-    out = T.StructType(source.schema.fields[2:])
+    return _weighed(source, shared, "", 2)
+
+
+def _weighed(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
+    """source's columns from number keep on and what weigh adds; the text is the first column or its field text_col, the noise is the second."""
+    out = T.StructType([f for k, f in enumerate(source.schema.fields) if k >= keep or (k == 0 and text_col)])
     for name, kind in (("n_features", T.LongType()), ("log_weight", T.DoubleType()), ("draw", T.DoubleType()), ("rank_key", T.LongType())):
         out = out.add(name, kind)
 
@@ -124,12 +129,12 @@ def weigh(docs: DataFrame, ratios: np.ndarray, seed: int = 29, id_col: str = "do
         for batch in batches:
             noise = V.mix(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             gumbel = -np.log(-np.log((noise >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54))
-            for block in V.blocks(batch.column(0)):
+            for block in V.blocks(V.text_of(batch.column(0), text_col)):
                 cells, doc = features(block)
                 n = np.bincount(doc, minlength=block.rows)
                 weight = np.bincount(doc, weights=shared.value[cells], minlength=block.rows).astype(np.float64)
                 draw = weight + gumbel[block.first : block.last]
-                columns = [c.slice(block.first, block.rows) for c in batch.columns[2:]]
+                columns = [c.slice(block.first, block.rows) for k, c in enumerate(batch.columns) if k >= keep or (k == 0 and text_col)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(weight), pa.array(draw), pa.array(ordered_key(draw))], names=out.fieldNames())
 
     return source.mapInArrow(run, out)
@@ -159,5 +164,6 @@ def resampled_documents(docs: DataFrame, target_ids: DataFrame, k: int | None =
     """The drawn rows of docs with all their columns; weights are computed anew rather than shuffling texts to them."""
     ratios = models(docs, target_ids, id_col, text_col)
     least = _least(settle(weigh(docs, ratios, seed, id_col, text_col)), k)
-    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
-    return _drawn(weigh(whole, ratios, seed, "id", "text", ("row",)), least, k).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.lit(seed), id_col, text_col).alias("__noise"))
+    return _drawn(_weighed(whole, shared, text_col, 2), least, k).select("row.*")

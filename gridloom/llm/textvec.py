@@ -1,6 +1,6 @@
 """Vectorised kernels over the bytes of Arrow string columns.
 
-A batch is worked through in blocks of about a megabyte of text, so the memory a
+A batch is worked through in blocks of about half a megabyte of text, so the memory a
 task takes does not depend on the batch size.  A single longer text makes a block
 of its own and takes about 60 bytes of memory for each of its bytes.  Words are
 maximal runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``.  Hashes are 64 bits
@@ -121,7 +121,7 @@ class Block:
         return got.astype(np.int64) if weights is None or weights.dtype.kind in "iub" else got
 
 
-def blocks(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array, max_bytes: int = 1 << 19) -> Iterator[Block]:
     """The rows of a string column, a null as an empty text."""
     if column.null_count:
         column = column.fill_null("")
@@ -147,3 +147,8 @@ def windows(words: Spans, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     for j in range(k):
         total = total * _BASE + hashes[j : j + n]
     return at, mix(total[at])
+
+
+def text_of(column: pa.Array, name: str) -> pa.Array:
+    """A text column by itself, or the named field of a column of whole rows: texts then come once."""
+    return column.field(name).cast(pa.string()) if pa.types.is_struct(column.type) else column
