@@ -1,17 +1,18 @@
 """Licence scans: a trained classifier of paragraphs, confirmed against templates.
 
-Every paragraph (a line with a word) is a bag of hashed unigrams and bigrams of its words
-(runs of letters and digits, ASCII letters in lower case).  Multinomial logistic
-regression gives it a distribution over the licence families of TEMPLATES and "none".  It
+Every paragraph (a line with a word) is looked at in overlapping windows of 2 * STEP words, one
+every STEP, so that a notice is found wherever it stands in a line and however long that is.
+A window is a bag of hashed unigrams and bigrams of its words (runs of letters and digits,
+ASCII letters in lower case).  Multinomial logistic regression gives it a distribution over the licence families of TEMPLATES and "none".  It
 is trained on the driver, by Adagrad over sparse rows, from the templates as they are and
 as seeded edits leave them (words dropped, sentences cut out, background words around), and
-from BACKGROUND paragraphs of the corpus as "none".  A temperature is fitted on edits that
+from up to WINDOWS windows of each of BACKGROUND paragraphs of the corpus as "none".  A temperature is fitted on edits that
 weren't trained on, so that probabilities can be held against CERTAIN; what is less
 certain is unknown.  A prediction counts only if a template of that family confirms it:
-at least CONFIRMED of the bigrams of the template, or of the paragraph, are in the other.
+at least CONFIRMED of the bigrams of the template, or of the window, are in the other.
 
 Defined results: a null or empty text has no paragraphs and no licence; a document's
-licence is the family of its confirmed paragraph with the highest probability, ties to the
+licence is the family of its confirmed window with the highest probability, ties to the
 family that is first in TEMPLATES; rows are scanned as often as they occur, texts whole; other
 columns are not looked at; an empty table gives an empty one (the classifier is then trained
 on the templates alone).
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from gridloom.llm import textvec as V
 
 CELLS = 1 << 16
-BACKGROUND, EDITS, HELD, EPOCHS = 4000, 60, 20, 15
+BACKGROUND, WINDOWS, EDITS, HELD, EPOCHS = 4000, 3, 60, 20, 15
+#: Words from one window to the next; a window has twice as many.
+STEP = 6
 CERTAIN, CONFIRMED = 0.6, 0.6
 NONE = "none"
 
@@ -116,8 +119,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def grams(block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """The block's lines, and for each gram of a line its hash, the line, and whether it's a bigram; line by line."""
+def _words(block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray]:
+    """The block's lines, and for each word its hash and its line."""
     lines = block.lines()
     inside = _WORD[block.data]
     edge = np.zeros(len(inside) + 1, bool)
@@ -128,16 +131,37 @@ def grams(block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray]:
     if len(start):
         keep = inside[start]
         start, end = start[keep], end[keep]
-    line = np.searchsorted(lines.end, start, side="right")
-    h = V.span_hashes(_LOWER[block.data], start, end)
+    return lines, V.span_hashes(_LOWER[block.data], start, end), np.searchsorted(lines.end, start, side="right")
+
+
+def _bigrams(h: np.ndarray) -> np.ndarray:
+    return V.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+
+
+def grams(block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """The block's lines, and for each gram of a line its hash, the line, and whether it's a bigram; line by line."""
+    lines, h, line = _words(block)
     next_ = line[1:] == line[:-1]
-    two = V.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[next_]
+    two = _bigrams(h)[next_]
     at = np.concatenate([line, line[1:][next_]])
     order = np.argsort(at, kind="stable")
     pair = np.concatenate([np.zeros(len(h), bool), np.ones(len(two), bool)])
     return lines, np.concatenate([h, two])[order], at[order], pair[order]
 
 
+def _chunks(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, given by their lines, in runs of STEP: where each run starts and ends, whether the line goes on behind it, and which runs open a window.
+
+    A window is a run and the one behind it; every run but the last of its line opens one, and so does one that is all its line.
+    """
+    opens = np.flatnonzero(np.diff(line, prepend=-1))
+    place = np.arange(len(line)) - np.repeat(opens, np.diff(np.append(opens, len(line))))
+    start = np.flatnonzero(place % STEP == 0)
+    end = np.append(start[1:], len(line))
+    on = np.append(line[start[1:]] == line[start[:-1]], False)
+    return start, end, on, np.flatnonzero(on | (place[start] == 0))
+
+
 def _bags(paragraphs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct gram hashes of each paragraph, and of its bigrams alone."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -159,14 +183,24 @@ class Classifier:
     templates: list[list[np.ndarray]]
 
     def scores(self, block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Probabilities of each line that has a gram (others are none), the numbers of those lines, where their grams start, and all grams."""
-        lines, h, line, pair = grams(block)
+        """The block's lines; of each window its probabilities, its line, and where its words start and end; the bigram behind each word."""
+        lines, h, line = _words(block)
         if not len(h):
-            return lines, np.zeros((0, len(self.families))), np.zeros(0, np.int64), np.zeros(0, np.int64), h, pair
-        start = np.flatnonzero(np.diff(line, prepend=-1))
-        n = np.diff(np.append(start, len(line)))
-        z = np.add.reduceat(self.weights[(h % CELLS).astype(np.int64)], start, axis=0) / np.sqrt(n)[:, None] + self.bias
-        return lines, _softmax(z / self.temperature), line[start], start, h, pair
+            none = np.zeros(0, np.int64)
+            return lines, np.zeros((0, len(self.families))), none, none, none, h
+        start, end, on, first = _chunks(line)
+        two = np.append(_bigrams(h), np.uint64(0))
+        cell = lambda x: (x % CELLS).astype(np.int64)
+        own = self.weights[cell(h)]
+        inner = np.ones(len(h), bool)
+        inner[end - 1] = False  # the bigram behind a run's last word isn't all in the run
+        own[inner] += self.weights[cell(two[inner])]
+        run = np.add.reduceat(own, start, axis=0)
+        z, both = run[first], on[first]
+        z[both] += run[first[both] + 1] + self.weights[cell(two[end[first[both]] - 1])]
+        last = np.where(both, end[np.minimum(first + 1, len(end) - 1)], end[first])
+        n = 2 * (last - start[first]) - 1
+        return lines, _softmax((z / np.sqrt(n)[:, None] + self.bias) / self.temperature), line[start[first]], start[first], last, two
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -175,19 +209,31 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _edited(text: str, rng: np.random.Generator, filler: list[str]) -> str:
-    """text with some words dropped, maybe cut short, maybe with other words around it."""
+    """text with some words dropped, maybe cut short, maybe with other words around it, as a window would hold it."""
     words = text.split()
     if len(words) > 12:
         a = int(rng.integers(0, len(words) - 10))
         words = words[a : a + int(rng.integers(10, len(words) + 1))]
     words = [w for w in words if rng.random() > 0.06] or words
-    if filler and rng.random() < 0.3:
-        k = int(rng.integers(1, 6))
-        own = [filler[int(i)] for i in rng.integers(0, len(filler), k)]
-        words = own + words if rng.random() < 0.5 else words + own
+    if filler and rng.random() < 0.6:
+        before, behind = (int(k) for k in rng.integers(0, STEP + 2, 2))
+        own = [filler[int(i)] for i in rng.integers(0, len(filler), before + behind)]
+        room = max(0, 2 * STEP - len(words))
+        before = min(before, room)
+        words = own[:before] + words + own[before:][: min(behind, room - before)]
     return " ".join(words)
 
 
+def _cut(paragraphs: list[str], rng: np.random.Generator) -> list[str]:
+    """WINDOWS windows of each paragraph, or what it has."""
+    out = []
+    for p in paragraphs:
+        words = p.split()
+        starts = range(0, max(1, len(words) - STEP), STEP)
+        out += [" ".join(words[a : a + 2 * STEP]) for a in (starts[int(k)] for k in np.sort(rng.permutation(len(starts))[:WINDOWS]))]
+    return sorted(set(out))
+
+
 def train(background: list[str], seed: int = 11) -> Classifier:
     """A classifier from the templates and paragraphs of the corpus.  The same paragraphs, in any order, give the same one."""
     rng = np.random.default_rng(seed)
@@ -200,7 +246,8 @@ def train(background: list[str], seed: int = 11) -> Classifier:
     known = np.unique(np.concatenate([b for own in templates for b in own]))
     background = sorted(set(background))
     filler = [w for p in background[:200] for w in p.split()[:20]]
-    plain = [p for p, (_, b) in zip(background, _bags(background), strict=True) if np.isin(b, known).sum() < max(2, 0.2 * len(b))]
+    cut = _cut(background, rng)
+    plain = [p for p, (_, b) in zip(cut, _bags(cut), strict=True) if np.isin(b, known).sum() < max(2, 0.2 * len(b))]
     texts, labels = [], []
     for k, own in enumerate(TEMPLATES.values()):
         for t in own:
@@ -244,22 +291,20 @@ def train(background: list[str], seed: int = 11) -> Classifier:
 
 def scan_block(model: Classifier, block: V.Block) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
     """Of each text: paragraphs, those with a confirmed licence, its licence and the probability."""
-    lines, p, line, first, h, pair = model.scores(block)
-    total = np.bincount(lines.doc[line], minlength=block.rows)
+    lines, p, line, start, end, two = model.scores(block)
+    total = np.bincount(lines.doc[np.unique(line)], minlength=block.rows)
     family, best = p.argmax(axis=1), p.max(axis=1, initial=0)
     hits = np.flatnonzero((family < len(model.families) - 1) & (best >= CERTAIN))
     count, names, score = np.zeros(block.rows, np.int64), [None] * block.rows, np.zeros(block.rows)
-    if not len(hits):
-        return total, count, names, score
-    cut = np.append(first, len(h))  # grams are sorted by line, so a line's are a slice
+    counted = -1
     for k in hits.tolist():
-        a, b = cut[k], cut[k + 1]
-        own = np.unique(h[a:b][pair[a:b]])
+        own = np.unique(two[start[k] : end[k] - 1])
         for template in model.templates[family[k]]:
             shared = np.isin(template, own).sum()
             if shared >= CONFIRMED * min(len(template), len(own)) and shared:
                 d = lines.doc[line[k]]
-                count[d] += 1
+                count[d] += line[k] != counted
+                counted = line[k]
                 if best[k] > score[d] or (best[k] == score[d] and family[k] < model.families.index(names[d])):
                     score[d], names[d] = best[k], model.families[family[k]]
                 break

@@ -244,6 +244,21 @@ def test_licenses(spark, docs, odd):
     assert licenses.scan(odd.limit(0), licenses.learn(odd.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("before", [0, 10, 39, 80, 160, 495])
+def test_licenses_inside_long_lines(spark, docs, before):
+    model = licenses.learn(docs)
+    words = [w for r in docs.where("text not like '%icense%'").orderBy("doc_id").limit(50).collect() for w in r["text"].split()]
+    notices = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL"}
+    got, want = [], []
+    for k in range(20):
+        own = words[k * 37 :][: before + 9]
+        held = [" ".join([*own[:before], n, *own[before:]]) for n in notices]
+        rows = [licenses.scan_block(model, b) for b in V.blocks(pa.array([*held, " ".join(own)]))]
+        got += [(n, c) for _, count, names, _ in rows for n, c in zip(names, count.tolist(), strict=True)]
+        want += [*((f, 1) for f in notices.values()), (None, 0)]
+    assert got == want
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 64, 1000, 4097):
         for key in (0, 5):
