@@ -3,17 +3,22 @@
 Every paragraph (a line with a word) is looked at in overlapping windows of 2 * STEP words, one
 every STEP, so that a notice is found wherever it stands in a line and however long that is.
 A window is a bag of hashed unigrams and bigrams of its words (runs of letters and digits,
-ASCII letters in lower case).  Multinomial logistic regression gives it a distribution over the licence families of TEMPLATES and "none".  It
-is trained on the driver, by Adagrad over sparse rows, from the templates as they are and
-as seeded edits leave them (words dropped, sentences cut out, background words around), and
-from up to WINDOWS windows of each of BACKGROUND paragraphs of the corpus as "none".  A temperature is fitted on edits that
-weren't trained on, so that probabilities can be held against CERTAIN; what is less
-certain is unknown.  A prediction counts only if a template of that family confirms it:
-at least CONFIRMED of the bigrams of the template, or of the window, are in the other.
+ASCII letters in lower case).  Multinomial logistic regression gives it a distribution over the licence families of TEMPLATES, "unknown" and
+"none".  It is trained on the driver, by Adagrad over sparse rows, from the templates as they
+are and as seeded edits leave them (words dropped, sentences cut out, background words
+around), from sentences about UNLISTED licences as "unknown", and from up to WINDOWS windows
+of each of BACKGROUND paragraphs of the corpus as "none".  A temperature is fitted on edits
+that weren't trained on and on the licences of UNLISTED_HELD, so that probabilities can be
+held against CERTAIN.  A prediction counts only if a template of that family confirms it: at
+least CONFIRMED of the bigrams of the template, or of the window, are in the other, among
+them one that no other licence has.  What isn't confirmed is unknown if it's a licence with a
+probability that at most FALSE_ALARMS of held-out windows without one reach, and nothing of
+PROSE_HELD, and has COMMON bigrams that several licences share and PROSE doesn't have.
 
 Defined results: a null or empty text has no paragraphs and no licence; a document's
 licence is the family of its confirmed window with the highest probability, ties to the
-family that is first in TEMPLATES; rows are scanned as often as they occur, texts whole; other
+family that is first in TEMPLATES; without one it is "unknown" if a window is, which n_licensed
+doesn't count; rows are scanned as often as they occur, texts whole; other
 columns are not looked at; an empty table gives an empty one (the classifier is then trained
 on the templates alone).
 """
@@ -31,11 +36,13 @@ from pyspark.sql import functions as F
 from gridloom.llm import textvec as V
 
 CELLS = 1 << 16
-BACKGROUND, WINDOWS, EDITS, HELD, EPOCHS = 4000, 3, 60, 20, 15
+BACKGROUND, WINDOWS, EDITS, HELD, UNLISTED_EDITS, EPOCHS = 4000, 3, 60, 20, 5, 15
 #: Words from one window to the next; a window has twice as many.
 STEP = 6
 CERTAIN, CONFIRMED = 0.6, 0.6
-NONE = "none"
+NONE, UNKNOWN = "none", "unknown"
+#: Share of held-out windows without a licence that may be called unknown, and bigrams common to licences that such a window has.
+FALSE_ALARMS, COMMON = 1e-3, 1
 
 #: Notices by which licences are named, and the sentences that open or mark their texts.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -112,6 +119,76 @@ NEAR_MISSES = (
     "The general public was admitted under the terms of the new version.",
 )
 
+#: Prose in words that licences use, trained on as NONE ...
+PROSE = (
+    "Under the terms of the treaty the river is open to the ships of both countries.",
+    "The contract is subject to the approval of the council and to the law of the land.",
+    "He was the first person to be granted a license by the city.",
+    "The conditions of the sale were made public the next day.",
+    "You may not enter the garden without the permission of the owner.",
+    "Her version of the story is different from the one in the file.",
+    "The source of the river is marked by a stone, and the code of the tribe forbids its use.",
+    "The general told the public that the work of the foundation would go on.",
+    "Driving without a license is punished under the law.",
+    "The new version of the program is sold with a license for five computers.",
+    "The company paid for a license to use the patent, for any purpose it liked.",
+    "The terms of the license were discussed by the members of the board.",
+    "They use and copy the old forms, with or without changes.",
+    "Copies of the book may be obtained at the library free of charge.",
+    "This work is the first of its kind and was published in 1905.",
+    "The software is distributed on disks and runs in all versions of the system.",
+)
+#: ... and held out, to fit the bound of UNKNOWN.
+PROSE_HELD = (
+    "All the rights of the owner are subject to the terms of the will.",
+    "The pilot lost his license in the spring, and the ship was sold.",
+    "The public is free to use the park under the conditions of the charter.",
+    "A fishing license is granted to any person who pays the fee.",
+    "The library may copy and distribute the works of the author.",
+    "The software of the machine was written by members of the public.",
+    "Version two of the plan is open to anyone and free of any restriction.",
+    "No person may modify this file without the permission of the general.",
+)
+#: Licences that aren't listed, by name and identifier.  Trained on as UNKNOWN ...
+UNLISTED = (
+    ("Artistic License", "Artistic-2.0"), ("Common Development and Distribution License", "CDDL-1.0"), ("European Union Public Licence", "EUPL-1.2"),
+    ("Microsoft Public License", "MS-PL"), ("Boost Software License", "BSL-1.0"), ("Academic Free License", "AFL-3.0"), ("Open Software License", "OSL-3.0"),
+    ("GNU Free Documentation License", "GFDL-1.3-only"), ("Q Public License", "QPL-1.0"), ("IBM Public License", "IPL-1.0"), ("CeCILL license", "CECILL-2.1"),
+    ("wxWindows Library Licence", "wxWindows"), ("Educational Community License", "ECL-2.0"), ("Sun Public License", "SPL-1.0"), ("Ruby License", "Ruby"),
+    ("PHP License", "PHP-3.01"), ("Business Source License", "BUSL-1.1"), ("CC BY-ND 4.0", "CC-BY-ND-4.0"), ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"), ("CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-3.0"), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-3.0"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC-BY-NC-ND-3.0"),
+)
+#: ... and held out, to fit the temperature and the bound of UNKNOWN.
+UNLISTED_HELD = (
+    ("zlib License", "Zlib"), ("Python Software Foundation License", "PSF-2.0"), ("PostgreSQL License", "PostgreSQL"), ("SIL Open Font License", "OFL-1.1"),
+    ("Common Public License", "CPL-1.0"), ("Lucent Public License", "LPL-1.02"), ("NASA Open Source Agreement", "NASA-1.3"), ("Server Side Public License", "SSPL-1.0"),
+)
+#: The sentences of TEMPLATES, and others, with another licence's name or identifier in them.
+CARRIERS = (
+    "Released under the {name}.",
+    "Licensed under the {name}, Version 2.0.",
+    "Licensed under the {name}.",
+    "Licensed under {name}.",
+    "Licensed under the {name}, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "You may obtain a copy of the License at http://www.{id}.org/licenses/LICENSE-2.0",
+    "This work is licensed under the {name}, version 3.",
+    "This work is licensed under a {name}.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the {name}",
+    "This library is licensed under the {name}, version 2.1.",
+    "This Source Code Form is subject to the terms of the {name}, v. 2.0.",
+    "This file is distributed under the terms of the {name}, version 1.0.",
+    "SPDX-License-Identifier: {id}",
+    "SPDX-License-Identifier: {bare}",
+)
+#: Sentences of unlisted licences that are close to a template.
+UNLISTED_TEXTS = (
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+)
+
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
 _WORD[[b for b in range(128) if chr(b).isalnum()]] = True
@@ -174,13 +251,28 @@ def _bags(paragraphs: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Classifier:
-    """families (the last is NONE), weights (cells x families), bias, temperature, and each family's templates as sets of bigrams."""
+    """families (the last two are UNKNOWN and NONE), weights (cells x families), bias, temperature, each family's templates as sets of bigrams.
+
+    marks: the bigrams of each family that no other licence has, listed or trained on as UNKNOWN; common: those of several licences and no prose;
+    bound: the probability of any licence from which a window without a confirmed family is unknown.
+    """
 
     families: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     templates: list[list[np.ndarray]]
+    marks: list[np.ndarray]
+    common: np.ndarray
+    bound: float
+
+    def confirms(self, family: int, own: np.ndarray) -> bool:
+        """Whether a template of the family is in a window of these bigrams, or the window in it, with a mark of that template."""
+        for template in self.templates[family]:
+            shared = template[np.isin(template, own)]
+            if len(shared) >= CONFIRMED * min(len(template), len(own)) and np.isin(shared, self.marks[family]).any():
+                return True
+        return False
 
     def scores(self, block: V.Block) -> tuple[V.Spans, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The block's lines; of each window its probabilities, its line, and where its words start and end; the bigram behind each word."""
@@ -234,16 +326,26 @@ def _cut(paragraphs: list[str], rng: np.random.Generator) -> list[str]:
     return sorted(set(out))
 
 
+def _carried(names: tuple[tuple[str, str], ...]) -> list[list[str]]:
+    """For each licence the sentences of CARRIERS about it."""
+    return [[c.format(name=name, id=id_, bare=id_.split("-")[0]) for c in CARRIERS] for name, id_ in names]
+
+
 def train(background: list[str], seed: int = 11) -> Classifier:
     """A classifier from the templates and paragraphs of the corpus.  The same paragraphs, in any order, give the same one."""
     rng = np.random.default_rng(seed)
-    families = [*TEMPLATES, NONE]
+    families = [*TEMPLATES, UNKNOWN, NONE]
     bags = _bags([t for own in TEMPLATES.values() for t in own])
     templates, at = [], 0
     for own in TEMPLATES.values():
         templates.append([b for _, b in bags[at : at + len(own)]])
         at += len(own)
-    known = np.unique(np.concatenate([b for own in templates for b in own]))
+    unlisted, unlisted_held = (_carried(names) for names in (UNLISTED, UNLISTED_HELD))
+    unlisted.append(list(UNLISTED_TEXTS))
+    each = [np.unique(np.concatenate(own)) for own in templates] + [np.unique(np.concatenate([b for _, b in _bags(own)])) for own in unlisted]
+    known, licences = np.unique(np.concatenate(each), return_counts=True)
+    common = known[licences > 1]
+    marks = [np.setdiff1d(own, common) for own in each[: len(TEMPLATES)]]
     background = sorted(set(background))
     filler = [w for p in background[:200] for w in p.split()[:20]]
     cut = _cut(background, rng)
@@ -254,10 +356,18 @@ def train(background: list[str], seed: int = 11) -> Classifier:
             texts += [t, *(_edited(t, rng, filler) for _ in range(EDITS + HELD))]
             labels += [k] * (1 + EDITS + HELD)
     held = np.arange(len(texts)) % (1 + EDITS + HELD) > EDITS
-    none = [*plain, *NEAR_MISSES, *(_edited(t, rng, filler) for t in NEAR_MISSES for _ in range(EDITS))]
-    texts += none
-    labels += [len(families) - 1] * len(none)
-    held = np.concatenate([held, np.arange(len(none)) % 5 == 4])
+    for out, names in ((False, unlisted), (True, unlisted_held)):
+        own = [x for each_ in names for t in each_ for x in (t, *(_edited(t, rng, filler) for _ in range(UNLISTED_EDITS)))]
+        texts += own
+        labels += [len(families) - 2] * len(own)
+        held = np.concatenate([held, np.full(len(own), out)])
+    prose = [*NEAR_MISSES, *PROSE]
+    none = [*plain, *prose, *(_edited(t, rng, filler) for t in prose for _ in range(EDITS))]
+    aside = [x for t in PROSE_HELD for x in (t, *(_edited(t, rng, filler) for _ in range(UNLISTED_EDITS)))]
+    common = np.setdiff1d(common, np.concatenate([b for _, b in _bags(prose)]))
+    texts += none + aside
+    labels += [len(families) - 1] * (len(none) + len(aside))
+    held = np.concatenate([held, np.arange(len(none)) % 5 == 4, np.ones(len(aside), bool)])
     rows = [np.unique((h % CELLS).astype(np.int64)) for h, _ in _bags(texts)]
     y = np.array(labels)
     w, b = np.zeros((CELLS, len(families)), np.float32), np.zeros(len(families), np.float32)
@@ -286,28 +396,30 @@ def train(background: list[str], seed: int = 11) -> Classifier:
     test = np.flatnonzero(held)
     z = np.array([w[rows[k]].sum(axis=0) / np.sqrt(max(1, len(rows[k]))) + b for k in test])
     loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(test)), y[test]] + 1e-12).mean()
-    return Classifier(families, w, b, float(min(np.geomspace(0.25, 4, 33), key=loss)), templates)
+    temperature = float(min(np.geomspace(0.25, 4, 33), key=loss))
+    any_ = 1 - _softmax(z / temperature)[:, -1]
+    bound = max(0.5, float(np.quantile(any_[y[test] == len(families) - 1], 1 - FALSE_ALARMS)), float(any_[-len(aside) :].max()))
+    return Classifier(families, w, b, temperature, templates, marks, common, bound)
 
 
 def scan_block(model: Classifier, block: V.Block) -> tuple[np.ndarray, np.ndarray, list[str | None], np.ndarray]:
-    """Of each text: paragraphs, those with a confirmed licence, its licence and the probability."""
+    """Of each text: paragraphs, those with a confirmed licence, its licence (or UNKNOWN) and the probability."""
     lines, p, line, start, end, two = model.scores(block)
     total = np.bincount(lines.doc[np.unique(line)], minlength=block.rows)
-    family, best = p.argmax(axis=1), p.max(axis=1, initial=0)
-    hits = np.flatnonzero((family < len(model.families) - 1) & (best >= CERTAIN))
+    listed = len(model.families) - 2
+    family, best, any_ = p[:, :listed].argmax(axis=1), p[:, :listed].max(axis=1, initial=0), 1 - p[:, -1]
     count, names, score = np.zeros(block.rows, np.int64), [None] * block.rows, np.zeros(block.rows)
     counted = -1
-    for k in hits.tolist():
-        own = np.unique(two[start[k] : end[k] - 1])
-        for template in model.templates[family[k]]:
-            shared = np.isin(template, own).sum()
-            if shared >= CONFIRMED * min(len(template), len(own)) and shared:
-                d = lines.doc[line[k]]
-                count[d] += line[k] != counted
-                counted = line[k]
-                if best[k] > score[d] or (best[k] == score[d] and family[k] < model.families.index(names[d])):
-                    score[d], names[d] = best[k], model.families[family[k]]
-                break
+    for k in np.flatnonzero((best >= CERTAIN) | (any_ >= model.bound)).tolist():
+        own, d = np.unique(two[start[k] : end[k] - 1]), lines.doc[line[k]]
+        if best[k] >= CERTAIN and model.confirms(family[k], own):
+            count[d] += line[k] != counted
+            counted = line[k]
+            better = best[k] > score[d] or (best[k] == score[d] and family[k] < model.families.index(names[d]))
+            if names[d] in (None, UNKNOWN) or better:
+                score[d], names[d] = best[k], model.families[family[k]]
+        elif names[d] in (None, UNKNOWN) and any_[k] >= max(model.bound, score[d]) and np.isin(own, model.common).sum() >= COMMON:
+            score[d], names[d] = any_[k], UNKNOWN
     return total, count, names, score
 
 
@@ -322,7 +434,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Cl
 
 
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row its id, n_paragraphs, n_licensed, license (null if none) and confidence."""
+    """For each row its id, n_paragraphs, n_licensed, license (UNKNOWN if it's of no listed family, null if none) and confidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x families weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -259,6 +259,27 @@ def test_licenses_inside_long_lines(spark, docs, before):
     assert got == want
 
 
+def test_unlisted_licenses_are_unknown(spark, docs):
+    model = licenses.learn(docs)
+    names = ["Eclipse Public License", "Reciprocal Public License", "Mulan Permissive Software License", "Sleepycat License"]
+    assert not {n for n, _ in (*licenses.UNLISTED, *licenses.UNLISTED_HELD)} & set(names)
+    unlisted = [
+        *(f"Licensed under the {n}, Version 2.0." for n in names),
+        *(f"Released under the {n}." for n in names),
+        *(f"This Source Code Form is subject to the terms of the {n}, v. 2.0." for n in names),
+        *(f"This program is free software; you can redistribute it and/or modify it under the terms of the {n}" for n in names),
+        "SPDX-License-Identifier: EPL-2.0",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ]
+    listed = [(f, t) for f, own in licenses.TEMPLATES.items() for t in own]
+    listed += [("LGPL", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License")]
+    plain = ["The license of the boat expired.", "He holds a license to sell fish in the market.", "All the terms of the public contract were made available under the new law."]
+    held = [*unlisted, *(t for _, t in listed), *plain, unlisted[0] + "\n" + listed[0][1]]
+    got = [x for b in V.blocks(pa.array(held)) for x in zip(licenses.scan_block(model, b)[2], licenses.scan_block(model, b)[1].tolist(), strict=True)]
+    assert got == [("unknown", 0)] * len(unlisted) + [(f, 1) for f, _ in listed] + [(None, 0)] * len(plain) + [(listed[0][0], 1)]
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 64, 1000, 4097):
         for key in (0, 5):
