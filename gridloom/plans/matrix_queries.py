@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,20 +100,42 @@ def matrix_random(spark, sf_dir):
     return M.random(spark, 20, 20, -5, 5, 3)
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symmetric, positive 4 x 4 matrices of embeddings, one for each label: m, i, j, v."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("m"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x"), F.col("vec_id"))
-    other_ = vectors.select("m", F.col("i").alias("j"), F.col("x").alias("y"), "vec_id")
-    gram = vectors.join(other_, ["m", "vec_id"]).groupBy("m", "i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("v"))
-    return gram.select("m", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), (F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetric, positive matrices of all components of embeddings, one for each label: m, i, j, v.
+
+    Every task sums the products of its own vectors, so one matrix a label and task is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            label, lists = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1)
+            length, flat = lists.value_lengths().to_numpy(), lists.flatten().fill_null(0.0).to_numpy(zero_copy_only=False)
+            start = np.cumsum(length) - length
+            for m in set(label.tolist()):
+                for n in np.unique(length[label == m]).tolist():
+                    x = flat[start[(label == m) & (length == n)][:, None] + np.arange(n)]
+                    held = sums.get(m, np.zeros((0, 0)))
+                    total = np.zeros((max(n, len(held)),) * 2)
+                    total[: len(held), : len(held)] = held
+                    total[:n, :n] += x.T @ x
+                    sums[m] = total
+        for m, total in sums.items():
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([m] * total.size, pa.string()), pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["m", "i", "j", "v"])
+
+    vectors = table(spark, sf_dir, "embeddings").where("label is not null and embedding is not null")
+    parts = vectors.select(F.col("label").cast("string").alias("m"), F.col("embedding").cast("array<double>").alias("x")).mapInArrow(run, "m string, i bigint, j bigint, v double")
+    gram = parts.groupBy("m", "i", "j").agg(F.sum("v").alias("v"))
+    return gram.select("m", "i", "j", (F.col("v") + F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
 
 
 for _name, _f in (("lu", M.lu), ("cholesky", M.cholesky), ("qr", M.qr), ("svd", M.svd), ("eigen_symmetric", M.eigen_symmetric), ("eigen", M.eigen), ("inverse", M.inverse), ("scalars", M.scalars), ("adjugate", M.adjugate)):
-    query(None, f"matrix_{_name}")(lambda spark, sf_dir, f=_f: f(_small(spark, sf_dir)))
+    query(None, f"matrix_{_name}")(lambda spark, sf_dir, f=_f: f(_grams(spark, sf_dir)))
 
 
 @query()
 def matrix_solve(spark, sf_dir):
-    a = _small(spark, sf_dir)
+    a = _grams(spark, sf_dir)
     b = a.where("j = 0").withColumn("v", F.col("i") + 1.0)
     return M.solve(a, b)
