@@ -51,7 +51,7 @@ def buckets(r: Raster, start: int, end: int, n: int, most: int | None = None) ->
 def co_occurrence(r: Raster, d: int = 1) -> DataFrame:
     """Symmetric counts of gray levels at distance d in four directions: image, angle, i, j, n.  i and j are the levels' ranks."""
     v = r.plane()
-    rank = F.broadcast(r.px.select("image", v.alias("v")).distinct().withColumn("k", (F.dense_rank().over(Window.partitionBy("image").orderBy("v")) - 1).cast("bigint")))
+    rank = r.px.select("image", v.alias("v")).distinct().withColumn("k", (F.dense_rank().over(Window.partitionBy("image").orderBy("v")) - 1).cast("bigint"))
     px = r.px.select("image", "row", "col", v.alias("v")).join(rank, ["image", "v"]).select("image", "row", "col", "k")
     moves = F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(dr).cast("bigint").alias("dr"), F.lit(dc).cast("bigint").alias("dc")) for a, dr, dc in ((0, 0, d), (45, d, -d), (90, d, 0), (135, d, d))))
     there = px.withColumn("m", F.explode(moves)).select("image", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col"), F.col("k").alias("i"), F.col("m.angle").alias("angle"))

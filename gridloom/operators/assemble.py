@@ -100,7 +100,7 @@ def transition(a: Raster, b: Raster, frames: int = 30) -> Raster:
 def shadow(r: Raster, x: int = 6, y: int = 6, blur: int = 5, darkness: float = 0.5) -> Raster:
     """Darkened, blurred copy of what isn't the first corner's colour, behind it."""
     bg = r.px.where("row = 0 and col = 0").select("image", F.col("s").alias("bg"))
-    marked = r.px.join(F.broadcast(bg), "image")
+    marked = r.px.join(bg, "image")
     mask = Raster(marked.select(*CELL, F.array(F.when(F.col("s") == F.col("bg"), F.lit(0)).otherwise(F.lit(255)).cast("bigint")).alias("s")), r.height, r.width)
     soft = neighbours.box(mask, blur, blur).px.select("image", (F.col("row") + y).alias("row"), (F.col("col") + x).alias("col"), F.col("s")[0].alias("m"))
     px = marked.join(soft, list(CELL), "left")

@@ -98,13 +98,16 @@ def fade(a: Raster, b: Raster, factor: float) -> Raster:
 
 
 def anaglyph(left: Raster, right: Raster, offset: int = 30) -> Raster:
-    """Left luminance in green and blue, right in red, moved by offset columns; where one is missing its planes are 0."""
-    lum = lambda r: rounded(color.luminosity(*(r.plane(k) for k in range(3))))
-    l_px = left.px.select(*CELL, lum(left).alias("l"))
-    r_px = right.px.select("image", "row", (F.col("col") + offset).alias("col"), lum(right).alias("r")).where(F.col("col").between(0, left.width - 1))
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
-    px = l_px.join(r_px, list(CELL), "left")
-    return replace(left, px=px.select(*CELL, F.array(zero(F.col("r")), zero(F.col("l")), zero(F.col("l"))).alias("s")), depth=3)
+    """Left luminance in green and blue, right in red, each moved by half the offset against the other; where one is missing its planes are 0."""
+    half = offset >> 1
+
+    def moved(r: Raster, by: int, name: str):
+        lum = (color.fast_luminosity if r.maxval <= 255 else lambda *p: rounded(color.luminosity(*p)))(*(r.plane(k) for k in range(3)))
+        return r.px.select("image", "row", (F.col("col") + by).alias("col"), lum.alias(name)).where(F.col("col").between(0, left.width - 1))
+
+    px = moved(left, -half, "l").join(moved(right, offset - half, "r"), list(CELL), "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return replace(left, px=px.select(*CELL, F.array(zero("r"), zero("l"), zero("l")).alias("s")), depth=3)
 
 
 def sharpen_by_mask(r: Raster, mask: Raster) -> Raster:

@@ -29,19 +29,19 @@ def bitmap(spark: SparkSession, height: int, width: int, kind: str = "white") ->
 
 
 def ramp(spark: SparkSession, height: int, width: int, kind: str = "lr", maxval: int = 255) -> Raster:
-    """From 0 to maxval: lr, tb; from the edge to the middle: rectangle, ellipse."""
+    """From 0 to maxval: lr, tb; from the corners to the middle: rectangle, by the mean distance from both middle lines; ellipse, by the square of the distance."""
     row, col = F.col("row"), F.col("col")
     if kind == "lr":
         v = F.floor(col * maxval / F.lit(max(1, width - 1)))
     elif kind == "tb":
         v = F.floor(row * maxval / F.lit(max(1, height - 1)))
-    elif kind == "rectangle":
-        r = F.abs(row - height // 2) * maxval / F.lit(max(1, height // 2))
-        c = F.abs(col - width // 2) * maxval / F.lit(max(1, width // 2))
-        v = maxval - F.floor(F.greatest(r, c))
     else:
-        y, x = (row - height // 2) / F.lit(max(1.0, height / 2)), (col - width // 2) / F.lit(max(1.0, width / 2))
-        v = F.floor(maxval * (1 - F.least(F.lit(1.0), F.sqrt(x * x + y * y))))
+        up, side = max(1, height // 2), max(1, width // 2)
+        r, c = ((F.abs(half - x) / F.lit(float(half))).cast("float") for x, half in ((row, up), (col, side)))  # single precision, as the bounds of levels depend on it
+        if kind == "rectangle":
+            v = F.floor(maxval - (r + c).cast("double") / 2.0 * maxval)
+        else:
+            v = F.floor((F.lit(maxval).cast("float") - F.least(r * r + c * c, F.lit(1.0).cast("float")) * F.lit(maxval).cast("float")).cast("double"))
     return _of(spark, height, width, maxval, clamp(v, maxval))
 
 
@@ -60,13 +60,13 @@ def all_tuples(spark: SparkSession, depth: int, maxval: int) -> Raster:
     return _of(spark, 1, n, maxval, *digits)
 
 
-def distance_kernel(spark: SparkSession, height: int, width: int, weight: float = 6.0) -> Raster:
-    """A convolution kernel that falls with distance, in offset form: 1 / (1 + weight * distance), scaled to 128..255."""
-    y, x = F.col("row") - height // 2, F.col("col") - width // 2
-    k = 1 / (1 + weight * F.sqrt((x * x + y * y).cast("double")))
-    total = sum(1 / (1 + weight * math.hypot(r - height // 2, c - width // 2)) for r in range(height) for c in range(width))
-    top = 1 / total
-    return _of(spark, height, width, 255, rounded(k / F.lit(total) * 127 / F.lit(top) + 128))
+def distance_kernel(spark: SparkSession, height: int, width: int, weight: float = 6.0, maxval: int = 255) -> Raster:
+    """A convolution kernel that falls with the distance from the middle, 1 / (1 + weight * distance), in offset form: the largest is maxval, 0 would be half of it."""
+    falls = lambda y, x: 1.0 / (1.0 + weight * math.sqrt((y - (height - 1) / 2) ** 2 + (x - (width - 1) / 2) ** 2))
+    top = max(falls(y, x) for y in (height // 2, (height - 1) // 2) for x in (width // 2, (width - 1) // 2))
+    y, x = F.col("row") - (height - 1) / 2, F.col("col") - (width - 1) / 2
+    k = F.lit(1.0) / (1.0 + weight * F.sqrt(y * y + x * x))
+    return _of(spark, height, width, maxval, F.floor(maxval * (k / F.lit(2 * top) + 0.5)))
 
 
 def noise(spark: SparkSession, height: int, width: int, seed: int, maxval: int = 255) -> Raster:

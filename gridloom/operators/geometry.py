@@ -10,10 +10,11 @@ import math
 from collections.abc import Callable
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.raster import CELL, Raster, clamp, full_grid
+from gridloom.raster import CELL, Raster, clamp, full_grid, rounded
 
 
 def _moved(r: Raster, row: Column, col: Column, **changed) -> Raster:
@@ -56,10 +57,10 @@ def sample(r: Raster, height: int, width: int) -> Raster:
     return replace(r, px=src.join(own, ["image", "r0", "c0"]).select(*CELL, "s"), height=height, width=width)
 
 
-def area_weights(old: int, new: int) -> list[tuple[int, int, float]]:
-    """Shares of the old cells in each new one, by overlap."""
+def area_weights(old: int, new: int, first: int = 0, last: int | None = None) -> list[tuple[int, int, float]]:
+    """Shares of the old cells in the new ones from first to before last, by overlap."""
     out, scale = [], old / new
-    for k in range(new):
+    for k in range(first, new if last is None else last):
         a, b = k * scale, (k + 1) * scale
         for j in range(int(a), min(old, math.ceil(b - 1e-12))):
             share = (min(b, j + 1) - max(a, j)) / scale
@@ -130,12 +131,12 @@ FILTERS: dict[str, tuple[Callable[[float], float], float, bool]] = {
 }
 
 
-def filter_weights(old: int, new: int, name: str) -> list[tuple[int, int, float]]:
-    """Normalised weights of the old cells in each new one, by a kernel widened when shrinking."""
+def filter_weights(old: int, new: int, name: str, first: int = 0, last: int | None = None) -> list[tuple[int, int, float]]:
+    """Normalised weights of the old cells in the new ones from first to before last, by a kernel widened when shrinking."""
     f, reach, windowed = FILTERS[name]
     wide = max(1.0, old / new)
     out = []
-    for k in range(new):
+    for k in range(first, new if last is None else last):
         centre = (k + 0.5) * old / new
         near = range(max(0, math.floor(centre - reach * wide)), min(old, math.ceil(centre + reach * wide)))
         own = {}
@@ -149,18 +150,25 @@ def filter_weights(old: int, new: int, name: str) -> list[tuple[int, int, float]
     return out
 
 
-def _resampled(px: DataFrame, axis: str, weights: list[tuple[int, int, float]], depth: int) -> DataFrame:
-    """x, an array of doubles, summed by weight along an axis.  The table has a few entries for each place of the axis."""
+def _resampled(px: DataFrame, axis: str, old: int, new: int, name: str | None, depth: int, unit: int = 0) -> DataFrame:
+    """x, an array of doubles, summed by weight along an axis.  The table of weights has a few entries for each place of the axis and is made by the tasks that read it."""
     other = "col" if axis == "row" else "row"
-    table = F.broadcast(px.sparkSession.createDataFrame(weights, f"out bigint, {axis} bigint, w double"))
+
+    def weights(batches):
+        for pdf in batches:
+            own = [w for k in pdf.id.tolist() for w in (area_weights(old, new, k, k + 1) if name is None else filter_weights(old, new, name, k, k + 1))]
+            yield pd.DataFrame(own, columns=["out", axis, "w"])
+
+    table = px.sparkSession.range(new).mapInPandas(weights, f"out bigint, {axis} bigint, w double")
+    if unit:
+        table = table.withColumn("w", F.floor(F.col("w") * unit + 0.5).cast("double"))
     return px.join(table, axis).groupBy("image", F.col("out").alias(axis), other).agg(F.array(*(F.sum(F.col("x")[k] * F.col("w")) for k in range(depth))).alias("x"))
 
 
 def resample(r: Raster, height: int, width: int, name: str | None = None) -> Raster:
     """Another size by area mixing or one of FILTERS."""
-    weights = (lambda a, b: filter_weights(a, b, name)) if name else area_weights
     px = r.px.select(*CELL, F.transform("s", lambda x: x.cast("double")).alias("x"))
-    px = _resampled(_resampled(px, "row", weights(r.height, height), r.depth), "col", weights(r.width, width), r.depth)
+    px = _resampled(_resampled(px, "row", r.height, height, name, r.depth), "col", r.width, width, name, r.depth)
     return replace(r, px=px.select(*CELL, F.transform("x", lambda x: clamp(F.floor(x + 0.5 + 1e-9), r.maxval)).alias("s")), height=height, width=width)
 
 
@@ -170,10 +178,9 @@ UNIT = 4096
 
 def resample_fixed(r: Raster, height: int, width: int) -> Raster:
     """Area mixing with weights in 12-bit fixed point."""
-    fixed = lambda a, b: [(k, j, float(round(w * UNIT))) for k, j, w in area_weights(a, b)]
     px = r.px.select(*CELL, F.transform("s", lambda x: x.cast("double")).alias("x"))
     for axis, old, new in (("row", r.height, height), ("col", r.width, width)):
-        px = _resampled(px, axis, fixed(old, new), r.depth).withColumn("x", F.transform("x", lambda x: F.floor((x + UNIT // 2) / UNIT).cast("double")))
+        px = _resampled(px, axis, old, new, None, r.depth, UNIT).withColumn("x", F.transform("x", lambda x: F.floor((x + UNIT // 2) / UNIT).cast("double")))
     return replace(r, px=px.select(*CELL, F.transform("x", lambda x: clamp(x, r.maxval)).alias("s")), height=height, width=width)
 
 
@@ -273,15 +280,19 @@ def margin(r: Raster, n: int, fill: tuple[int, ...] | None = None) -> Raster:
 
 
 def globe(r: Raster, strips: int) -> Raster:
-    """Strips that narrow to the poles, to be cut out and glued round a ball; black between."""
+    """Strips that narrow to the poles, to be cut out and glued round a ball; black between.
+
+    Columns beyond the last whole strip begin another one.  At the pole itself, where a strip has no width, all is black.
+    """
     w = r.width // strips
     factor = F.sin(F.lit(math.pi) * F.col("row") / r.height)
-    border = F.floor((1 - factor) * w / 2).cast("bigint")
+    border = rounded((1 - factor) * w / 2)
     x = F.col("col") % w
-    g = full_grid(r, r.height, w * strips).withColumn("inside", (x >= border) & (x < w - border) & (factor > 0))
-    g = g.withColumn("c0", F.when(F.col("inside"), F.least(F.lit(r.width - 1), F.col("col") - x + F.floor((x - border) / F.nullif(factor, F.lit(0.0))))).cast("bigint"))
+    g = full_grid(r, r.height, r.width).withColumn("inside", (x >= border) & (x <= w - border) & (factor > 0))
+    from_ = F.col("col") - x + F.floor((x - border) / F.nullif(factor, F.lit(0.0)))
+    g = g.withColumn("c0", F.when(F.col("inside"), F.least(F.lit(r.width - 1), from_)).cast("bigint"))
     own = r.px.select("image", "row", F.col("col").alias("c0"), "s")
-    return replace(r, px=g.join(own, ["image", "row", "c0"], "left").select(*CELL, F.coalesce("s", F.array(*[F.lit(0).cast("bigint")] * r.depth)).alias("s")), width=w * strips)
+    return replace(r, px=g.join(own, ["image", "row", "c0"], "left").select(*CELL, F.coalesce("s", F.array(*[F.lit(0).cast("bigint")] * r.depth)).alias("s")))
 
 
 def drip(r: Raster) -> Raster:

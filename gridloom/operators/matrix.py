@@ -166,8 +166,9 @@ def epsilon(v: Column) -> Column:
 
 
 def equal(a: DataFrame, b: DataFrame) -> DataFrame:
-    near = F.abs(F.col("v") - F.col("w")) <= epsilon(F.col("v"))
-    return a.join(b.withColumnRenamed("v", "w"), ["i", "j"], "full").agg(F.coalesce(F.bool_and(F.coalesce(near, F.lit(False))), F.lit(True)).alias("equal"))
+    """Whether two matrices are equal; a cell that is missing is 0."""
+    v, w = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("v", "w"))
+    return a.join(b.withColumnRenamed("v", "w"), ["i", "j"], "full").agg(F.coalesce(F.bool_and(F.abs(v - w) <= epsilon(v)), F.lit(True)).alias("equal"))
 
 
 def _all(condition: Column) -> Column:

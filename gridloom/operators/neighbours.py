@@ -94,11 +94,12 @@ def enhance(r: Raster, n: int = 9) -> Raster:
 
 
 def relief(r: Raster) -> Raster:
-    """Each cell less one above and two to the right, around the middle of the scale; black border."""
-    new = F.array(*(clamp(at(1, 1, k) + r.maxval // 2 - at(0, 3, k), r.maxval) for k in range(r.depth)))
-    px = block(r, 1, 2).withColumn("nb", F.transform("nb", lambda line: F.slice(line, 2, 4)))
-    inner = F.col("row").between(1, r.height - 2) & F.col("col").between(1, r.width - 3)
-    return replace(r, px=px.select(*CELL, F.when(inner, new).otherwise(F.transform("s", lambda x: x * 0)).alias("s")))
+    """The cell below and to the left less the one to the right, around the middle of the scale; black border.
+
+    The result isn't held within the scale: what is kept is what the one or two bytes of a raw sample hold.
+    """
+    size = 256 if r.maxval < 256 else 65536
+    return per_plane(r, lambda v: F.pmod(v(2, 0) + (r.maxval // 2 - v(1, 2)), F.lit(size)), border="black")
 
 
 def _around(r: Raster, template: list[list[int]], worst, plane: int) -> list[Column]:

@@ -165,7 +165,7 @@ def brighten(r: Raster, saturation: int = 0, value: int = 0, normalize: bool = F
     px = r.px.select(*CELL, h.alias("h"), s.alias("sat"), v.alias("v"))
     if normalize:
         ends = px.groupBy("image").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-        px = px.join(F.broadcast(ends), "image").withColumn("v", F.coalesce((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.col("v")))
+        px = px.join(ends, "image").withColumn("v", F.coalesce((F.col("v") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.col("v")))
     sat = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("sat") * (100 + saturation) / 100))
     val = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v") * (100 + value) / 100))
     rgb = color.from_hsv(F.col("h"), sat, val)
@@ -208,38 +208,62 @@ def histogram(r: Raster):
     return r.px.groupBy("image", v.alias("v")).agg(F.count("*").alias("n"))
 
 
-def normalize(r: Raster, low_percent: float = 2.0, high_percent: float = 1.0) -> Raster:
-    """Contrast between the levels below which low_percent and above which high_percent of the cells lie."""
-    h, w = histogram(r), Window.partitionBy("image").orderBy("v")
-    down = Window.partitionBy("image").orderBy(F.desc("v"))
-    all_ = F.sum("n").over(Window.partitionBy("image"))
-    h = h.withColumn("up", F.sum("n").over(w) * 100 > low_percent * all_).withColumn("down", F.sum("n").over(down) * 100 > high_percent * all_)
-    ends = h.groupBy("image").agg(F.min(F.when(F.col("up"), F.col("v"))).alias("lo"), F.max(F.when(F.col("down"), F.col("v"))).alias("hi"))
-    px = r.px.join(F.broadcast(ends), "image")
+def normalize(r: Raster, low_percent: float = 2.0, high_percent: float = 1.0, low: int | None = None, high: int | None = None, keep_hues: bool = False) -> Raster:
+    """Contrast between the levels up to which low_percent and down to which high_percent of the cells lie, in whole cells.
+
+    low and high, if given, are those levels.  With keep_hues a colour's planes are all scaled as its luminosity is.
+    A share of less than a cell leaves its end of the scale where it is; if only one level is left, it becomes half of maxval.
+    """
+    v = r.plane() if r.depth == 1 else F.floor(color.luminosity(*(r.plane(k) for k in range(3)))).cast("bigint")
+    h, one = r.px.groupBy("image", v.alias("v")).agg(F.count("*").alias("n")), Window.partitionBy("image")
+    share = lambda percent: F.floor(F.sum("n").over(one) * F.lit(float(percent)) / 100.0)
+    h = h.withColumn("up", F.sum("n").over(one.orderBy("v"))).withColumn("down", F.sum("n").over(one.orderBy(F.desc("v"))))
+    h = h.withColumn("lows", share(low_percent)).withColumn("highs", share(high_percent))
+    ends = h.groupBy("image").agg(
+        F.min(F.when(F.col("lows") == 0, F.lit(0)).when(F.col("up") >= F.col("lows"), F.col("v"))).alias("lo"),
+        F.max(F.when(F.col("highs") == 0, F.lit(r.maxval)).when(F.col("down") >= F.col("highs"), F.col("v"))).alias("hi"),
+    )
+    ends = ends.select("image", *(c if given is None else F.lit(given).alias(c) for c, given in (("lo", low), ("hi", high))))
+    px = r.px.join(ends, "image")
     span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
-    f = lambda x: F.when(x <= F.col("lo"), F.lit(0)).when(x >= F.col("hi"), F.lit(r.maxval)).otherwise(F.floor(((x - F.col("lo")) * r.maxval + F.floor(span / 2)) / span)).cast("bigint")
-    return Raster(px.select(*CELL, F.transform("s", f).alias("s")), r.height, r.width, r.maxval, r.depth)
+    new = lambda x: F.when(x < F.col("lo"), F.lit(0)).when(x > F.col("hi"), F.lit(r.maxval)).otherwise(F.least(F.lit(r.maxval), div_by(r.maxval // 2 + (x - F.col("lo")) * r.maxval, span))).cast("bigint")
+    if keep_hues and r.depth == 3:
+        old = v.cast("bigint")
+        scale = (new(old) / F.nullif(old, F.lit(0))).cast("float")
+        s = F.transform("s", lambda x: F.least(F.lit(r.maxval).cast("bigint"), F.coalesce(F.floor((x * scale).cast("float").cast("double") + 0.5), F.lit(0)).cast("bigint")))
+    else:
+        s = F.transform("s", new)
+    return Raster(px.select(*CELL, s.alias("s")), r.height, r.width, r.maxval, r.depth)
 
 
-def equalize_map(r: Raster):
-    """image, v, to: the equalising map of the levels that occur, the brightest to maxval."""
-    w = Window.partitionBy("image").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+def div_by(a, b):
+    """Whole quotient of bigints of 0 or more."""
+    return F.floor(a / b)
+
+
+def equalize_map(r: Raster, v=None):
+    """image, v, to: the equalising map of the levels 0..maxval, the brightest that occurs to maxval."""
+    h = r.px.groupBy("image", (r.plane() if v is None else v).alias("v")).agg(F.count("*").alias("n"))
+    every = h.select("image").distinct().withColumn("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r.maxval).cast("bigint"))))
     one = Window.partitionBy("image")
-    h = histogram(r).withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    h = h.withColumn("raw", F.floor(F.col("before") * r.maxval / F.sum("n").over(one) + 0.5).cast("bigint"))
-    top = F.max("raw").over(one)
-    return h.select("image", "v", F.when(top > 0, F.floor(F.col("raw") * r.maxval / F.nullif(top, F.lit(0)))).otherwise(F.col("raw")).cast("bigint").alias("to"))
+    h = every.join(h, ["image", "v"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    h = h.withColumn("raw", F.floor((F.sum("n").over(one.orderBy("v")) - F.col("n")) * F.lit(float(r.maxval)) / F.sum("n").over(one) + 0.5))
+    top = F.max(F.when(F.col("n") > 0, F.col("raw"))).over(one)
+    scaled = F.least(F.lit(r.maxval), F.floor(F.col("raw") * (F.lit(float(r.maxval)) / F.nullif(top, F.lit(0))) + 0.5))
+    return h.select("image", "v", F.coalesce(scaled, F.col("raw")).cast("bigint").alias("to"))
 
 
 def equalize(r: Raster) -> Raster:
-    """Histogram equalisation; colours keep their hue and saturation and get a new value."""
+    """Histogram equalisation, by luminosity; colours keep their hue and saturation and get the value their value maps to."""
     if r.depth == 1:
-        px = r.px.withColumn("v", r.plane()).join(F.broadcast(equalize_map(r)), ["image", "v"])
+        px = r.px.withColumn("v", r.plane()).join(equalize_map(r), ["image", "v"])
         return Raster(px.select(*CELL, F.array("to").alias("s")), r.height, r.width, r.maxval, 1)
-    top = F.greatest(*(r.plane(k) for k in range(3)))
-    value = r.with_cell(F.array(top), depth=1)
-    px = r.px.withColumn("v", top).join(F.broadcast(equalize_map(value)), ["image", "v"])
-    return Raster(px.select(*CELL, F.transform("s", lambda x: F.when(F.col("v") > 0, rounded(x * F.col("to") / F.nullif(F.col("v"), F.lit(0)))).otherwise(F.col("to"))).alias("s")), r.height, r.width, r.maxval, 3)
+    planes = [r.plane(k) for k in range(3)]
+    levels = equalize_map(r, F.floor(color.luminosity(*planes)).cast("bigint"))
+    px = r.px.withColumn("v", F.greatest(*planes)).join(levels, ["image", "v"])
+    h, s, _ = color.hsv(*planes, r.maxval)
+    new = color.from_hsv(h, s, F.col("to") / F.lit(float(r.maxval)))
+    return Raster(px.select(*CELL, F.array(*(F.floor(c * r.maxval).cast("bigint") for c in new)).alias("s")), r.height, r.width, r.maxval, 3)
 
 
 def rank_colors(r: Raster, by: str = "intensity"):

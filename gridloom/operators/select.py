@@ -62,7 +62,7 @@ def bounds(r: Raster, background: tuple[int, ...]) -> DataFrame:
 
 def crop(r: Raster, background: tuple[int, ...]) -> DataFrame:
     """Each image cut to its bounds: image, row, col, s.  Sizes may now differ by image."""
-    box = F.broadcast(bounds(r, background))
+    box = bounds(r, background)
     px = r.px.join(box, "image").where(F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right")))
     return px.select("image", (F.col("row") - F.col("top")).alias("row"), (F.col("col") - F.col("left")).alias("col"), "s")
 

@@ -66,15 +66,16 @@ GRAY = {
     "normalize_contrast": (
         point.normalize,
         """WITH h AS (SELECT v, count(*) AS n FROM img GROUP BY v),
-        c AS (SELECT v, sum(n) OVER (ORDER BY v) * 100 > 2 * sum(n) OVER () AS up, sum(n) OVER (ORDER BY v DESC) * 100 > 1 * sum(n) OVER () AS down FROM h),
-        e AS (SELECT min(v) FILTER (up) AS lo, max(v) FILTER (down) AS hi FROM c)
-        SELECT row, col, CASE WHEN v <= lo THEN 0 WHEN v >= hi THEN 255 ELSE ((v - lo) * 255 + greatest(hi - lo, 1) // 2) // greatest(hi - lo, 1) END::BIGINT AS p0 FROM img, e""",
+        t AS (SELECT (count(*) * 2) // 100 AS dark, count(*) // 100 AS bright FROM img),
+        c AS (SELECT v, sum(n) OVER (ORDER BY v) AS up, sum(n) OVER (ORDER BY v DESC) AS down FROM h),
+        e AS (SELECT CASE WHEN min(dark) = 0 THEN 0 ELSE min(v) FILTER (up >= dark) END AS lo, CASE WHEN min(bright) = 0 THEN 255 ELSE max(v) FILTER (down >= bright) END AS hi FROM c, t)
+        SELECT row, col, CASE WHEN v < lo THEN 0 WHEN v > hi THEN 255 ELSE least(255, (127 + (v - lo) * 255) // (hi - lo)) END::BIGINT AS p0 FROM img, e""",
     ),
     "equalize": (
         point.equalize,
         """WITH h AS (SELECT v, count(*) AS n FROM img GROUP BY v),
         c AS (SELECT v, floor(coalesce(sum(n) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT * 255 / (sum(n) OVER ())::BIGINT + 0.5) AS raw FROM h),
-        m AS (SELECT v, floor(raw * 255 / max(raw) OVER ())::BIGINT AS t FROM c)
+        m AS (SELECT v, least(255, floor(raw * (255::DOUBLE / max(raw) OVER ()) + 0.5))::BIGINT AS t FROM c)
         SELECT row, col, t AS p0 FROM img JOIN m USING (v)""",
     ),
     "rank_levels": (point.distinct_ranks, "WITH d AS (SELECT v, (row_number() OVER (ORDER BY v) - 1)::BIGINT AS k FROM (SELECT DISTINCT v FROM img)) SELECT row, col, k AS p0 FROM img JOIN d USING (v)"),
@@ -98,14 +99,14 @@ GRAY = {
     "stretch_linear": (lambda r: geometry.stretch(r, 2, 1), "WITH n AS (SELECT row, col, v, coalesce(lead(v) OVER (PARTITION BY row ORDER BY col), v) AS t FROM img), k AS (SELECT unnest(range(2)) AS k) SELECT row, col * 2 + k AS col, (v * (2 - k) + t * k) // 2 AS p0 FROM n, k"),
     "halve": (lambda r: geometry.resample(r, r.height, 50), "SELECT row, col // 2 AS col, floor(sum(v) * 0.5 + 0.5)::BIGINT AS p0 FROM img GROUP BY 1, 2"),
     "halve_fixed": (lambda r: geometry.resample_fixed(r, r.height, 50), "SELECT row, col // 2 AS col, floor(sum(v) * 0.5 + 0.5)::BIGINT AS p0 FROM img GROUP BY 1, 2"),
-    "globe": (lambda r: geometry.globe(r, 4), """WITH g AS (SELECT row, col, sin(pi() * row / height) AS f, col % 25 AS x FROM img, size), h AS (SELECT *, floor((1 - f) * 25 / 2)::BIGINT AS bd FROM g),
-        s AS (SELECT row, col, CASE WHEN x >= bd AND x < 25 - bd AND f > 0 THEN least(99, col - x + floor((x - bd) / f))::BIGINT END AS c0 FROM h)
+    "globe": (lambda r: geometry.globe(r, 4), """WITH g AS (SELECT row, col, sin(pi() * row / height) AS f, col % 25 AS x FROM img, size), h AS (SELECT *, floor((1 - f) * 25 / 2 + 0.5)::BIGINT AS bd FROM g),
+        s AS (SELECT row, col, CASE WHEN x >= bd AND x <= 25 - bd AND f > 0 THEN least(99, col - x + floor((x - bd) / f))::BIGINT END AS c0 FROM h)
         SELECT s.row, s.col, coalesce(v, 0) AS p0 FROM s LEFT JOIN img ON img.row = s.row AND img.col = s.c0"""),
     "box_blur": (lambda r: neighbours.box(r, 3, 3), "BOX"),
     "convolve": (lambda r: neighbours.convolve(r, [[0, -0.25, 0], [-0.25, 2, -0.25], [0, -0.25, 0]]), "CONV"),
     "edges": (neighbours.edges, "EDGE"),
     "enhance": (lambda r: neighbours.enhance(r, 5), "ENHANCE"),
-    "relief": (neighbours.relief, "WITH s AS (SELECT row, col, v, lag(v) OVER (PARTITION BY col ORDER BY row) AS up FROM img), t AS (SELECT *, lead(up, 2) OVER (PARTITION BY row ORDER BY col) AS far FROM s) SELECT row, col, CASE WHEN row BETWEEN 1 AND height - 2 AND col BETWEEN 1 AND 97 THEN least(255, greatest(0, v + 127 - far)) ELSE 0 END::BIGINT AS p0 FROM t, size"),
+    "relief": (neighbours.relief, "SELECT a.row, a.col, CASE WHEN a.row BETWEEN 1 AND height - 2 AND a.col BETWEEN 1 AND 98 THEN (d.v + 127 - u.v + 256) % 256 ELSE 0 END::BIGINT AS p0 FROM img a LEFT JOIN img d ON d.row = a.row + 1 AND d.col = a.col - 1 LEFT JOIN img u ON u.row = a.row AND u.col = a.col + 1, size"),
     "dilate": (lambda r: neighbours.dilate(r, [[0, 1, 0], [1, 1, 1], [0, 1, 0]]), "SELECT a.row, a.col, max(b.v) AS p0 FROM img a JOIN img b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 GROUP BY 1, 2"),
     "erode": (lambda r: neighbours.erode(r, [[0, 1, 0], [1, 1, 1], [0, 1, 0]]), "SELECT a.row, a.col, min(b.v) AS p0 FROM img a JOIN img b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 GROUP BY 1, 2"),
     "sharpness_map": (neighbours.sharpness_map, "SHARP"),
@@ -329,7 +330,9 @@ def fade(spark, sf_dir):
     return combine.fade(rgb(spark, sf_dir), rgb2(spark, sf_dir), 0.25).flat()
 
 
-@query("WITH l AS (SELECT row, col, floor(0.2989::DOUBLE * v + 0.5866::DOUBLE * g + 0.1145::DOUBLE * b + 0.5)::BIGINT AS l, floor(0.2989::DOUBLE * w + 0.5866::DOUBLE * v + 0.1145::DOUBLE * g + 0.5)::BIGINT AS r FROM img) SELECT a.row, a.col, coalesce(c.r, 0) AS p0, a.l AS p1, a.l AS p2 FROM l a LEFT JOIN l c ON c.row = a.row AND c.col + 10 = a.col")
+@query("""WITH l AS (SELECT row, col, (77 * v + 150 * g + 29 * b) // 256 AS l, (77 * w + 150 * v + 29 * g) // 256 AS r FROM img)
+SELECT row, col, max(r) AS p0, max(l) AS p1, max(l) AS p2 FROM (
+  SELECT row, col - 5 AS col, l, 0 AS r FROM l WHERE col >= 5 UNION ALL SELECT row, col + 5, 0, r FROM l WHERE col < 95) GROUP BY row, col""")
 def anaglyph(spark, sf_dir):
     return combine.anaglyph(rgb(spark, sf_dir), rgb2(spark, sf_dir), 10).flat()
 

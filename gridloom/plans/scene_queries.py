@@ -91,11 +91,12 @@ GENERATED = {
     "make_chequer": (lambda s: generate.bitmap(s, 7, 7, "gray"), grid_sql(7, 7, "(row + col + 1) % 2")),
     "ramp_across": (lambda s: generate.ramp(s, 10, 64, "lr"), grid_sql(10, 64, "(col * 255) // 63")),
     "ramp_down": (lambda s: generate.ramp(s, 64, 10, "tb"), grid_sql(64, 10, "(row * 255) // 63")),
-    "ramp_rectangle": (lambda s: generate.ramp(s, 40, 40, "rectangle"), grid_sql(40, 40, "least(255, greatest(0, 255 - floor(greatest(abs(row - 20), abs(col - 20)) * 255 / 20)))")),
-    "ramp_ellipse": (lambda s: generate.ramp(s, 40, 60, "ellipse"), grid_sql(40, 60, "floor(255 * (1 - least(1, sqrt(((row - 20) / 20) * ((row - 20) / 20) + ((col - 30) / 30) * ((col - 30) / 30)))))")),
+    "ramp_rectangle": (lambda s: generate.ramp(s, 40, 40, "rectangle"), grid_sql(40, 40, "floor(255 - ((abs(20 - row) / 20.0::DOUBLE)::REAL + (abs(20 - col) / 20.0::DOUBLE)::REAL)::DOUBLE / 2 * 255)")),
+    "ramp_ellipse": (lambda s: generate.ramp(s, 40, 60, "ellipse"), grid_sql(40, 60, "floor((255::REAL - least(1::REAL, (abs(20 - row) / 20.0::DOUBLE)::REAL * (abs(20 - row) / 20.0::DOUBLE)::REAL + (abs(30 - col) / 30.0::DOUBLE)::REAL * (abs(30 - col) / 30.0::DOUBLE)::REAL) * 255::REAL)::DOUBLE)")),
     "all_tuples": (lambda s: generate.all_tuples(s, 3, 4), grid_sql(1, 125, "col // 25", "(col // 5) % 5", "col % 5")),
     "gaussian": (lambda s: generate.gaussian(s, 21, 21, 4.0), "WITH z AS (SELECT row, col, exp(-((row - 10) * (row - 10) + (col - 10) * (col - 10)) / 32.0) AS z FROM (SELECT unnest(range(21)) AS row), (SELECT unnest(range(21)) AS col)) SELECT row, col, floor(z * 255 / (SELECT sum(z) FROM z) + 0.5)::BIGINT AS p0 FROM z"),
-    "distance_kernel": (lambda s: generate.distance_kernel(s, 5, 5), "WITH z AS (SELECT row, col, 1 / (1 + 6 * sqrt((row - 2) * (row - 2) + (col - 2) * (col - 2))) AS z FROM (SELECT unnest(range(5)) AS row), (SELECT unnest(range(5)) AS col)) SELECT row, col, floor(z * 127 + 128 + 0.5)::BIGINT AS p0 FROM z"),
+    "distance_kernel": (lambda s: generate.distance_kernel(s, 5, 5), "WITH z AS (SELECT row, col, 1 / (1 + 6 * sqrt((row - 2.0::DOUBLE) * (row - 2.0::DOUBLE) + (col - 2.0::DOUBLE) * (col - 2.0::DOUBLE))) AS z FROM (SELECT unnest(range(5)) AS row), (SELECT unnest(range(5)) AS col)) SELECT row, col, floor(255 * (z / (2 * (SELECT max(z) FROM z)) + 0.5))::BIGINT AS p0 FROM z"),
+    "distance_kernel_even": (lambda s: generate.distance_kernel(s, 4, 6), "WITH z AS (SELECT row, col, 1 / (1 + 6 * sqrt((row - 1.5::DOUBLE) * (row - 1.5::DOUBLE) + (col - 2.5::DOUBLE) * (col - 2.5::DOUBLE))) AS z FROM (SELECT unnest(range(4)) AS row), (SELECT unnest(range(6)) AS col)) SELECT row, col, floor(255 * (z / (2 * (SELECT max(z) FROM z)) + 0.5))::BIGINT AS p0 FROM z"),
     "rainbow": (lambda s: generate.rainbow(s, 2, 60, [(255, 0, 0), (0, 255, 0), (0, 0, 255)]), None),
     "wheel": (lambda s: generate.wheel(s, 41), None),
     "noise": (lambda s: generate.noise(s, 30, 30, 7), None),

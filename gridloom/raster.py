@@ -60,10 +60,18 @@ def images(raster: Raster) -> DataFrame:
     return raster.px.select("image").distinct()
 
 
+#: Cells of a generated image that one task makes, about.
+PER_TASK = 1 << 20
+
+
 def full_grid(raster: Raster, height: int, width: int) -> DataFrame:
-    """Every cell of every image of the raster at a new size.  The size is fixed, so the copied side is."""
-    side = raster.px.sparkSession.range(height).withColumnRenamed("id", "row")
-    return images(raster).withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(height - 1).cast("bigint")))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")))) if height and width else images(raster).join(side, F.lit(False)).withColumn("col", F.col("row"))
+    """Every cell of every image of the raster at a new size: a row for each line first, dealt to tasks, and cells there."""
+    if not (height and width):
+        return images(raster).withColumn("row", F.lit(0).cast("bigint")).withColumn("col", F.col("row")).where("false")
+    tasks = max(raster.px.sparkSession.sparkContext.defaultParallelism, height * width // PER_TASK)
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+    lines = images(raster).withColumn("row", F.explode(upto(height))).repartition(tasks, "image", "row")
+    return lines.withColumn("col", F.explode(upto(width)))
 
 
 def rounded(x: Column) -> Column:

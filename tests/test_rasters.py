@@ -101,13 +101,36 @@ def make_from(r, values):
 def test_edges_and_borders(spark):
     step = make(spark, [[0, 0, 255, 255]] * 4)
     assert back(neighbours.edges(step)) == [[0] * 4, [0, 255, 255, 0], [0, 255, 255, 0], [0] * 4]
-    assert back(neighbours.relief(make(spark, [[10] * 5] * 3))) == [[0] * 5, [0, 127, 127, 0, 0], [0] * 5]
+    assert back(neighbours.relief(make(spark, [[10] * 5] * 3))) == [[0] * 5, [0, 127, 127, 127, 0], [0] * 5]
+    assert back(neighbours.relief(make(spark, [[1, 2, 3, 4], [4, 5, 200, 3], [250, 249, 9, 1]]))) == [[0] * 4, [0, 177, 117, 0], [0] * 4]  # 250 + 127 - 200; 249 + 127 - 3 beyond a byte
     lone = make(spark, [[1, 1, 1], [1, 0, 1], [1, 1, 1]], 1)
     assert back(neighbours.clean(lone)) == [[1] * 3] * 3
     tiny = make(spark, [[7]])
     assert back(neighbours.edges(tiny)) == [[0]] and back(neighbours.box(tiny)) == [[7]]
 
 
+def test_values_by_hand(spark):
+    gray = lambda line: [(v, v, v) for v in line]
+    got = combine.anaglyph(make(spark, [gray([10, 20, 30, 40])]), make(spark, [gray([50, 60, 70, 80])]), 2)
+    assert back(got) == [[(0, 20, 20), (50, 30, 30), (60, 40, 40), (70, 0, 0)]]
+    assert back(point.equalize(make(spark, [[0, 0, 1, 2]]))) == [[0, 0, 171, 255]]  # 128 and 191 before scaling
+    assert back(point.normalize(make(spark, [list(range(0, 100, 10))]), 20, 10)) == [[0, 1, 33, 65, 97, 129, 160, 192, 224, 255]]
+    assert back(point.normalize(make(spark, [[7, 7]]), low=5, high=9)) == [[159, 159]]
+    assert back(point.normalize(make(spark, [[(100, 100, 100), (200, 100, 0)]]), low=0, high=128, keep_hues=True)) == [[(200, 200, 200), (255, 200, 0)]]  # 100 to 200 and 118 to 236: twice both
+    assert back(generate.ramp(spark, 4, 4, "rectangle"))[:3] == [[0, 63, 127, 63], [63, 127, 191, 127], [127, 191, 255, 191]]
+    assert back(generate.ramp(spark, 4, 4, "ellipse"))[:3] == [[0, 0, 0, 0], [0, 127, 191, 127], [0, 191, 255, 191]]
+    assert back(generate.distance_kernel(spark, 3, 3)) == [[140, 145, 140], [145, 255, 145], [140, 145, 140]]
+    assert back(generate.distance_kernel(spark, 2, 2)) == [[255, 255], [255, 255]]
+    assert back(geometry.globe(make(spark, [[1, 2, 3, 4, 5]] * 2), 2)) == [[0] * 5, [1, 2, 3, 4, 5]]
+    # rows of six, strips of three; sin(60 degrees) leaves no border: 0.2 rounds to 0; the last column of a strip is kept
+    assert back(geometry.globe(make(spark, [[1, 2, 3, 4, 5, 6]] * 3), 2))[1] == [1, 2, 3, 4, 5, 6]
+
+
+def test_grids_are_made_by_many_tasks(spark, img):
+    parts = geometry.full_grid(img, 40, 50).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 2000
+
+
 def test_minkowski_of_known_shapes(spark):
     ring = make(spark, [[1, 1, 1, 0], [1, 0, 1, 0], [1, 1, 1, 1]], 1)
     assert [tuple(r)[1:] for r in aggregate.minkowski(ring).collect()] == [(9, 18, 0)]
@@ -292,7 +315,13 @@ def test_matrix_identities(spark):
             got[r["i"], r["j"]] = r["v"]
         assert np.allclose(m @ got, y)
     assert matrix.predicates(s.drop("m")).collect()[0]["is_symmetric"]
-    assert matrix.is_orthogonal(as_matrix(spark, np.linalg.qr(m)[0]).drop("m"), 4).collect()[0][0] in (True, False)
+    q = as_matrix(spark, np.linalg.qr(m)[0]).drop("m")
+    for rows in (True, False):
+        assert matrix.is_orthogonal(q, 4, rows).collect()[0][0] is True and matrix.is_orthogonal(a.drop("m"), 4, rows).collect()[0][0] is False
+    few = spark.createDataFrame([(0, 0, 1.0), (1, 1, 1.0)], "i bigint, j bigint, v double")
+    assert matrix.equal(few, matrix.unit(spark, 2)).collect()[0][0] is True and matrix.is_orthogonal(few, 2).collect()[0][0] is True
+    got = {(r["i"], r["j"]): r["v"] for r in matrix.solve(s, as_matrix(spark, y), "cholesky").collect()}
+    assert np.allclose(sym @ np.array([[got[i, j] for j in range(2)] for i in range(4)]), y)
     p = {(r["i"], r["j"]): r["v"] for r in matrix.power(a.drop("m"), 5, 4).collect()}
     assert np.allclose([[p[i, j] for j in range(4)] for i in range(4)], np.linalg.matrix_power(m, 5))
 
