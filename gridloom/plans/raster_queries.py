@@ -448,3 +448,27 @@ def montage(spark, sf_dir):
 @query()
 def shadow(spark, sf_dir):
     return assemble.shadow(few(spark, sf_dir)).flat()
+
+
+# ---- file formats, there and back: each image written in a format and read again
+
+
+def _there_and_back(r: Raster, format: str, **options):
+    from gridloom.sources import formats
+
+    read = formats.decoded(formats.encoded(r, format), format, **options)
+    return read.select("row", "col", F.col("s"))
+
+
+for _name in ("png", "tiff", "xwd", "sir", "fs", "lispm", "sgi", "fits"):
+    query("SELECT row, col, v AS p0 FROM img", f"file_{_name}")(lambda spark, sf_dir, n=_name: _there_and_back(gray(spark, sf_dir), n).select("row", "col", F.col("s")[0].alias("p0")))
+query("SELECT row, col, v * 257 AS p0 FROM img", "file_pfm")(lambda spark, sf_dir: _there_and_back(gray(spark, sf_dir), "pfm").select("row", "col", F.col("s")[0].alias("p0")))
+for _name in ("gif", "ilbm", "leaf", "bmp", "tga", "pcx", "sun"):
+    query("SELECT row, col, v AS p0, v AS p1, v AS p2 FROM img", f"file_{_name}")(lambda spark, sf_dir, n=_name: _there_and_back(gray(spark, sf_dir), n).select("row", "col", *(F.col("s")[k].alias(f"p{k}") for k in range(3))))
+for _name in ("png", "tiff", "xwd", "sir", "ilbm"):
+    query("SELECT row, col, v AS p0, g AS p1, b AS p2 FROM img", f"file_{_name}_color")(lambda spark, sf_dir, n=_name: _there_and_back(rgb(spark, sf_dir), n).select("row", "col", *(F.col("s")[k].alias(f"p{k}") for k in range(3))))
+for _name in ("xbm", "wbmp", "cmuwm", "mgr", "atk", "mrf", "g3", "escp2"):
+    query("SELECT row, col, bit AS p0 FROM img", f"file_{_name}")(lambda spark, sf_dir, n=_name: _there_and_back(bits(spark, sf_dir), n).select("row", "col", F.col("s")[0].alias("p0")))
+# whole words: half of the filling of 12 columns on the left; whole bytes and four lines
+query("SELECT row, col, max(bit) AS p0 FROM (SELECT row, col + 6 AS col, bit FROM img UNION ALL SELECT r.row, c.c AS col, 1 FROM (SELECT DISTINCT row FROM img) r, (SELECT unnest([0, 1, 2, 3, 4, 5, 106, 107, 108, 109, 110, 111]) AS c) c) GROUP BY row, col", "file_icon")(lambda spark, sf_dir: _there_and_back(bits(spark, sf_dir), "icon").select("row", "col", F.col("s")[0].alias("p0")))
+query("SELECT row, col, bit AS p0 FROM img WHERE col < 96 UNION ALL SELECT r.r, c.c, 0 FROM (SELECT unnest(range(height, (height + 3) // 4 * 4)) AS r FROM size) r, (SELECT unnest(range(96)) AS c) c", "file_mda")(lambda spark, sf_dir: _there_and_back(bits(spark, sf_dir), "mda").select("row", "col", F.col("s")[0].alias("p0")))

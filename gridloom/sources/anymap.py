@@ -188,13 +188,13 @@ def read_raster(spark: SparkSession, path: str) -> Raster:
 def encoded(r: Raster, format: str = "P7") -> DataFrame:
     """image and the bytes of its file.  An image is gathered in one task, its rows as arrays."""
     shape, maxval = (r.height, r.width, r.depth), r.maxval
-    lines = r.px.groupBy("image", "row").agg(F.array_sort(F.collect_list(F.struct("col", "s"))).alias("line"))
+    lines = r.px.groupBy("image", "row").agg(F.collect_list(F.struct("col", "s")).alias("line"))
+    lines = lines.select("image", "row", F.col("line.col").alias("cols"), F.flatten("line.s").alias("samples"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros(shape, np.int64)
-        for row, line in zip(pdf.row, pdf.line, strict=True):
-            for c in line:
-                out[row, c["col"]] = c["s"]
+        for row, cols, samples in zip(pdf.row, pdf.cols, pdf.samples, strict=True):
+            out[row, cols] = np.reshape(samples, (len(cols), -1))
         return pd.DataFrame({"image": [pdf.image.iloc[0]], "content": [encode(out, maxval, format)]})
 
     return lines.groupBy("image").applyInPandas(one, "image string, content binary")

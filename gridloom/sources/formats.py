@@ -1,7 +1,7 @@
 """Other image file formats, decoded and encoded with numpy by the task that holds the file.
 
-Each entry of FORMATS has a decoder from bytes to (samples, maxval) and, where there is
-one, an encoder back.  Samples are height x width x planes; in bitmaps 1 is white.  All are
+Each entry of FORMATS has a decoder from bytes to (samples, maxval), or to a list of them
+where a file may hold several images, and an encoder back, where there is one.  Samples are height x width x planes; in bitmaps 1 is white.  All are
 published layouts without lossy or licensed compression.
 """
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.raster import Raster
-from gridloom.sources import anymap
+from gridloom.sources import anymap, bitmaps, pictures
 
 Image = tuple[np.ndarray, int]
 
@@ -381,31 +381,50 @@ FORMATS: dict[str, tuple[Callable[..., Image] | None, Callable[..., bytes] | Non
 #: How files of each format begin.
 MAGIC = {b"BM": "bmp", b"\x59\xa6\x6a\x95": "sun", b"\x01\xda": "sgi", b"SIMPLE": "fits", b"/* XPM": "xpm", b"#define": "xbm", b"\x0a\x05": "pcx", b"P": "anymap"}
 
+FORMATS |= bitmaps.FORMATS | pictures.FORMATS
+MAGIC |= bitmaps.MAGIC | pictures.MAGIC
+
 
 def sniff(raw: bytes) -> str | None:
-    """The format of a file by its first bytes."""
-    return next((name for magic, name in MAGIC.items() if raw.startswith(magic)), None)
+    """The format of a file by its first bytes; the longest beginning that fits counts."""
+    return next((MAGIC[magic] for magic in sorted(MAGIC, key=len, reverse=True) if raw.startswith(magic)), None)
 
 
-def read(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
-    """One row for each cell: image, height, width, maxval, row, col, s.  Without a format each file is read as its first bytes say."""
+def decode_all(raw: bytes, format: str | None = None, **options) -> list[Image]:
+    """Every image of a file."""
+    name = format or sniff(raw)
+    if name == "anymap":
+        return [(m, h.maxval) for h, m in anymap.decode_all(raw)]
+    if name not in FORMATS or not FORMATS[name][0]:
+        raise ValueError("no known format")
+    got = FORMATS[name][0](raw, **options)
+    return got if isinstance(got, list) else [got]
+
+
+CELLS = "image string, height int, width int, maxval bigint, row bigint, col bigint, s array<bigint>"
+
+
+def decoded(files: DataFrame, format: str | None = None, **options) -> DataFrame:
+    """One row for each cell of the files (image, content): CELLS.  The second image of a file is named image#1, and so on."""
 
     def run(batches):
         for pdf in batches:
-            for p, raw in zip(pdf.path, pdf.content, strict=True):
-                name = format or sniff(bytes(raw))
-                if name == "anymap":
-                    h, m = next(anymap.decode_all(bytes(raw)))
-                    maxval = h.maxval
-                elif name in FORMATS and FORMATS[name][0]:
-                    m, maxval = FORMATS[name][0](bytes(raw), **options)
-                else:
-                    raise ValueError(f"{p}: no known format")
-                row, col = np.indices(m.shape[:2])
-                yield pd.DataFrame({"image": p, "height": m.shape[0], "width": m.shape[1], "maxval": maxval, "row": row.ravel(), "col": col.ravel(), "s": list(m.reshape(-1, m.shape[2]))})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "image string, height int, width int, maxval bigint, row bigint, col bigint, s array<bigint>")
+            for p, raw in zip(pdf.image, pdf.content, strict=True):
+                try:
+                    found = decode_all(bytes(raw), format, **options)
+                except ValueError as e:
+                    raise ValueError(f"{p}: {e}") from e
+                for k, (m, maxval) in enumerate(found):
+                    row, col = np.indices(m.shape[:2])
+                    name = f"{p}#{k}" if k else p
+                    yield pd.DataFrame({"image": name, "height": m.shape[0], "width": m.shape[1], "maxval": maxval, "row": row.ravel(), "col": col.ravel(), "s": list(m.reshape(-1, m.shape[2]))})
+
+    return files.select("image", "content").mapInPandas(run, CELLS)
+
+
+def read(spark: SparkSession, path: str, format: str | None = None, **options) -> DataFrame:
+    """One row for each cell of every image of the files: CELLS.  Without a format each file is read as its first bytes say."""
+    return decoded(spark.read.format("binaryFile").load(path).withColumnRenamed("path", "image"), format, **options)
 
 
 def encoded(r: Raster, format: str, **options) -> DataFrame:
