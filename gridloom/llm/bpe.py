@@ -8,8 +8,8 @@ the piece numbers are the ranks.
 
 A text is cut into pre-tokens by PATTERN.  A pre-token that is itself in the vocabulary
 is one token; any other is encoded by sentencepiece.  Pre-tokens repeat, so a worker keeps
-those it has met, by a 64-bit hash (at most CACHED, then it starts anew).  Decoding is by inverse mapping:
-the ids' bytes, one after the other.
+those it has met, by their bytes (up to CACHED, then it starts anew).  Decoding is by
+inverse mapping: the ids' bytes, one after the other.
 
 Defined results: a null text counts as empty, which has no tokens and decodes to no
 bytes; rows are encoded as often as they occur; texts are encoded whole, whatever their
@@ -24,17 +24,21 @@ import codecs
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
+from gridloom.llm.common import frugal
 from gridloom.llm.pretoken import pre_tokens
 
-CACHED = 1 << 19
+#: Bytes of pre-tokens and their ids that a worker keeps, beside its last block's, and bytes of text worked on at once.
+CACHED, TEXT = 16 << 20, 1 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -88,33 +92,16 @@ def model_proto(vocabulary: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normaliser)
 
 
-def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The slices of pool, one after the other."""
-    ends = np.cumsum(size)
-    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+def _strings(parts: list[bytes]) -> pa.LargeBinaryArray:
+    return pa.array(parts, pa.large_binary())
 
 
-class _Table:
-    """Slices of one growing pool."""
-
-    def __init__(self, kind) -> None:
-        self.pool, self.used = np.zeros(1 << 16, kind), 0
-        self.start, self.size, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
-
-    def extend(self, parts: list) -> None:
-        size = np.array([len(p) for p in parts], np.int64)
-        total, n = int(size.sum()), self.n + len(parts)
-        while len(self.pool) < self.used + total:
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while len(self.start) < n:
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + total] = [k for p in parts for k in p]
-        self.start[self.n : n] = self.used + np.cumsum(size) - size
-        self.size[self.n : n] = size
-        self.used, self.n = self.used + total, n
-
-    def take(self, which: np.ndarray) -> np.ndarray:
-        return _gather(self.pool, self.start[which], self.size[which])
+def _taken(table: pa.LargeBinaryArray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of a table, one after the other, and where each starts among them (with the end)."""
+    got = table.take(pa.array(which))
+    at = np.frombuffer(got.buffers()[1], np.int64)[: len(which) + 1] if len(which) else np.zeros(1, np.int64)
+    raw = got.buffers()[2]
+    return np.frombuffer(raw, np.uint8)[: at[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8), at
 
 
 class Codec:
@@ -127,60 +114,58 @@ class Codec:
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         back = {c: b for b, c in enumerate(_CHARS)}
         n = self.pieces.vocab_size() - 1
-        tokens = [bytes(back[c] for c in self.pieces.id_to_piece(k)) for k in range(n)]
-        self.known = {t: k for k, t in enumerate(tokens)}
-        self.bytes, self.decimals = _Table(np.uint8), _Table(np.uint8)
-        self.bytes.extend(tokens)
-        self.decimals.extend([b"%d " % k for k in range(n)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = _Table(np.int32)
-
-    def _learn(self, keys: list[int], raw: list[bytes]) -> None:
-        """Put the ids of pre-tokens that haven't been met into the table."""
-        out: list = [None] * len(raw)
-        hard = []
-        for k, token in enumerate(raw):
-            rank = self.known.get(token)
-            if rank is None:
-                hard.append(k)
-            else:
-                out[k] = (rank,)
-        got = self.pieces.encode([as_piece(raw[k]) for k in hard], num_threads=1) if hard else []
-        for k, ids in zip(hard, got, strict=True):
-            out[k] = ids
-        self.place.update(zip(keys, range(self.ids.n, self.ids.n + len(keys)), strict=True))
-        self.ids.extend(out)
+        self.bytes = _strings([bytes(back[c] for c in self.pieces.id_to_piece(k)) for k in range(n)])
+        self.decimals = _strings([b"%d " % k for k in range(n)])
+        # what has been met: the vocabulary itself comes first and stays
+        self.met = self.bytes
+        self.ids = self._as_bytes(np.arange(n, dtype=np.int32), np.ones(n, np.int64))
+
+    @staticmethod
+    def _as_bytes(ids: np.ndarray, size: np.ndarray) -> pa.LargeBinaryArray:
+        at = np.concatenate([[0], np.cumsum(4 * size)])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(ids)])
+
+    def _forget(self) -> None:
+        """Drop the older half of what has been met, but for the vocabulary."""
+        n = len(self.bytes)
+        half = n + (len(self.met) - n) // 2
+        self.met, self.ids = (pa.concat_arrays([x.slice(0, n), x.slice(half)]) for x in (self.met, self.ids))
+
+    def _learn(self, new: pa.LargeBinaryArray) -> None:
+        """Add pre-tokens that haven't been met."""
+        found = self.pieces.encode([as_piece(raw) for raw in new.to_pylist()], num_threads=1)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(size.sum()))
+        self.met = pa.concat_arrays([self.met, new])
+        self.ids = pa.concat_arrays([self.ids, self._as_bytes(ids, size)])
 
     def encode(self, block: V.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's texts, and where each text's start among them (with the end)."""
         spans = pre_tokens(block, self.pattern)
-        keys = V.span_hashes(block.data, spans.start, spans.end)
-        some, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        names = some.tolist()
-        new = [k for k, h in enumerate(names) if h not in self.place]
-        if self.ids.n + len(new) > CACHED:
-            self.forget()
-            new = list(range(len(names)))
-        data = block.data.tobytes()
-        self._learn([names[k] for k in new], [data[spans.start[first[k]] : spans.end[first[k]]] for k in new])
-        at = np.array([self.place[h] for h in names], np.int64)[which]
-        n = self.ids.size[at]
-        ends = np.cumsum(np.bincount(spans.doc, weights=n, minlength=block.rows)).astype(np.int64)
-        return self.ids.take(at), np.concatenate([[0], ends])
+        which, some = V.codes(block.data, spans.start, spans.end)
+        if self.met.nbytes + self.ids.nbytes > self.bytes.nbytes + CACHED:
+            self._forget()
+        found = pc.index_in(some, value_set=self.met)
+        at, fresh = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
+        if fresh.any():
+            at[fresh] = np.arange(len(self.met), len(self.met) + fresh.sum())
+            self._learn(some.filter(pa.array(fresh)))
+        at = at[which]
+        raw, start = _taken(self.ids, at)
+        n = np.zeros(block.rows + 1, np.int64)
+        n[1:] = start[np.searchsorted(spans.doc, np.arange(block.rows), side="right")] // 4
+        return raw.view(np.int32), n
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return self.bytes.take(ids).tobytes()
+        return _taken(self.bytes, ids)[0].tobytes()
 
     def digests(self, ids: np.ndarray, cut: np.ndarray) -> tuple[list[str], list[str]]:
         """For each text, the SHA-256 of its ids as decimals with blanks between, and of its decoded bytes."""
         out = []
         for table, tail in ((self.decimals, 1), (self.bytes, 0)):
-            ends = np.concatenate([[0], np.cumsum(table.size[ids])])[cut]
-            raw = memoryview(table.take(ids).tobytes())
-            out.append([hashlib.sha256(raw[a : max(a, b - tail)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+            raw, at = _taken(table, ids)
+            ends, raw = at[cut].tolist(), memoryview(raw)
+            out.append([hashlib.sha256(raw[a : max(a, b - tail)]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)])
         return out[0], out[1]
 
 
@@ -204,10 +189,11 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """For each row its id, the columns named in passed, its number of tokens, digests of the ids and of the decoded bytes, and on request the ids."""
     model = shared_model(docs, path)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value, pattern)
         for batch in batches:
-            for block in V.blocks(batch.column(0)):
+            for block in V.blocks(batch.column(0), TEXT):
                 ids, cut = own.encode(block)
                 columns = [c.slice(block.first, block.rows) for c in batch.columns[1:]]
                 columns += [pa.array(np.diff(cut)), *map(pa.array, own.digests(ids, cut))]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
+from gridloom.llm.common import frugal
 
 PER_LABEL, PER_TEXT, TRAIN, WINDOW = 400, 8, 64, 128
 HIDDEN, EPOCHS, BATCH, RATE = 8, 8, 128, 0.02
@@ -229,6 +230,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         share = F.when(F.col("label") == r["label"], F.lit(min(1.0, per_label / r["count"]))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit(71), "id", "text"), F.lit(1 << 30)) < share * (1 << 30)
 
+    @frugal
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[str, bytes]] = []
@@ -257,6 +259,7 @@ def _labelled(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
     """source's columns from number keep on, lang_pred and score; the text is the first column or its field text_col."""
     out = T.StructType(source.schema.fields[keep:]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(V.text_of(batch.column(0), text_col), 1 << 20):

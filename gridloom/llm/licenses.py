@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as V
+from gridloom.llm.common import frugal
 
 CELLS = 1 << 16
 BACKGROUND, WINDOWS, EDITS, HELD, UNLISTED_EDITS, EPOCHS = 4000, 3, 60, 20, 5, 15
@@ -437,6 +438,7 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     """For each row its id, n_paragraphs, n_licensed, license (UNKNOWN if it's of no listed family, null if none) and confidence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x families weights
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(batch.column(1)):

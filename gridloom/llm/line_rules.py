@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as V
+from gridloom.llm.common import frugal
 
 #: The phrases of the boilerplate rule.
 PHRASES = (
@@ -65,13 +66,18 @@ def _lut(chars: str) -> np.ndarray:
 _SYMBOL, _MARK, _SEPARATOR = _lut(SYMBOLS), _lut(MARKS), _lut(SEPARATORS)
 
 
-def _repeated(keys: np.ndarray) -> np.ndarray:
-    """Which of the keys occur twice or more."""
+def _repeated(keys: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of the rows of parts occur twice or more; keys are their hashes, and rows of equal hash are compared."""
     order = np.argsort(keys)
-    same = keys[order][1:] == keys[order][:-1]
+    same = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    one, two = order[same], order[same + 1]
     out = np.zeros(len(keys), dtype=bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    if (parts[one] == parts[two]).all():
+        out[one] = out[two] = True
+    else:
+        own = np.union1d(one, two)
+        _, which, n = np.unique(parts[own], axis=0, return_inverse=True, return_counts=True)
+        out[own] = n[which.ravel()] > 1
     return out
 
 
@@ -91,7 +97,7 @@ def _phrase_lines(block: V.Block, lines: V.Spans) -> np.ndarray:
 def judge(block: V.Block) -> tuple[dict[str, np.ndarray], V.Spans, np.ndarray]:
     """The counts of COUNTS for each text, the lines, and which lines fail."""
     data, rows = block.data, block.rows
-    words, lines, prefix = block.words(), block.lines(), V.byte_prefix(data)
+    words, lines = block.words(), block.lines()
     in_word = V.prefix_count(~V.SPACE[data] & V.LEAD[data])
     marks = V.prefix_count(_MARK[data])
     chars = in_word[lines.end] - in_word[lines.start]
@@ -113,13 +119,14 @@ def judge(block: V.Block) -> tuple[dict[str, np.ndarray], V.Spans, np.ndarray]:
     bad |= _phrase_lines(block, lines)
     bad &= full
 
-    own = V.mix(np.arange(1, rows + 1, dtype=np.uint64))
-    line_keys = V.span_hashes(data, lines.start[full], lines.end[full], prefix) ^ own[lines.doc[full]]
-    _, first = np.unique(line_keys, return_index=True)
+    same, _ = V.codes(data, lines.start[full], lines.end[full])
+    _, first = np.unique(lines.doc[full] * (len(lines) + 1) + same, return_index=True)
     n_full = np.bincount(lines.doc[full], minlength=rows)
-    at, keys = V.windows(words, V.span_hashes(data, words.start, words.end, prefix), WINDOW)
+    word = V.codes(data, words.start, words.end)[0].astype(np.int64)
+    at, keys = V.windows(words, V.mix(word.astype(np.uint64) + np.uint64(1)), WINDOW)
+    parts = np.column_stack([words.doc[at], *(word[at + j] for j in range(WINDOW))])
     covers = np.zeros(len(words) + 1, dtype=np.int64)
-    twice = at[_repeated(keys ^ own[words.doc[at]])]
+    twice = at[_repeated(keys ^ V.mix(parts[:, 0].astype(np.uint64)), parts)]
     np.add.at(covers, twice, 1)
     np.add.at(covers, twice + WINDOW, -1)
     symbols = V.prefix_count(_SYMBOL[data])
@@ -155,6 +162,7 @@ def _without(block: V.Block, lines: V.Spans, bad: np.ndarray) -> list[str]:
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of docs: its id, COUNTS, base_failed, kept and, on request, the cleaned text."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(batch.column(1)):

@@ -21,7 +21,6 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LEAD = (np.arange(256) & 0xC0) != 0x80
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,32 +32,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n + 1:
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(max(n + 1, 1 << 20), base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """A hash of data[start:end] for each span."""
-    _, down = _power(len(data))
-    prefix = byte_prefix(data) if prefix is None else prefix
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    """What span_hashes needs to know of the whole block; worth keeping between calls."""
-    up, _ = _power(len(data))
-    out = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[data] * up[: len(data)], out=out[1:])
-    return out
+_SEED = np.uint64(0x2545F4914F6CDD1D)
+#: Masks that keep the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
+
+
+def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in pieces of eight bytes, the last of each filled up with zeros; how many each span has, and its first."""
+    n = (ends - starts + 7) >> 3
+    first = np.cumsum(n) - n
+    at = np.repeat(starts - 8 * first, n) + 8 * np.arange(int(n.sum()))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))[at]
+    out &= _FIRST[np.minimum(np.repeat(ends, n) - at, 8)]
+    return out, n, first
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of data[start:end] for each span.
+
+    Every piece of eight bytes is mixed, once by itself and once with its place, before the
+    pieces are added, so texts that are built alike don't have sums alike.
+    """
+    part, n, first = pieces(data, starts, ends)
+    part += _SEED
+    part = mix(part)
+    if len(part) > len(n) or not n.all():
+        nth = np.arange(len(part)) - np.repeat(first, n)
+        part = mix(part + nth.astype(np.uint64) * _BASE)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        part = sums[first + n] - sums[first]
+    else:
+        part = mix(part)
+    return mix(part + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For each span the number of its byte string among the distinct ones, and these: no hashes, so never two in one."""
+    size = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    if len(starts) and not (starts[1:] == ends[:-1]).all():
+        data = data[np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])]
+    elif len(starts):
+        offsets = offsets + starts[0]
+    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    found = raw.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
 
 
 def prefix_count(marks: np.ndarray) -> np.ndarray:
@@ -143,9 +163,11 @@ def windows(words: Spans, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.flatnonzero(words.doc[:n] == words.doc[k - 1 :])
-    total = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        total = total * _BASE + hashes[j : j + n]
+    total = np.full(n, _SEED)
+    for j in range(k):  # not a polynomial: what is carried on is shifted into itself each time
+        total ^= hashes[j : j + n]
+        total *= _BASE
+        total ^= total >> np.uint64(29)
     return at, mix(total[at])
 
 

@@ -13,7 +13,7 @@ each of its UTF-8 bytes if the vocabulary has the 256 byte pieces, and otherwise
 of unknown characters counts as one.
 
 Parts repeat, so each block's are counted once, and a Python worker keeps those it has
-met from task to task, at most CACHED of them, by a 64-bit hash.
+met from task to task, up to CACHED, by their bytes.
 
 Defined results: a null or empty text has no tokens and score 0; rows are counted as often
 as they occur, texts whole, whatever their length; other columns of the input are not
@@ -26,15 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
+from gridloom.llm.common import frugal
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHED = 1 << 19
+#: Bytes of parts that a worker keeps, beside its last block's, and bytes of text worked on at once.
+CACHED, TEXT = 8 << 20, 1 << 20
 #: Longer parts are segmented one by one.
 LONG = 256
 _STOP = "￿"
@@ -65,7 +68,8 @@ class Counter:
         self.unknown = (min(self.score, default=0.0)) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
         self.by_byte = all(f"<0x{b:02X}>" in pieces for b in range(256))
-        self.cache: dict[int, tuple[int, float]] = {}
+        #: Parts that have been met, by their bytes; their pieces and scores.
+        self.met, self.got = pa.array([], pa.large_binary()), np.zeros((0, 2))
 
     def _edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and score of all matches in text, and of unknown characters (those with a score of their own)."""
@@ -141,26 +145,27 @@ class Counter:
 
     def block(self, block: V.Block) -> tuple[np.ndarray, np.ndarray]:
         """Pieces and score of each text."""
-        data, offsets = block.data, block.offsets
-        cut = np.flatnonzero(data == 32)
-        opens = offsets[:-1][np.diff(offsets) > 0]
-        opens = opens[data[opens] != 32]  # these get a space in front
-        start, doc = np.concatenate([cut + 1, opens]), np.concatenate([block.doc_of(cut), block.doc_of(opens)])
-        end = np.minimum(np.append(cut, len(data))[np.searchsorted(cut, start)], offsets[1:][doc])
-        keys = V.span_hashes(data, start, end)
-        some, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        names = some.tolist()
-        new = [k for k, h in enumerate(names) if h not in self.cache]
-        if len(self.cache) + len(new) > CACHED:
-            self.cache.clear()
-            new = list(range(len(names)))
-        raw = data.tobytes()
-        parts = [SPACE + raw[start[first[k]] : end[first[k]]].decode() for k in new]
-        for k, got in zip(new, self.count(parts), strict=True):
-            self.cache[names[k]] = got
-        got = np.array([self.cache[h] for h in names], dtype=np.float64).reshape(-1, 2)
-        n = np.bincount(doc, weights=got[which, 0], minlength=block.rows).astype(np.int64)
-        return n, np.bincount(doc, weights=got[which, 1], minlength=block.rows).astype(np.float64)
+        opens = np.zeros(len(block.data) + 1, bool)
+        opens[:-1] = block.data == 32
+        opens[block.offsets] = True
+        cut = np.flatnonzero(opens)
+        start, end = cut[:-1], cut[1:]
+        doc = block.doc_of(start)
+        which, some = V.codes(block.data, start, end)  # a part has its space in front, but for one that opens a text
+        if self.met.nbytes > CACHED:  # the younger half stays
+            half = len(self.met) // 2
+            self.met, self.got = pa.concat_arrays([self.met.slice(half)]), self.got[half:].copy()
+        found = pc.index_in(some, value_set=self.met)
+        at, fresh = found.fill_null(0).to_numpy().astype(np.int64), found.is_null().to_numpy(zero_copy_only=False)
+        if fresh.any():
+            at[fresh] = np.arange(len(self.met), len(self.met) + fresh.sum())
+            new = some.filter(pa.array(fresh))
+            parts = [SPACE + raw.removeprefix(b" ").decode() for raw in new.to_pylist()]
+            self.met = pa.concat_arrays([self.met, new])
+            self.got = np.concatenate([self.got, np.array(self.count(parts), dtype=np.float64).reshape(-1, 2)])
+        got = self.got[at[which]]
+        n = np.bincount(doc, weights=got[:, 0], minlength=block.rows).astype(np.int64)
+        return n, np.bincount(doc, weights=got[:, 1], minlength=block.rows).astype(np.float64)
 
 
 _counters: dict[int, Counter] = {}
@@ -178,10 +183,11 @@ def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], id_col: s
     """For each row its id, n_tokens and the score of the best segmentation."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # as large as the vocabulary file
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shared.value)
         for batch in batches:
-            for block in V.blocks(batch.column(1)):
+            for block in V.blocks(batch.column(1), TEXT):
                 n, score = counter.block(block)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(n), pa.array(score)], names=out.fieldNames())
 
