@@ -1,8 +1,9 @@
 """Training order: token sequences permuted into fixed-stride binary shards.
 
 Texts are encoded (bpe.Codec) and cut into sequences of LENGTH ids, the last of each text
-filled up with an end id.  Sequences are numbered 0 .. n - 1 in the order in which the
-settled table of encoded texts holds them.  A keyed Feistel network permutes the numbers:
+filled up with an end id.  Sequences are numbered 0 .. n - 1 by the task that encodes them
+and their place in it, so the same files cut into the same tasks give the same order, and
+another cut gives another (as good) one.  A keyed Feistel network permutes the numbers:
 it is a bijection of 2**(2h) >= n values, and a value of n or more is put through it again
 until it falls below n (cycle-walking), so every sequence gets a slot of its own and every
 slot has a sequence.  Slots are dealt by range to shards of PER_SHARD sequences; slot s lies
@@ -13,7 +14,7 @@ The encoded texts are kept once, compressed; the shards are then made in WAVES r
 slots, one after the other, so that only a part of the sequences is in a shuffle at a time.
 Shards are written by the tasks that hold their range, under a name of the attempt, and
 renamed when complete, so a lost executor or a task that runs twice leaves whole shards
-only.  Rows that describe the sequences come back when all shards are there.
+only.  A shard is one task's partition, by its number.  Rows that describe the sequences come back when all shards are there.
 
 Defined results: a null or empty text has no sequences; a repeated row has its own
 sequences; the ids are stored little-endian in 2 bytes if the end id fits, else in 4; an
@@ -22,7 +23,6 @@ empty table gives no shards and no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import gc
 import os
 import uuid
 import zlib
@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textvec as V
-from gridloom.llm.bpe import codec, shared_model
-from gridloom.llm.common import shared_folder, stored
+from gridloom.llm.bpe import TEXT, codec, shared_model
+from gridloom.llm.common import drop, frugal, new_folder, stored
 
 LENGTH, PER_SHARD, ROUNDS, WAVES = 256, 16384, 6, 4
 
@@ -66,10 +66,11 @@ def _encoded(docs: DataFrame, path: str, pattern: str, length: int, end_id: int,
     """id, part (the task), first (sequences the task had before), n, and the ids as bytes."""
     model, kind = shared_model(docs, path), width(end_id)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, first = codec(model.value, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for block in V.blocks(batch.column(1)):
+            for block in V.blocks(batch.column(1), TEXT):
                 ids, cut = own.encode(block)
                 n = -(-np.diff(cut) // length)
                 start = np.cumsum(n) - n
@@ -118,50 +119,62 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out_uri: str | None =
 
         end_id = len(read_ranks(path))
     kind, stride = width(end_id), length * width(end_id).itemsize
-    rows = stored(_encoded(docs, path, pattern, length, end_id, id_col, text_col).where("n > 0"), "zstd")
-    uri = out_uri or f"{shared_folder(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
+    spark = docs.sparkSession
+    kept = new_folder(spark, "encoded")
+    rows = stored(_encoded(docs, path, pattern, length, end_id, id_col, text_col).where("n > 0"), "zstd", kept)
+    uri = out_uri or new_folder(spark, "shards")
     sums = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row for each task
-    before, total = {}, 0
-    for part, n in sums:
-        before[part] = total
-        total += n
+    parts = np.array([p for p, _ in sums], np.int64)
+    ends = np.cumsum([n for _, n in sums], dtype=np.int64)
+    before, total = ends - np.array([n for _, n in sums], np.int64), int(ends[-1]) if sums else 0
 
     def place(first_shard: int, last_shard: int):
+        @frugal
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n = batch.column(3).to_numpy()
-                part, first = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                part, first, n = (batch.column(c).to_numpy() for c in (1, 2, 3))
                 who = np.repeat(np.arange(len(n)), n)
                 seq = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
-                slot = feistel((np.array([before[p] for p in part.tolist()], np.int64) + first)[who] + seq, total, key)
+                slot = feistel((before[np.searchsorted(parts, part)] + first)[who] + seq, total, key)
                 shard = slot // per_shard
                 own = np.flatnonzero((shard >= first_shard) & (shard < last_shard))
-                all_ids, fill, raw = batch.column(4).to_pylist(), np.full(length, end_id, kind).tobytes(), []
-                for k, j in zip(who[own].tolist(), seq[own].tolist(), strict=True):
-                    piece = all_ids[k][j * stride : (j + 1) * stride]
-                    raw.append(piece + fill[len(piece) :])
-                yield pa.RecordBatch.from_arrays([pa.array(slot[own]), pa.array(shard[own]), batch.column(0).take(pa.array(who[own])), pa.array(seq[own]), pa.array(raw, pa.binary())], names=["slot", "shard", "id", "seq", "ids"])
+                who, seq = who[own], seq[own]
+                at, raw = _binary(batch.column(4), kind)
+                start = at[who] + seq * length
+                size = np.minimum(length, at[who + 1] - start)
+                for k in range(0, max(1, len(own)), 4096):  # sequences copied at once
+                    here = slice(k, k + 4096)
+                    place = np.arange(length)
+                    ids = np.where(place < size[here, None], raw[np.minimum(start[here, None] + place, max(0, len(raw) - 1))] if len(raw) else end_id, end_id).astype(kind)
+                    offsets = np.arange(len(ids) + 1, dtype=np.int32) * stride
+                    sequences = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([pa.array(slot[own[here]]), pa.array(shard[own[here]]), batch.column(0).take(pa.array(who[here])), pa.array(seq[here]), sequences], names=["slot", "shard", "id", "seq", "ids"])
 
         return run
 
+    @frugal
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, now, at = None, None, 0
+        shard, now, due = None, None, 0
         for batch in batches:
-            out = []
-            for s, number, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if number != now:
+            slot, number = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            at, raw = _binary(batch.column(4), kind)
+            cuts = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(number)], strict=True):
+                if number[a] != now:
                     if shard:
                         shard.close()
-                    shard, now, at = _Shard(uri, number), number, number * per_shard
-                if s != at:
-                    raise ValueError(f"slot {s} where {at} is due")
-                at += 1
-                shard.file.write(raw)
-                ids = np.frombuffer(raw, kind)
-                real = np.flatnonzero(ids != end_id)
-                out.append((s % per_shard * stride, int(real[-1]) + 1 if len(real) else 0, zlib.crc32(raw)))
-            columns = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), columns[0], batch.column(2), batch.column(3), columns[1], columns[2]], names=["slot", "shard", "offset", "id", "seq", "n_tokens", "crc32"])
+                    now = int(number[a])
+                    shard, due = _Shard(uri, now), now * per_shard
+                if not np.array_equal(slot[a:b], np.arange(due, due + b - a)):
+                    raise ValueError(f"slots from {slot[a]} where those from {due} are due")
+                due += b - a
+                shard.file.write(memoryview(raw[at[a] : at[b]]).cast("B"))
+            ids = raw[at[0] : at[-1]].reshape(len(slot), length)
+            sums = [zlib.crc32(row) for row in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(slot % per_shard * stride), batch.column(2), batch.column(3), pa.array((ids != end_id).sum(axis=1)), pa.array(sums, pa.int64())],
+                names=["slot", "shard", "offset", "id", "seq", "n_tokens", "crc32"],
+            )
         if shard:
             shard.close()
 
@@ -173,14 +186,19 @@ def write_shards(docs: DataFrame, path: str, pattern: str, out_uri: str | None =
         if a == b and (w or shards):
             continue
         placed = rows.mapInArrow(place(a, b), f"slot bigint, shard bigint, id {kind_of}, seq bigint, ids binary")
-        dealt = placed.repartitionByRange(max(1, b - a), "shard").sortWithinPartitions("slot")
+        dealt = placed.repartitionById(max(1, b - a), (F.col("shard") - a).cast("int")).sortWithinPartitions("slot")
         done.append(stored(dealt.mapInArrow(write, f"slot bigint, shard bigint, offset bigint, id {kind_of}, seq bigint, n_tokens bigint, crc32 bigint")))
-        del placed, dealt
-        gc.collect()  # so that Spark's cleaner drops the wave's shuffle before the next
-        rows.sparkSession.sparkContext._jvm.System.gc()
+    drop(spark, kept)
     return reduce(DataFrame.union, done).withColumnRenamed("id", id_col)
 
 
+def _binary(column: pa.BinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's ids start in a column of bytes (with the end), and all ids."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // kind.itemsize if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2]
+    return at, np.frombuffer(raw, kind, at[-1]) if raw is not None and raw.size else np.zeros(0, kind)
+
+
 def read_sequences(uri: str, start: int, count: int, end_id: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
     """The sequences of slots start .. start + count - 1, in order, from the shards; fewer where they end."""
     store, folder = _store(uri)
