@@ -1,24 +1,26 @@
 """Exact top-k by inner product with dual cover trees.
 
-Vectors are turned into integers, floor(SCALE * x), and packed into blocks of at most BLOCK
-rows.  Every block, of queries and of data alike, is indexed by a cover tree: a node has
-one of its points as centre and the largest distance to any of its points as covering
-radius, and its children are a net of points that are at least half that radius apart.
-Where such a net would hold more than a quarter of the points (vectors without any
-neighbourhood), the node is left as a leaf.
+Vectors are turned into integers, floor(SCALE * x).  A node of a tree has one of its points
+as centre and the largest distance to any of its points as covering radius; its children
+are a net of points more than radius / BASE apart (separation) within radius / BASE of
+every point (covering), the first of them the node's own centre (nesting).
+
+The upper levels are shared: a tree over a bounded sample (SAMPLE rows, whatever the
+input) is cut at up to CELLS nodes, and every row, query or not, goes to the nearest of
+their centres.  So the rows of a cell lie together, and its radius is that of all its rows.
+Below, each block of at most BLOCK rows of a cell has a tree of its own.
 
 A pair of nodes can't hold a score above
 
     <q, d> + |q| r_d + |d| r_q + r_q r_d
 
 for centres q, d and radii r_q, r_d.  It is passed over if that is below the worst k-th
-score among the queries of its query node.  Pairs are looked at from the highest bound
-down; pairs of leaves are multiplied as matrices.
-
-Every query block meets every data block in one task of a plain equi-join: data blocks are
-dealt to groups, query blocks are copied to each group, and a task keeps its queries'
-best scores while it goes through its group's blocks, so later blocks are pruned by what
-earlier ones held.  The groups' best are then merged, k a query from each.
+score among the queries of its query node.  First every query block meets one block of the
+cell that promises most, which gives each query a floor; then only those cells whose bound
+reaches the least floor of the query block are joined with it at all, and within a task
+pairs of tree nodes are looked at from the highest bound down, against floors and scores
+found so far.  Pairs of leaves are multiplied as matrices.  The groups' best are merged, k a
+query from each.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, take no
 part, neither do rows without an id; vectors of different lengths aren't compared; a
@@ -38,44 +40,72 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import frugal, settle
+from gridloom.llm.components import join_unique
 
 SCALE, K = 256, 5
-BLOCK, LEAF = 4096, 64
+BLOCK, BASE = 4096, 1.25
+#: Points of a leaf, of data and of queries.
+LEAF, ASKED = 64, 16
+#: Rows that the upper levels are made of, and cells they are cut into, for each vector length in the sample.
+SAMPLE, CELLS = 8192, 256
+#: Blocks of a cell that are searched by one task.
+GROUP = 8
 _NONE = np.iinfo(np.int64).min
 
 
 @dataclass
 class Node:
-    """rows: the numbers of the points below; centre: one of them."""
+    """rows: the numbers of the points below, that of the centre first; children, their centres, norms and radii."""
 
     rows: np.ndarray
     centre: np.ndarray
     radius: float
     children: list[Node] = field(default_factory=list)
 
+    def net(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not hasattr(self, "_net"):
+            m = np.array([c.centre for c in self.children])
+            self._net = m, np.linalg.norm(m, axis=1), np.array([c.radius for c in self.children])
+        return self._net
+
 
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None) -> Node:
+def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, leaf: int | None = None) -> Node:
+    """A tree over points[rows]; nodes of more than ``leaf`` points that aren't all one have children."""
     rows = np.arange(len(points)) if rows is None else rows
     own = points[rows].astype(np.float64)
-    far = np.sqrt(np.maximum(((own - own[0]) ** 2).sum(axis=1), 0))
+    far = np.sqrt(((own - own[0]) ** 2).sum(axis=1))
     node = Node(rows, own[0], float(far.max()))
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= (LEAF if leaf is None else leaf) or node.radius == 0:
         return node
-    nearest, label, centres = far, np.zeros(len(rows), np.int64), 1
-    while (next_ := int(nearest.argmax())) >= 0 and nearest[next_] > node.radius / 2:
-        if 4 * (centres + 1) > len(rows):
-            return node
+    nearest, label, centres = far, np.zeros(len(rows), np.int64), [0]
+    while nearest[next_ := int(nearest.argmax())] > node.radius / BASE:
         d = np.sqrt(((own - own[next_]) ** 2).sum(axis=1))
         closer = d < nearest
-        nearest, label = np.where(closer, d, nearest), np.where(closer, centres, label)
-        centres += 1
-        if centres == 2 + len(rows) // 16 and (nearest > node.radius / 2).mean() > 0.75:
-            return node  # no net in sight
-    node.children = [cover_tree(points, rows[label == k]) for k in range(centres)]
+        closer[next_] = True
+        nearest, label = np.where(closer, d, nearest), np.where(closer, len(centres), label)
+        centres.append(next_)
+    order = np.lexsort((np.arange(len(rows)) != np.array(centres)[label], label))
+    cut = np.searchsorted(label[order], np.arange(len(centres) + 1))
+    node.children = [cover_tree(points, rows[order[a:b]], leaf) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return node
 
 
+def upper_levels(sample: np.ndarray, cells: int) -> np.ndarray:
+    """The centres of the nodes at which a tree over the sample is cut, the widest node first, until there are ``cells``; never more than CELLS."""
+    tree, turn = cover_tree(sample, leaf=1), 0
+    open_, done = [(-tree.radius, 0, tree)], []
+    while open_ and len(open_) + len(done) < cells:
+        _, _, node = heapq.heappop(open_)
+        if not node.children or len(open_) + len(done) + len(node.children) > CELLS:
+            done.append(node)
+            continue
+        for c in node.children:
+            turn += 1
+            heapq.heappush(open_, (-c.radius, turn, c))
+    return np.array([n.centre for *_, n in open_] + [n.centre for n in done])
+
+
 def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Exact inner products as 64-bit integers, held at the limits beyond."""
     high = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1]
@@ -87,15 +117,19 @@ def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Search:
-    """The best scores so far of a block of queries."""
+    """The best scores so far of a block of queries; floors are scores that the k-th of each query is known to reach."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int) -> None:
-        self.ids, self.points, self.k, self.tree = ids, points, k, cover_tree(points)
+    def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, floors: np.ndarray | None = None) -> None:
+        self.ids, self.points, self.k, self.tree = ids, points, k, cover_tree(points, leaf=ASKED)
+        self.floors = np.full(len(ids), _NONE) if floors is None else floors
         self.score = np.full((len(ids), k), _NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        #: Node pairs looked at, and query-data pairs multiplied.
+        self.visited = self.multiplied = 0
 
     def _leaves(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
         """Take in all pairs of some queries and some data, given in the order of ids."""
+        self.multiplied += len(rows) * len(ids)
         score = _products(self.points[rows], points)
         score[self.ids[rows][:, None] == ids] = _NONE
         if len(ids) > 4 * self.k:  # the k best of each row, ties to the first
@@ -112,56 +146,113 @@ class Search:
         order = np.lexsort((ids, np.where(score == _NONE, np.iinfo(np.int64).max, ~score)), axis=1)[:, : self.k]
         self.score[rows], self.found[rows] = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
+    def _bounds(self, centre: np.ndarray, radius: float, m: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        a = float(np.linalg.norm(centre))
+        most = m @ centre + a * radii + norms * radius + radius * radii
+        return most + 1e-9 * (np.abs(most) + a * norms + 1)
+
     def meet(self, ids: np.ndarray, points: np.ndarray, tree: Node) -> None:
         """Search a data block, whose rows are in the order of ids, for every query."""
-
-        def bound(q: Node, d: Node) -> float:
-            a, b = np.linalg.norm(q.centre), np.linalg.norm(d.centre)
-            most = float(q.centre @ d.centre) + a * d.radius + b * q.radius + q.radius * d.radius
-            return most + 1e-9 * (abs(most) + a * b + 1)
-
-        queue, turn = [(-bound(self.tree, tree), 0, self.tree, tree)], 0
+        queue, turn = [(-np.inf, 0, self.tree, tree)], 0
         while queue:
             most, _, q, d = heapq.heappop(queue)
-            worst = self.score[q.rows, -1].min()
+            self.visited += 1
+            worst = int(np.maximum(self.score[q.rows, -1], self.floors[q.rows]).min())
             if worst != _NONE and max(-most, float(_NONE)) < worst:
                 continue
             if not q.children and not d.children:
                 rows = np.sort(d.rows)
                 self._leaves(q.rows, ids[rows], points[rows])
                 continue
-            split_q = q.children and (not d.children or q.radius > d.radius)
-            for x, y in ((c, d) for c in q.children) if split_q else ((q, c) for c in d.children):
+            split_q = bool(q.children) and (not d.children or q.radius > d.radius)
+            own, other = (q, d) if split_q else (d, q)
+            bounds = self._bounds(other.centre, other.radius, *own.net())
+            ready = []  # leaves below d that q, a leaf, can't pass over: multiplied at once
+            for most, c in zip(bounds.tolist(), own.children, strict=True):
                 turn += 1
-                heapq.heappush(queue, (-bound(x, y), turn, x, y))
+                if split_q:
+                    heapq.heappush(queue, (-most, turn, c, d))
+                elif q.children or c.children:
+                    heapq.heappush(queue, (-most, turn, q, c))
+                elif most >= worst:
+                    ready.append(c.rows)
+            if ready:
+                self.visited += len(ready)
+                rows = np.sort(np.concatenate(ready))
+                self._leaves(q.rows, ids[rows], points[rows])
 
 
-def _pack(rows: DataFrame) -> DataFrame:
-    """Rows (id, v) as blocks of equal vector length: dim, ids and components as bytes."""
+def _pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Centres of the upper levels for each vector length in a sample of about SAMPLE rows (length, centres)."""
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(23), "id"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).select("v").limit(2 * SAMPLE)
+    by: dict[int, list] = {}
+    for r in drawn.collect():
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    cells = max(1, min(CELLS, -(-2 * n // BLOCK)))
+    return {dim: upper_levels(np.array(sorted(own), np.float64), cells) for dim, own in by.items() if dim}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block(dim: int) -> pa.RecordBatch:
-            ids, m = (np.concatenate(x) for x in zip(*held.pop(dim), strict=True))
-            order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_arrays([pa.array([dim]), pa.array([ids[order].tobytes()]), pa.array([m[order].astype(np.float64).tobytes()])], names=["dim", "ids", "m"])
+def _assigned(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """id, v, query and cell (length * CELLS + number of the nearest centre), with the distance to that centre; lengths without centres have one cell, around 0."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # at most CELLS vectors of each length in the sample
 
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            lists = batch.column(1)
             length, flat = lists.value_lengths().to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
             start = np.cumsum(length) - length
+            cell, away = np.zeros(len(batch), np.int64), np.zeros(len(batch))
             for dim in np.unique(length).tolist():
                 own = np.flatnonzero(length == dim)
-                for k in range(0, len(own), BLOCK):
-                    part = own[k : k + BLOCK]
-                    held.setdefault(dim, []).append((ids[part], flat[start[part][:, None] + np.arange(dim)]))
-                    if sum(len(i) for i, _ in held[dim]) >= BLOCK:
-                        yield block(dim)
-        for dim in list(held):
-            yield block(dim)
+                m = flat[start[own][:, None] + np.arange(dim)].astype(np.float64)
+                centres = shared.value.get(dim, np.zeros((1, dim)))
+                gap = (centres**2).sum(axis=1) - 2 * (m @ centres.T)
+                nearest = gap.argmin(axis=1)
+                cell[own] = dim * CELLS + nearest
+                away[own] = np.sqrt(((m - centres[nearest]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.array(cell), pa.array(away)], names=["id", "v", "query", "cell", "away"])
 
-    return rows.mapInArrow(run, "dim long, ids binary, m binary")
+    return rows.mapInArrow(run, "id bigint, v array<double>, query boolean, cell bigint, away double")
+
+
+def _pack(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows (id, v, cell) as blocks of one cell: cell, its group, dim, ids and components as bytes.
+
+    A cell is dealt by hash to as many parts as it needs blocks, so a hot one is many tasks' work.
+    """
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = (-1, -1)
+
+        def block() -> pa.RecordBatch:
+            ids, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(ids, kind="stable")
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]]), pa.array([now[1]]), pa.array([now[0] // CELLS]), pa.array([ids[order].tobytes()]), pa.array([m[order].astype(np.float64).tobytes()])], names=["cell", "part", "dim", "ids", "m"])
+
+        for batch in batches:
+            ids, lists, cell, part = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            cuts = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)).tolist()
+            for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
+                if held and now != (cell[a], part[a]):
+                    yield block()
+                now = (int(cell[a]), int(part[a]))
+                for k in range(a, b, BLOCK):
+                    stop = min(b, k + BLOCK)
+                    held.append((ids[k:stop], flat[start[k] : start[stop]].reshape(stop - k, now[0] // CELLS)))
+                    if sum(len(i) for i, _ in held) >= BLOCK:
+                        yield block()
+        if held:
+            yield block()
+
+    dealt = join_unique(rows, sizes, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "id", "v"), F.col("parts")))
+    return dealt.select("id", "v", "cell", "part").repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, "cell bigint, part bigint, dim bigint, ids binary, m binary")
 
 
 def _read(dim: int, ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -175,24 +266,72 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(
         F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: _floor(x.cast("double") * SCALE)).alias("v"), is_query.alias("query"))
-    data = settle(_pack(rows.select("id", "v")).withColumn("block", F.monotonically_increasing_id()))
-    blocks = data.count()
-    groups = max(1, min(blocks, max(2 * vectors.sparkSession.sparkContext.defaultParallelism, blocks // 8)))
-    queries = _pack(rows.where("query").select("id", "v").distinct()).withColumn("q", F.monotonically_increasing_id())
-    copied = queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumnsRenamed({"ids": "q_ids", "m": "q_m"})
-    dealt = data.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    pairs = copied.join(dealt, ["g", "dim"]).select("q", "dim", "q_ids", "q_m", "block", "ids", "m")
+    rows = settle(rows)
+    n = rows.count()
+    pivots = _pivots(rows, n)
+    placed = settle(_assigned(rows, pivots))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+    data = settle(_pack(placed.select("id", "v", "cell"), cells.select("cell", F.ceil(F.col("n") / BLOCK).alias("parts"))).withColumn("block", F.monotonically_increasing_id()))
+    asked = settle(placed.where("query").select("id", "v", "cell").distinct())
+    queries = settle(_pack(asked, asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))).withColumn("q", F.monotonically_increasing_id()))
+    queries = queries.select("q", "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    # cells of the lengths in the sample, at most CELLS each: what prunes whole cells
+    around = {dim: (m, np.linalg.norm(m, axis=1), np.zeros(len(m)), np.full(len(m), -1, np.int64)) for dim, m in pivots.items()}
+    known = placed.sparkSession.createDataFrame([(int(dim),) for dim in pivots], "dim bigint")
+    for r in cells.join(F.broadcast(known), F.floor(F.col("cell") / CELLS) == F.col("dim"), "left_semi").collect():
+        dim, nth = divmod(r["cell"], CELLS)
+        around[dim][2][nth], around[dim][3][nth] = r["radius"], r["cell"]
+    plan = data.sparkSession.sparkContext.broadcast(around)
+
+    def reach(search: Search, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """The data cells of a length and what each can give to a block of queries."""
+        if dim not in plan.value:
+            return np.array([dim * CELLS]), np.array([np.inf])
+        m, norms, radii, names = plan.value[dim]
+        there = names >= 0
+        return names[there], search._bounds(search.tree.centre, search.tree.radius, m[there], norms[there], radii[there])
+
+    @frugal
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best = []
+            for dim, ids, m in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                names, most = reach(Search(*_read(dim, ids, m), k), dim)
+                best.append(int(names[most.argmax()]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int64())], names=[*batch.schema.names, "cell"])
+
+    shape = "q bigint, dim bigint, q_ids binary, q_m binary"
+    first = data.withColumn("nth", F.row_number().over(Window.partitionBy("cell", "part").orderBy("block"))).where("part = 0 and nth = 1").select("cell", "ids", "m")
 
+    @frugal
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q, dim, q_ids, q_m, ids, m in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                search = Search(*_read(dim, q_ids, q_m), k)
+                own = _read(dim, ids, m)
+                search.meet(*own, cover_tree(own[1]))
+                search.floors = np.maximum(search.score[:, -1], _NONE)
+                names, most = reach(search, dim)
+                worst = search.floors.min()
+                go = names[most >= worst] if worst != _NONE else names
+                yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([dim]), pa.array([q_ids]), pa.array([q_m]), pa.array([search.floors.tobytes()]), pa.array([go.tolist()], pa.list_(pa.int64()))], names=["q", "dim", "q_ids", "q_m", "floors", "go"])
+
+    begun = queries.mapInArrow(home, f"{shape}, cell bigint").join(first, "cell").select("q", "dim", "q_ids", "q_m", "ids", "m").mapInArrow(floors, f"{shape}, floors binary, go array<bigint>")
+    groups = data.select("cell", F.floor(F.col("part") / GROUP).alias("g")).distinct()
+    going = begun.withColumn("cell", F.explode("go")).drop("go").join(groups, "cell")
+    pairs = going.join(data.withColumn("g", F.floor(F.col("part") / GROUP)).drop("dim", "part"), ["cell", "g"]).select("q", "dim", "q_ids", "q_m", "floors", "block", "ids", "m")
+
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search, now, trees = None, None, {}
         for batch in batches:
-            for q, dim, q_ids, q_m, b, ids, m in zip(*(batch.column(i) for i in range(7)), strict=True):
+            for q, dim, q_ids, q_m, low, b, ids, m in zip(*(batch.column(i) for i in range(8)), strict=True):
                 if (key := q.as_py()) != now:
                     if search:
                         yield _best(search)
-                    search, now = Search(*_read(dim.as_py(), q_ids.as_py(), q_m.as_py()), k), key
+                    search, now = Search(*_read(dim.as_py(), q_ids.as_py(), q_m.as_py()), k, np.frombuffer(low.as_py(), np.int64)), key
                 if (key := b.as_py()) not in trees:
-                    if len(trees) > 64:
+                    if len(trees) > 2 * GROUP:
                         trees.clear()
                     own = _read(dim.as_py(), ids.as_py(), m.as_py())
                     trees[key] = (*own, cover_tree(own[1]))
