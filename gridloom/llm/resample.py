@@ -1,17 +1,22 @@
 """Importance resampling by hashed n-gram models, with Gumbel top-k.
 
 Two generative models over hashed features, one of target text and one of all text, give
-each document a log importance weight: the sum over its features of log p_target - log
-p_raw.  Features are unigrams and bigrams of tokens (runs of letters and digits, or of
-marks; ASCII letters in lower case) and unigrams and bigrams of token shapes (case,
-digits, which marks, whether a word repeats the one before).  The raw model counts every
-document; the target model counts the texts of at most TARGET labelled rows.  Each
-document's key is its log weight plus seeded Gumbel noise, and those with the k largest
-keys are drawn: k documents without replacement, in proportion to their weights.
-
-k, if not given, is the number of documents that the raw model doesn't clearly claim: log
-weight above -MARGIN.  The noise then moves documents at that border only, and clean
-texts of a few words, whose weights are near 0, are all drawn.
+each document a log importance weight from its features' log p_target - log p_raw.
+Features are unigrams and bigrams of tokens (runs of letters and digits, or of marks; ASCII
+letters in lower case) and unigrams and bigrams of token shapes (case, digits, which marks,
+whether a word repeats the one before).  The raw model counts every document; the target
+model counts the texts of at most TARGET labelled rows.
+
+A document's features aren't independent, so it counts as at most EVIDENCE of them: its log
+weight is their mean ratio times EVIDENCE (or times their number, if that is less).
+Weights are truncated at 1, as in truncated importance sampling: a document that the target
+model explains at least as well isn't thinned in favour of more typical ones.  Its key is
+its log weight plus seeded Gumbel noise, and those with the k largest keys are drawn: k
+documents without replacement, each step in proportion to the weights.
+
+k, if not given, is the effective sample size, (sum of weights) ** 2 / sum of squared
+weights.  Good documents nearly all fit into it; those in doubt take places from one
+another, and from a few good ones, by the noise; junk, with weights near 0, gets none.
 
 Models are sums of MODEL counts whatever the input; texts are never shuffled, and the
 k-th key is found by counting (select.kth_largest).
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
-from gridloom.llm.common import settle
+from gridloom.llm.common import frugal, settle
 from gridloom.llm.select import kth_largest, ordered_key
 
 #: Cells for tokens, and for shapes.
@@ -41,8 +46,10 @@ WORDS, SHAPES = 1 << 13, 1 << 10
 MODEL = WORDS + SHAPES
 #: Most labelled rows of which the target model is made.
 TARGET = 20_000
-#: Odds, as a logarithm, by which the raw model must be ahead for a document not to count towards k.
-MARGIN = 8.0
+#: Independent features that a document counts as at most.
+EVIDENCE = 16
+#: Weights are summed in units of 2 ** -UNIT.
+UNIT = 20
 
 _KIND = np.full(256, 1, dtype=np.uint8)  # 0 space, 1 letters, digits and all beyond ASCII, 2 marks and controls
 _KIND[:128] = [1 if chr(b).isalnum() else 2 for b in range(128)]
@@ -89,11 +96,17 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
+def log_weights(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Log importance weights of documents with n features whose log ratios have these sums; at most 0."""
+    return np.minimum(0, sums * np.minimum(n, EVIDENCE) / np.maximum(n, 1))
+
+
 def models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The log ratios, from one pass over all texts."""
     most = [r[0] for r in target_ids.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(F.lit(3), id_col), id_col).limit(TARGET).collect()]
     wanted = docs.sparkSession.sparkContext.broadcast(frozenset(most))  # at most TARGET ids
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(MODEL, np.int64), np.zeros(MODEL, np.int64)
         for batch in batches:
@@ -125,6 +138,7 @@ def _weighed(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
     for name, kind in (("n_features", T.LongType()), ("log_weight", T.DoubleType()), ("draw", T.DoubleType()), ("rank_key", T.LongType())):
         out = out.add(name, kind)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             noise = V.mix(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
@@ -132,7 +146,7 @@ def _weighed(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
             for block in V.blocks(V.text_of(batch.column(0), text_col)):
                 cells, doc = features(block)
                 n = np.bincount(doc, minlength=block.rows)
-                weight = np.bincount(doc, weights=shared.value[cells], minlength=block.rows).astype(np.float64)
+                weight = log_weights(np.bincount(doc, weights=shared.value[cells], minlength=block.rows).astype(np.float64), n)
                 draw = weight + gumbel[block.first : block.last]
                 columns = [c.slice(block.first, block.rows) for k, c in enumerate(batch.columns) if k >= keep or (k == 0 and text_col)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(weight), pa.array(draw), pa.array(ordered_key(draw))], names=out.fieldNames())
@@ -140,10 +154,18 @@ def _weighed(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
     return source.mapInArrow(run, out)
 
 
+def sample_size(rows: DataFrame) -> int:
+    """The effective sample size of rows with a log_weight.  Weights are summed as integers, so that every run gets the same."""
+    w = F.exp("log_weight")
+    one, two = (F.sum(F.round(x * (1 << UNIT)).cast("decimal(38,0)")) for x in (w, w * w))
+    got = rows.agg(one.alias("one"), two.alias("two")).collect()[0]
+    return round(int(got["one"]) ** 2 / int(got["two"]) / (1 << UNIT)) if got["two"] else 0
+
+
 def _least(rows: DataFrame, k: int | None) -> int | None:
     """The smallest rank_key that is drawn; None if all rows are."""
     rows = rows.where("n_features > 0")
-    return kth_largest(rows, "rank_key", rows.where(F.col("log_weight") > -MARGIN).count() if k is None else k)
+    return kth_largest(rows, "rank_key", sample_size(rows) if k is None else k)
 
 
 def _drawn(rows: DataFrame, least: int | None, k: int | None) -> DataFrame:
@@ -154,14 +176,20 @@ def _drawn(rows: DataFrame, least: int | None, k: int | None) -> DataFrame:
 
 
 def resample(docs: DataFrame, target_ids: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> DataFrame:
-    """The drawn rows: id, n_features, log_weight, draw (weight and noise), kept (true)."""
+    """The drawn rows: id, n_features, log_weight, draw (weight and noise), kept (true).
+
+    k = 0 or an empty table gives none; k above the number of documents with a feature gives all of them.
+    """
     ratios = models(docs, target_ids, id_col, text_col)
     rows = settle(weigh(docs, ratios, seed, id_col, text_col))
     return _drawn(rows, _least(rows, k), k).drop("rank_key").withColumn("kept", F.lit(True))
 
 
 def resampled_documents(docs: DataFrame, target_ids: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> DataFrame:
-    """The drawn rows of docs with all their columns; weights are computed anew rather than shuffling texts to them."""
+    """The drawn rows of docs with all their columns; weights are computed anew rather than shuffling texts to them.
+
+    Null and empty texts go, repeated rows stay or go together, and columns of any name are kept.
+    """
     ratios = models(docs, target_ids, id_col, text_col)
     least = _least(settle(weigh(docs, ratios, seed, id_col, text_col)), k)
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
