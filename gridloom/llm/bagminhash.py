@@ -18,21 +18,22 @@ Classes are the connected components of the verified links.  A node is first com
 the least node it shares a bucket with, so a group of n copies costs n comparisons;
 buckets whose nodes are all in one component are then done.  Of the others, those of up to
 LARGE nodes have their pairs across components verified one by one.  The nodes of larger
-ones are dealt to cells of bounded size, and two cells at a time are compared whole, as
-matrices, which gives at most a spanning set of links.  So every link between candidates
-either is verified, or joins nodes that are already in one class.
+ones are compared with LEADERS more leaders, and what is left is searched by prefixes: of
+two similar texts each holds one of the other's shingles among its own rarest fifth, so
+only pairs that share a rare shingle are verified.  So every link between candidates either
+is verified, or joins nodes that are already in one class.  Results don't depend on LARGE,
+LEADERS and CELL, only the way to them.
 
 Defined results: a null text is a class of its own; texts without a word are copies of one
 another; a text of one to four words has one shingle, all its words, so only equal ones are
 similar.  Repeated rows are copies.  A class is named by its smallest id.  An empty table
-gives an empty one, and other columns are passed by, whatever their names.  Nodes
-carry 64-bit digests; two different multisets share one with probability 2**-64 a pair.
+gives an empty one, and other columns are passed by, whatever their names.  Multisets are
+told apart by two digests, 128 bits; only nodes whose 128 bits are equal are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +42,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
-from gridloom.llm.common import settle
-from gridloom.llm.components import stars
+from gridloom.llm.common import frugal, settle
+from gridloom.llm.components import join_unique, stars
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Nodes of a bucket beyond which its pairs aren't enumerated, and nodes of a cell (two cells are a task).
-LARGE, CELL = 32, 256
+#: Nodes of a bucket beyond which its pairs aren't enumerated, how many more leaders its nodes are then held
+#: against, and how many nodes that share a rare shingle are joined at once.
+LARGE, LEADERS, CELL = 32, 2, 512
+#: Counters of how often shingles occur (8 MB, whatever the input).
+COUNTERS = 1 << 20
+#: Bits of a text that bound an overlap.
+PARITIES = 4096
 #: Bits of the filter that keeps texts without candidates out of the shuffle (2 MB, whatever the input).
 SIEVE = 1 << 24
 
@@ -124,14 +130,19 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return h
 
 
-def digests(doc: np.ndarray, keys: np.ndarray, counts: np.ndarray, rows: int) -> np.ndarray:
-    """A digest of each document's multiset of shingles."""
-    out = np.zeros(rows, np.uint64)
-    np.add.at(out, doc, V.mix(keys ^ np.uint64(0xE7037ED1A0B428DB)) * counts.astype(np.uint64))
-    return V.mix(out)
+def digests(doc: np.ndarray, keys: np.ndarray, counts: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+    """Two independent digests of each document's multiset of shingles, 128 bits together."""
+    out = []
+    for seed in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3):
+        each = V.mix(V.mix(keys ^ np.uint64(seed)) + counts.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        sums = np.zeros(rows, np.uint64)
+        np.add.at(sums, doc, each)
+        out.append(pa.array(V.mix(sums).view(np.int64)))
+    return out[0], out[1]
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(batch.column(1)):
@@ -142,14 +153,14 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(block.first, block.rows), pa.array(digests(*parts, block.rows).view(np.int64)),
+                        batch.column(0).slice(block.first, block.rows), *digests(*parts, block.rows),
                         pa.array(np.bincount(parts[0], weights=parts[2], minlength=block.rows).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cut), pa.array(h[some].ravel())),
                     ],
-                    names=["id", "node", "n", "bands"],
+                    names=["id", "node", "check", "n", "bands"],
                 )
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return source.mapInArrow(run, T.StructType([source.schema["id"], T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -174,6 +185,7 @@ def _multisets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar.  b may be a leader of very many; its partition is split by AQE."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b = batch.column(1).to_numpy()
@@ -191,108 +203,155 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _contested(member: DataFrame, found: DataFrame) -> DataFrame:
     """Memberships of the buckets whose nodes aren't all in one class: bucket, node, class, n (the bucket's nodes)."""
     known = found.select(F.col("a").alias("node"), F.col("b").alias("class"))
-    named = member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class"))
-    mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("c1 <> c2")
-    return settle(named.join(mixed, "bucket").select("bucket", "node", "class", "n"))
+    named = settle(member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
+    mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("bucket", "n")
+    return settle(join_unique(named, mixed, "bucket").select("bucket", "node", "class", "n"))
+
+
+def _led(hot: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each node of a large bucket with a leader drawn from the bucket's classes but its largest, the least over its buckets."""
+    sizes = hot.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"))
+    sizes = sizes.withColumn("draw", F.xxhash64(F.lit(turn), "one"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("largest"), F.max(F.struct("draw", "class", "one")).alias("x"), F.min(F.struct("draw", "class", "one")).alias("y"))
+    chosen = F.when(F.col("x.class") == F.col("largest"), F.col("y")).otherwise(F.col("x"))
+    leaders = largest.select("bucket", chosen["one"].alias("leader"), chosen["class"].alias("own"))
+    pairs = join_unique(hot, leaders, "bucket").where("class <> own and node <> leader")
+    return pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
+
 
+def _elements(block: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's shingles, the k-th occurrence of one as an element of its own: document, hash; and the number of each text."""
+    doc, keys, counts = shingles(block)
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    doc, keys = np.repeat(doc, counts), np.repeat(keys, counts)
+    return doc, V.mix(keys ^ V.mix(nth.astype(np.uint64))), np.bincount(doc, minlength=block.rows)
 
-def _all_links(table: pa.Table) -> pa.Table:
-    """Links between the classes of one group of texts (node, class, text), at most one less than there are classes.
 
-    Every pair's exact overlap comes from products of matrices of texts by shared shingles;
-    the k-th occurrence of a shingle is a column of its own, so counts are exact too.
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often elements occur, by COUNTERS cells of their hashes: a table of fixed size."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for block in V.blocks(batch.column(0)):
+                own += np.bincount((_elements(block)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], names=["cell", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in texts.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["cell"]] = r["n"]
+    return out
+
+
+def parities(doc: np.ndarray, keys: np.ndarray, rows: int) -> np.ndarray:
+    """For each text PARITIES bits, each saying whether the number of its elements that fall there is odd; as 64-bit integers.
+
+    Two texts differ in at least as many elements as bits.
     """
-    node, group = (table.column(c).to_numpy() for c in ("node", "class"))
-    sets = _multisets(table.column("text").combine_chunks())
-    size = np.array([c.sum() for _, c in sets], np.int64)
-    keys = [np.repeat(k, c) for k, c in sets]
-    row = np.repeat(np.arange(len(sets)), size)
-    nth = np.concatenate([np.arange(n) - np.repeat(np.cumsum(c) - c, c) for n, (_, c) in zip(size, sets, strict=True)]) if len(sets) else row
-    keys = V.mix(np.concatenate(keys) ^ V.mix(nth.astype(np.uint64))) if len(sets) else np.zeros(0, np.uint64)
-    _, column, count = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 2048
-    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [first, first + width])
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[a:b], column[a:b] - first] = 1
-        both += m @ m.T
-    both = both.astype(np.float64)
-    near = both >= SIMILAR * (size[:, None] + size - both)
-    near &= group[:, None] > group
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            x = parent[x] = parent.get(parent[x], parent[x])
-        return x
+    at = doc * PARITIES + (keys >> np.uint64(40)).astype(np.int64) % PARITIES
+    odd = (np.bincount(at, minlength=rows * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(rows, PARITIES // 64)
 
-    out = []
-    for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-        x, y = root(int(group[i])), root(int(group[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((node[i], node[j]))
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-
-def _hot_links(hot: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links across classes among nodes joined by large buckets.
-
-    Nodes that large buckets join are a cluster.  A cluster is dealt to cells of at most
-    about CELL nodes, by size (similar texts differ by less than a quarter, so only equal or
-    neighbouring steps of size can meet) and by whether a node is in the cluster's largest
-    class; every two cells that can hold a link are one task.  Two cells of the largest
-    class hold none.
+
+def _parities(texts: DataFrame) -> DataFrame:
+    """node and its parities."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in V.blocks(batch.column(1)):
+                doc, keys, _ = _elements(block)
+                bits = parities(doc, keys, block.rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(block.rows + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), lists], names=["node", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, bits array<bigint>")
+
+
+def _rare(texts: DataFrame, often: np.ndarray) -> DataFrame:
+    """node, class, size and the rarest elements of each text: as many as must hold one that it shares with any similar text."""
+    shared = texts.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in V.blocks(batch.column(2)):
+                doc, keys, size = _elements(block)
+                order = np.lexsort((keys, shared.value[(keys % np.uint64(COUNTERS)).astype(np.int64)], doc))
+                place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+                own = order[place < (size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1)[doc]]
+                part = batch.select([0, 1]).slice(block.first, block.rows).take(pa.array(doc[own]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size[doc[own]]), pa.array(keys[own].view(np.int64))], names=["node", "class", "size", "element"])
+
+    return texts.select("node", "class", "text").mapInArrow(run, "node bigint, class bigint, size bigint, element bigint")
+
+
+def _rare_pairs(hot: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of large buckets, of different classes, that can be similar.
+
+    Two similar texts share one of the rarest elements of each (whatever order says what is
+    rare, as long as it is the same for all).  Nodes that share one are a group; groups of
+    more than CELL nodes are dealt to cells, and every two cells are joined apart.  Of the
+    pairs only those stay whose sizes and parities allow the similarity: h bits that differ
+    leave an overlap of at most (size a + size b - h) / 2.
     """
-    joined = stars(hot.groupBy("bucket").agg(F.min("node").alias("b")).join(hot.select("bucket", F.col("node").alias("a")), "bucket").select("a", "b"))
-    node = hot.select("node", "class").distinct().join(joined.withColumnRenamed("a", "node"), "node", "left").join(sizes, "node")
-    node = settle(node.select("node", "class", F.coalesce("b", "node").alias("cluster"), F.floor(F.log(F.col("n").cast("double")) / np.log(1 / SIMILAR)).cast("int").alias("step")))
-    largest = node.groupBy("cluster", "class").count().groupBy("cluster").agg(F.max_by("class", F.struct("count", "class")).alias("largest"))
-    node = node.join(largest, "cluster").withColumn("big", F.col("class") == F.col("largest")).drop("largest")
-    cells = node.groupBy("cluster", "step", "big").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k"))
-    # every cell, named (step, big, number), meets those of its own step and of the next
-    other = cells.select("cluster", F.col("step").alias("step2"), F.col("big").alias("big2"), F.col("k").alias("k2"))
-    meets = cells.join(other, "cluster").where("abs(step - step2) <= 1 and not (big and big2)")
-    meets = meets.groupBy("cluster", "step", "big", "k").agg(F.collect_list(F.struct("step2", "big2", "k2")).alias("others"))  # at most six
-    node = node.join(meets, ["cluster", "step", "big"]).withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    pair = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["k2"] - 1), lambda j: F.array_sort(F.array(F.struct(F.col("step"), F.col("big"), F.col("i").alias("i")), F.struct(o["step2"].alias("step"), o["big2"].alias("big"), j.alias("i")))))))
-    dealt = node.join(texts, "node").select("node", "class", "text", "cluster", F.explode(F.array_distinct(pair)).alias("pair"))
-    return dealt.groupBy("cluster", "pair").applyInArrow(_all_links, "a bigint, b bigint")
+    own = settle(texts.join(hot.select("node", "class").distinct(), "node"))
+    rows = settle(_rare(own, _frequencies(own)))
+    mixed = rows.groupBy("element").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 <> c2").select("element", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
+    dealt = settle(join_unique(rows, mixed, "element").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    dealt = settle(join_unique(dealt, _parities(own), "node"))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
+    one = dealt.select("element", "lo", "hi", "i", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"), F.col("bits").alias("pa"))
+    two = dealt.select("element", "lo", "hi", F.col("i").alias("i2"), F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"), F.col("bits").alias("pb"))
+    differ = sum((F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
+    near = (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & (F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb"))
+    near &= 9 * differ <= F.col("sa") + F.col("sb")  # as an overlap of 0.8 takes 4 / 9 of both sizes
+    apart = (F.col("lo") == F.col("hi")) | (F.col("i") != F.col("i2"))  # two of one cell meet in that cell alone
+    return one.join(two, ["element", "lo", "hi"]).where(near & apart).select("a", "b").distinct()
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (id, node) of all texts that aren't null, and stars (a, b) that give each linked node's class."""
-    rows = settle(_sketch(docs, id_col, text_col))
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    rows = _told_apart(settle(_sketch(docs, id_col, text_col)))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("digest").alias("digest"), F.any_value("check").alias("check"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
     member = settle(buckets.join(shared, "bucket").select("bucket", "node", "leader"))
-    chosen = settle(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "n"))
+    chosen = settle(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "n", "digest", "check"))
     texts = settle(_texts(docs, chosen, id_col, text_col))
-    sizes = chosen.select("node", "n")
 
     # each node with the least leader of its buckets
     pairs = member.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
     found = stars(_verified(pairs, texts))
-    # buckets that are left: large ones by cells, small ones pair by pair
-    member = _contested(member, found)
-    more = []
-    hot = member.where(F.col("n") > LARGE)
-    if hot.take(1):
-        more.append(_hot_links(hot, sizes, texts))
-    small = member.where(F.col("n") <= LARGE).join(sizes.withColumnRenamed("n", "size"), "node")
+    left = _contested(member, found)
+    # large buckets that are left: other leaders, then pairs that share a rare shingle
+    for turn in range(LEADERS + 1):
+        hot = left.where(F.col("n") > LARGE)
+        if not hot.take(1):
+            break
+        pairs = _led(hot, turn) if turn < LEADERS else _rare_pairs(hot, texts)
+        found = stars(found.union(_verified(pairs, texts)))
+        left = _contested(left, found)
+    # small ones pair by pair
+    small = left.where(F.col("n") <= LARGE).join(chosen.select("node", F.col("n").alias("size")), "node")
     own = small.select("bucket", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"))
     other = small.select("bucket", F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"))
     near = own.join(other, "bucket").where((F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb")))
-    more.append(_verified(near.select("a", "b").distinct(), texts))
-    found = stars(reduce(DataFrame.union, more, found))
-    return rows.select("id", "node"), found
+    found = stars(found.union(_verified(near.select("a", "b").distinct(), texts)))
+    return rows.select("id", "node", "digest", "check"), found
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """rows with their digest kept as such, and a node of its own for each pair (digest, check) even where digests are equal."""
+    rows = rows.withColumn("digest", F.col("node"))
+    while True:
+        both = rows.groupBy("node").agg(F.min("check").alias("c1"), F.max("check").alias("c2")).where("c1 <> c2").select("node")
+        twice = [r[0] for r in both.toLocalIterator()]  # about one in 2 ** 64 of the pairs of different texts
+        if not twice:
+            return rows
+        rows = settle(rows.withColumn("node", F.when(F.col("node").isin(twice), F.xxhash64("node", "check")).otherwise(F.col("node"))))
 
 
 def _sieve(ids: DataFrame) -> np.ndarray:
@@ -306,34 +365,36 @@ def _sieve(ids: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A text of each node in chosen (node, id).  Only rows that pass the sieve, or have no id, are shuffled."""
+    """A text of each node in chosen (node, id, digest, check).  Only rows that pass the sieve, or have no id, are shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(_sieve(chosen))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy()
             batch = batch.filter(pa.array(bits.value[at >> 3] >> (at & 7) & 1 == 1))
             for block in V.blocks(batch.column(1)):
                 part = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(digests(*shingles(block), block.rows).view(np.int64))], names=["id", "text", "node"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *digests(*shingles(block), block.rows)], names=["id", "text", "digest", "check"])
 
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     text = text.withColumn("at", F.pmod(F.xxhash64(F.lit(41), "id"), F.lit(SIEVE)))
-    text = text.mapInArrow(run, T.StructType([*text.schema.fields[:2], T.StructField("node", T.LongType())]))
-    match = [text["node"] == chosen["node"], text["id"].eqNullSafe(chosen["id"])]
-    return text.join(chosen, match, "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    text = text.mapInArrow(run, T.StructType([*text.schema.fields[:2], *(T.StructField(c, T.LongType()) for c in ("digest", "check"))]))
+    match = [text["digest"] == chosen["digest"], text["check"] == chosen["check"], text["id"].eqNullSafe(chosen["id"])]
+    return text.join(chosen, match).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def _with_node(rows: DataFrame, text_col: str) -> DataFrame:
-    """row (a whole row with its text in the field text_col), its id, and the digest of its shingles."""
+    """row (a whole row with its text in the field text_col), its id, and the digests of its shingles."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(V.text_of(batch.column(0), text_col)):
                 columns = [c.slice(block.first, block.rows) for c in batch.columns]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests(*shingles(block), block.rows).view(np.int64))], names=["row", "id", "node"])
+                yield pa.RecordBatch.from_arrays([*columns, *digests(*shingles(block), block.rows)], names=["row", "id", "digest", "check"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in ("digest", "check"))]))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,14 +410,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each class, the one with the smallest id, and all rows without a text."""
     rows, found = links(docs, id_col, text_col)
-    named = rows.join(found.withColumnRenamed("a", "node"), "node", "left").select("id", "node", F.coalesce("b", "node").alias("class"))
-    counted = named.groupBy("class", "id", "node").count()
-    kept = settle(counted.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node", "count")).alias("k")).select("k.id", "k.node", "k.count"))
+    named = rows.join(found.withColumnRenamed("a", "node"), "node", "left").select("id", "digest", "check", F.coalesce("b", "node").alias("class"))
+    counted = named.groupBy("class", "id", "digest", "check").count()
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "check", "count")).alias("k")
+    kept = settle(counted.groupBy("class").agg(first).select("k.id", "k.digest", "k.check", "k.count"))
     whole = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).isNull().alias("empty"))
     there = _with_node(whole.where("not empty").select("row", "id"), text_col)
-    match = [there["id"].eqNullSafe(kept["id"]), there["node"] == kept["node"]]
+    match = [there["id"].eqNullSafe(kept["id"]), there["digest"] == kept["digest"], there["check"] == kept["check"]]
     out = there.join(kept.where("count = 1"), match, "left_semi").select("row")
     if kept.where("count > 1").limit(1).count():  # rows that are repeated with their id: one of them stays
-        more = there.join(kept.where("count > 1"), match, "left_semi").groupBy("id", "node").agg(F.min("row").alias("row"))
+        more = there.join(kept.where("count > 1"), match, "left_semi").groupBy("id", "digest", "check").agg(F.min("row").alias("row"))
         out = out.union(more.select("row"))
     return out.union(whole.where("empty").select("row")).select("row.*")
