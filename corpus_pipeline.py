@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.bagminhash import deduplicated
 from gridloom.llm.bpe import bpe_round_trip
-from gridloom.llm.common import stored, table
+from gridloom.llm.common import drop, new_folder, stored, table
 from gridloom.llm.langid import HELD_OUT, identified_documents
 from gridloom.llm.mixing import mixed_documents
 from gridloom.llm.resample import resampled_documents
@@ -51,8 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written before the next reads it; what a stage has read is then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        path = new_folder(spark, "stage")
+        docs = stored(stage(spark, docs, sf_dir), path=path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
