@@ -9,8 +9,6 @@ from gridloom.functions import vector as vec
 from gridloom.operators import draw, generate, scene, sequential
 from gridloom.plans.catalog import bits, few, gray, query, rgb, table
 
-#: The SQL below still stops at this key; spheres() takes every supplier, so the two agree up to 40 suppliers only.
-SPHERES = 40
 SIDE = 50
 
 
@@ -23,7 +21,7 @@ def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAYS = f"""WITH r AS (SELECT x.row, y.col, y.col - 24.5::DOUBLE AS x, x.row - 24.5::DOUBLE AS y, 25.0::DOUBLE AS z FROM (SELECT unnest(range({SIDE})) AS row) x, (SELECT unnest(range({SIDE})) AS col) y),
 d AS (SELECT row, col, x / sqrt(x*x + y*y + z*z) AS x, y / sqrt(x*x + y*y + z*z) AS y, z / sqrt(x*x + y*y + z*z) AS z FROM r),
-s AS (SELECT s_suppkey::BIGINT AS k, ((s_suppkey % 7 - 3) * 6)::DOUBLE AS cx, ((s_suppkey % 5 - 2) * 6)::DOUBLE AS cy, (30 + s_suppkey % 11)::DOUBLE AS cz, (2 + s_suppkey % 3)::DOUBLE AS radius FROM supplier WHERE s_suppkey <= {SPHERES}),
+s AS (SELECT s_suppkey::BIGINT AS k, ((s_suppkey % 7 - 3) * 6)::DOUBLE AS cx, ((s_suppkey % 5 - 2) * 6)::DOUBLE AS cy, (30 + s_suppkey % 11)::DOUBLE AS cz, (2 + s_suppkey % 3)::DOUBLE AS radius FROM supplier),
 b AS (SELECT row, col, k, -2 * (x * cx + y * cy + z * cz) AS b, cx*cx + cy*cy + cz*cz - radius*radius AS c FROM d, s),
 h AS (SELECT row, col, k, (-b - sqrt(b * b - 4 * c)) / 2 AS t FROM b WHERE b * b - 4 * c > 1e-7),
 n AS (SELECT *, row_number() OVER (PARTITION BY row, col ORDER BY {{order}}) AS place FROM h)
