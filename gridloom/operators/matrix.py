@@ -104,17 +104,15 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def multiply_blocked(a: DataFrame, b: DataFrame, size: int = 256) -> DataFrame:
     """The product by blocks of size x size, multiplied densely: for large dense matrices, whose join by cell would be n cubed rows."""
-    blocks = lambda m, r, c: m.select(F.expr(f"i div {size}").alias(r), F.expr(f"j div {size}").alias(c), F.struct((F.col("i") % size).alias("i"), (F.col("j") % size).alias("j"), "v").alias("e")).groupBy(r, c).agg(F.collect_list("e").alias(r + c))
+    cells = F.collect_list(F.struct(((F.col("i") % size) * size + F.col("j") % size).alias("at"), "v"))
+    blocks = lambda m, r, c: m.groupBy(F.expr(f"i div {size}").alias(r), F.expr(f"j div {size}").alias(c)).agg(cells.alias(r + c)).select(r, c, F.struct(F.col(r + c)["at"].alias("at"), F.col(r + c)["v"].alias("v")).alias(r + c))
     pairs = blocks(a, "bi", "bk").join(blocks(b, "bk", "bj"), "bk").select("bi", "bj", F.col("bibk").alias("x"), F.col("bkbj").alias("y"))
 
     def one(batches):
         for pdf in batches:
             out = []
             for bi, bj, x, y in zip(pdf.bi, pdf.bj, pdf.x, pdf.y, strict=True):
-                p, q = np.zeros((size, size)), np.zeros((size, size))
-                for m, e in ((p, x), (q, y)):
-                    for c in e:
-                        m[c["i"], c["j"]] += c["v"]
+                p, q = (np.bincount(e["at"], e["v"], size * size).reshape(size, size) for e in (x, y))
                 z = p @ q
                 i, j = np.nonzero(z)
                 out.append(pd.DataFrame({"i": bi * size + i, "j": bj * size + j, "v": z[i, j]}))
@@ -276,6 +274,22 @@ def inverse(a: DataFrame, how: str = "gauss") -> DataFrame:
     return _per_matrix(a, f)
 
 
+def multiply_each(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The product of every m's two matrices, (m, i, j, v) each: a join on m and the inner index."""
+    right = b.select("m", F.col("i").alias("k"), "j", F.col("v").alias("w"))
+    return a.select("m", "i", F.col("j").alias("k"), "v").join(right, ["m", "k"]).groupBy("m", "i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def divide(a: DataFrame, b: DataFrame, how: str = "gauss") -> DataFrame:
+    """a / b for every m: a times the inverse of b."""
+    return multiply_each(a, inverse(b, how).drop("part"))
+
+
+def divide_cells(a: DataFrame, k: float) -> DataFrame:
+    """Every cell over a number."""
+    return apply(a, lambda v: v / k)
+
+
 def scalars(a: DataFrame) -> DataFrame:
     """det, rank, cond, norm2 and is_singular, each as a 1 x 1 part."""
 

@@ -51,6 +51,12 @@ def depth(r: Raster, maxval: int) -> Raster:
     return r.map(lambda x: F.floor((x * maxval + r.maxval // 2) / F.lit(r.maxval)).cast("bigint"), maxval=maxval)
 
 
+def gamma_planes(r: Raster, powers: tuple[float, ...]) -> Raster:
+    """A power curve of its own for each plane."""
+    curve = lambda k: F.floor(F.pow(r.plane(k) / F.lit(float(r.maxval)), F.lit(1 / powers[k])) * r.maxval + 0.5)
+    return r.with_cell(F.array(*(F.least(curve(k).cast("bigint"), F.lit(r.maxval).cast("bigint")) for k in range(r.depth))))
+
+
 def gamma(r: Raster, curve: str = "709", power: float = 2.2, back: bool = False) -> Raster:
     """A transfer curve: power, 709 or srgb; back undoes it.  The curve is a function of the sample, so each is looked up or computed alike."""
     curves = {
@@ -138,6 +144,29 @@ def ordered_bitmap(r: Raster, power: int = 3) -> Raster:
     return r.with_cell(F.array((r.plane() * n2 > _at(bayer(power)) * r.maxval + F.lit(r.maxval // 2)).cast("bigint")), maxval=1)
 
 
+#: Orders in which the cells of a clustered dither of side 3, 4 and 8 turn white; the other half of each chequer is what is left to 2 * side ** 2 - 1.
+CLUSTERS = {
+    3: [[9, 11, 10], [12, 17, 16], [13, 14, 15]],
+    4: [[18, 20, 19, 16], [27, 28, 29, 22], [26, 31, 30, 21], [23, 25, 24, 17]],
+    8: [
+        [64, 69, 77, 87, 86, 76, 68, 67], [70, 94, 100, 109, 108, 99, 93, 75], [78, 101, 114, 116, 115, 112, 98, 83], [88, 110, 123, 124, 125, 118, 107, 85],
+        [89, 111, 122, 127, 126, 117, 106, 84], [79, 102, 119, 121, 120, 113, 97, 82], [71, 95, 103, 104, 105, 96, 92, 74], [65, 72, 80, 90, 91, 81, 73, 66],
+    ],
+}
+
+
+def cluster_bitmap(r: Raster, side: int, whole: bool = False) -> Raster:
+    """Gray to a bitmap by a clustered dither of side 3, 4 or 8: white where the sample exceeds its share.
+
+    The original repeats the first quarter of its matrix only, the dark half of the scale's cells; whole takes all four.
+    """
+    own, last = CLUSTERS[side], 2 * side * side
+    other = [[last - 1 - v for v in line] for line in own]
+    matrix = [a + b for a, b in zip(own, other, strict=True)] + [b + a for a, b in zip(own, other, strict=True)] if whole else own
+    bound = [[v * r.maxval // last for v in line] for line in matrix]
+    return r.with_cell(F.array((r.plane() > _at(bound)).cast("bigint")), maxval=1)
+
+
 def ordered_colors(r: Raster, power: int = 2, shades: tuple[int, int, int] = (5, 9, 5)) -> Raster:
     """Ordered dither of each plane to a number of shades, spread over the old scale."""
     n2, d = 4**power, _at(bayer(power))

@@ -92,6 +92,20 @@ def transform(points: DataFrame, m: list[list[float]], mode: str = "intended") -
     return points.withColumn("p", vec(line(0), line(1), line(1) if mode == "as_written" else line(2)))
 
 
+def transform_spheres(spheres: DataFrame, m: list[list[float]], mode: str = "intended") -> DataFrame:
+    """Spheres (centre struct<x, y, z>) through a 4 x 4 matrix: their centres move, radii stay.  as_written leaves them where they are."""
+    if mode == "as_written":
+        return spheres
+    return transform(spheres.withColumnRenamed("centre", "p"), m).withColumnRenamed("p", "centre")
+
+
+def transform_polygons(polygons: DataFrame, m: list[list[float]], vertices: str = "vertices", mode: str = "intended") -> DataFrame:
+    """Polygons (an array of struct<x, y, z>) through a 4 x 4 matrix, vertex by vertex, as points are."""
+    w = 0.0 if mode == "as_written" else 1.0
+    line = lambda p, k: m[k][0] * p["x"] + m[k][1] * p["y"] + m[k][2] * p["z"] + m[k][3] * w
+    return polygons.withColumn(vertices, F.transform(vertices, lambda p: vec(line(p, 0), line(p, 1), line(p, 1 if mode == "as_written" else 2))))
+
+
 def sphere_distance(o: Column, d: Column, centre: Column, radius: Column) -> Column:
     """Along the unit ray d from o: the nearer root, the only one, or null."""
     to = sub(o, centre)

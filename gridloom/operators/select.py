@@ -60,9 +60,10 @@ def bounds(r: Raster, background: tuple[int, ...]) -> DataFrame:
     return other.groupBy("image").agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("col").alias("left"), F.max("col").alias("right"))
 
 
-def crop(r: Raster, background: tuple[int, ...]) -> DataFrame:
-    """Each image cut to its bounds: image, row, col, s.  Sizes may now differ by image."""
-    box = bounds(r, background)
+def crop(r: Raster, background: tuple[int, ...], sides: tuple[str, ...] = ("top", "bottom", "left", "right")) -> DataFrame:
+    """Each image cut to its bounds on the sides that are named: image, row, col, s.  Sizes may now differ by image."""
+    whole = {"top": 0, "bottom": r.height - 1, "left": 0, "right": r.width - 1}
+    box = bounds(r, background).select("image", *(F.col(c) if c in sides else F.lit(v).cast("bigint").alias(c) for c, v in whole.items()))
     px = r.px.join(box, "image").where(F.col("row").between(F.col("top"), F.col("bottom")) & F.col("col").between(F.col("left"), F.col("right")))
     return px.select("image", (F.col("row") - F.col("top")).alias("row"), (F.col("col") - F.col("left")).alias("col"), "s")
 

@@ -139,3 +139,71 @@ def matrix_solve(spark, sf_dir):
     a = _grams(spark, sf_dir)
     b = a.where("j = 0").withColumn("v", F.col("i") + 1.0)
     return M.solve(a, b)
+
+
+# ---- factorisations multiplied out again: the Gram matrices themselves, and unit matrices
+
+GRAM = """WITH v AS (SELECT row_number() OVER () AS n, label::VARCHAR AS m, list_transform(embedding, lambda x: coalesce(x, 0)::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+c AS (SELECT n, m, unnest(range(len(e)))::BIGINT AS i, unnest(e) AS x FROM v),
+g AS (SELECT a.m, a.i, b.i AS j, sum(a.x * b.x) + (a.i = b.i)::INT AS v FROM c a JOIN c b ON a.n = b.n GROUP BY 1, 2, 3)
+"""
+SAME = GRAM + "SELECT m, i, j, round(v, 4) + 0.0 AS v FROM g"
+UNIT = GRAM + "SELECT m, i, j, (i = j)::INT::DOUBLE AS v FROM g"
+
+
+def _part(got: DataFrame, name: str) -> DataFrame:
+    return got.where(F.col("part") == name).drop("part")
+
+
+def _flipped(a: DataFrame) -> DataFrame:
+    return a.select("m", F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def _shown(a: DataFrame, digits: int) -> DataFrame:
+    return a.select("m", "i", "j", (F.round("v", digits) + 0.0).alias("v"))
+
+
+@query(SAME)
+def matrix_cholesky_product(spark, sf_dir):
+    low = _part(M.cholesky(_grams(spark, sf_dir)), "l")
+    return _shown(M.multiply_each(low, _flipped(low)), 4)
+
+
+@query(SAME)
+def matrix_qr_product(spark, sf_dir):
+    got = M.qr(_grams(spark, sf_dir))
+    return _shown(M.multiply_each(_part(got, "q"), _part(got, "r")), 4)
+
+
+@query(SAME)
+def matrix_svd_product(spark, sf_dir):
+    got = M.svd(_grams(spark, sf_dir))
+    w = _part(got, "w").select("m", "j", F.col("v").alias("w"))
+    return _shown(M.multiply_each(_part(got, "u").join(w, ["m", "j"]).select("m", "i", "j", (F.col("v") * F.col("w")).alias("v")), _part(got, "vt")), 4)
+
+
+@query(SAME)
+def matrix_eigen_product(spark, sf_dir):
+    got = M.eigen_symmetric(_grams(spark, sf_dir))
+    vectors, values = _part(got, "vectors"), _part(got, "values").select("m", "j", F.col("v").alias("w"))
+    return _shown(M.multiply_each(vectors.join(values, ["m", "j"]).select("m", "i", "j", (F.col("v") * F.col("w")).alias("v")), _flipped(vectors)), 4)
+
+
+@query(SAME)
+def matrix_lu_product(spark, sf_dir):
+    got = M.lu(_grams(spark, sf_dir))
+    back = _part(got, "order").select("m", F.col("j").alias("i"), F.col("v").cast("bigint").alias("to"))
+    product = M.multiply_each(_part(got, "l"), _part(got, "u"))
+    return _shown(product.join(back, ["m", "i"]).select("m", F.col("to").alias("i"), "j", "v"), 4)
+
+
+@query(UNIT)
+def matrix_divide(spark, sf_dir):
+    a = _grams(spark, sf_dir)
+    return _shown(M.divide(a, a), 6)
+
+
+@query(UNIT)
+def matrix_inverse_product(spark, sf_dir):
+    a = _grams(spark, sf_dir)
+    return _shown(M.multiply_each(M.inverse(a, "qr").drop("part"), a), 6)

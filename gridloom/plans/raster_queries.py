@@ -472,3 +472,21 @@ for _name in ("xbm", "wbmp", "cmuwm", "mgr", "atk", "mrf", "g3", "escp2"):
 # whole words: half of the filling of 12 columns on the left; whole bytes and four lines
 query("SELECT row, col, max(bit) AS p0 FROM (SELECT row, col + 6 AS col, bit FROM img UNION ALL SELECT r.row, c.c AS col, 1 FROM (SELECT DISTINCT row FROM img) r, (SELECT unnest([0, 1, 2, 3, 4, 5, 106, 107, 108, 109, 110, 111]) AS c) c) GROUP BY row, col", "file_icon")(lambda spark, sf_dir: _there_and_back(bits(spark, sf_dir), "icon").select("row", "col", F.col("s")[0].alias("p0")))
 query("SELECT row, col, bit AS p0 FROM img WHERE col < 96 UNION ALL SELECT r.r, c.c, 0 FROM (SELECT unnest(range(height, (height + 3) // 4 * 4)) AS r FROM size) r, (SELECT unnest(range(96)) AS c) c", "file_mda")(lambda spark, sf_dir: _there_and_back(bits(spark, sf_dir), "mda").select("row", "col", F.col("s")[0].alias("p0")))
+
+
+# ---- clustered dithers, curves by plane, crops by side
+
+for _side, _own in point.CLUSTERS.items():
+    _flat = [v for line in _own for v in line]
+    query(f"SELECT row, col, (v > ({_flat}[(row % {_side} * {_side} + col % {_side} + 1)::INT] * 255) // {2 * _side * _side})::BIGINT AS p0 FROM img", f"cluster_{_side}")(lambda spark, sf_dir, n=_side: point.cluster_bitmap(gray(spark, sf_dir), n).flat())
+
+
+@query("SELECT row, col, " + ", ".join(f"least(255, floor(pow({x} / 255.0::DOUBLE, {1 / p!r}::DOUBLE) * 255 + 0.5))::BIGINT AS p{k}" for k, (x, p) in enumerate(zip("vgb", (2.2, 1.5, 0.8)))) + " FROM img")
+def gamma_planes(spark, sf_dir):
+    return point.gamma_planes(rgb(spark, sf_dir), (2.2, 1.5, 0.8)).flat()
+
+
+@query("""WITH b AS (SELECT min(row) AS top, min(col) AS l FROM img WHERE few <> 0)
+SELECT row - top AS row, col - l AS col, few AS p0 FROM img, b WHERE row >= top AND col >= l""")
+def crop_sides(spark, sf_dir):
+    return select.crop(few(spark, sf_dir), (0,), ("top", "left")).select("row", "col", F.col("s")[0].alias("p0"))

@@ -68,6 +68,23 @@ def transform_points(spark, sf_dir):
     return scene.transform(points, [[2, 0, 0, -3], [1, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]]).select("k", "p.x", "p.y", "p.z")
 
 
+MOVE = [[2, 0, 0, -3], [1, 1, 0, 0], [0, 0, 1, 5], [0, 0, 0, 1]]
+
+
+@query("SELECT s_suppkey::BIGINT AS k, 2.0::DOUBLE * ((s_suppkey % 7 - 3) * 6) - 3 AS x, ((s_suppkey % 7 - 3) * 6 + (s_suppkey % 5 - 2) * 6)::DOUBLE AS y, (35 + s_suppkey % 11)::DOUBLE AS z, (2 + s_suppkey % 3)::DOUBLE AS radius FROM supplier")
+def transform_spheres(spark, sf_dir):
+    return scene.transform_spheres(spheres(spark, sf_dir), MOVE).select("k", "centre.x", "centre.y", "centre.z", "radius")
+
+
+@query("""SELECT s_suppkey::BIGINT AS k, n, 2 * x - 3 AS x, x + y AS y, z + 5 AS z FROM supplier, LATERAL (SELECT unnest([0, 1, 2])::BIGINT AS n) t,
+LATERAL (SELECT (s_suppkey % 7 + n)::DOUBLE AS x, (s_suppkey % 5 - n)::DOUBLE AS y, (n * n)::DOUBLE AS z) p""")
+def transform_polygons(spark, sf_dir):
+    k = F.col("s_suppkey")
+    corner = lambda n: vec.vec((k % 7 + n).cast("double"), (k % 5 - n).cast("double"), F.lit(float(n * n)))
+    polygons = table(spark, sf_dir, "supplier").select(k.cast("bigint").alias("k"), F.array(*(corner(n) for n in range(3))).alias("vertices"))
+    return scene.transform_polygons(polygons, MOVE).select("k", F.posexplode("vertices").alias("n", "p")).select("k", F.col("n").cast("bigint").alias("n"), "p.x", "p.y", "p.z")
+
+
 @query("""WITH v AS (SELECT s_suppkey::BIGINT AS k, (s_suppkey % 7)::DOUBLE AS a, (s_suppkey % 5)::DOUBLE AS b, 2.0::DOUBLE AS c, 1.0::DOUBLE AS d, (s_suppkey % 3)::DOUBLE AS e, 3.0::DOUBLE AS f FROM supplier)
 SELECT k, a*d + b*e + c*f AS dot, b*f - c*e AS cx, c*d - a*f AS cy, a*e - b*d AS cz, round(sqrt(a*a + b*b + c*c), 9) AS length, round(degrees(acos((a*d + b*e + c*f) / (sqrt(a*a + b*b + c*c) * sqrt(d*d + e*e + f*f)))), 6) AS angle,
 round(sqrt((a-d)*(a-d) + (b-e)*(b-e) + (c-f)*(c-f)), 9) AS distance FROM v""")

@@ -126,6 +126,39 @@ def test_values_by_hand(spark):
     assert back(geometry.globe(make(spark, [[1, 2, 3, 4, 5, 6]] * 3), 2))[1] == [1, 2, 3, 4, 5, 6]
 
 
+def test_clusters_curves_and_crops(spark):
+    half = make(spark, [[127, 128, 155], [169, 170, 240], [185, 198, 213]])
+    # 9, 11, 10 / 12, 17, 16 / 13, 14, 15 of 18: 127, 155, 141 / 170, 240, 226 / 184, 198, 212
+    assert back(point.cluster_bitmap(half, 3)) == [[0, 0, 1], [0, 0, 1], [1, 0, 1]]
+    for side in (3, 4, 8):
+        flat = back(point.cluster_bitmap(make(spark, [[128] * (4 * side)] * (4 * side)), side, whole=True))
+        assert np.mean(flat) == pytest.approx(0.5, abs=1 / side**2)
+        assert sorted(v for line in point.CLUSTERS[side] for v in line) == list(range(side * side, 2 * side * side))
+    assert back(point.gamma_planes(make(spark, [[(64, 64, 64)]]), (1.0, 2.0, 0.5))) == [[(64, 128, 16)]]
+    dot = make(spark, [[0, 0, 0], [0, 5, 0], [0, 0, 0]])
+    assert {(r["row"], r["col"]) for r in select.crop(dot, (0,), ("left",)).collect()} == {(i, j) for i in range(3) for j in range(2)}
+    assert select.crop(dot, (0,)).count() == 1
+
+
+def test_objects_are_transformed(spark):
+    m = [[0, 1, 0, 1], [1, 0, 0, 2], [0, 0, 3, 0], [0, 0, 0, 1]]
+    p = "named_struct('x', 1D, 'y', 2D, 'z', 3D)"
+    ball = spark.sql(f"select {p} as centre, 4D as radius, array({p}) as vertices")
+    assert tuple(scene.transform_spheres(ball, m).first()["centre"]) == (3, 3, 9) and scene.transform_spheres(ball, m).first()["radius"] == 4
+    assert tuple(scene.transform_spheres(ball, m, "as_written").first()["centre"]) == (1, 2, 3)
+    assert tuple(scene.transform_polygons(ball, m).first()["vertices"][0]) == (3, 3, 9)
+    assert tuple(scene.transform_polygons(ball, m, mode="as_written").first()["vertices"][0]) == (2, 1, 1)
+
+
+def test_matrices_are_divided(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(3, 3)), rng.normal(size=(3, 3)) + 3 * np.eye(3)
+    got = {(r["i"], r["j"]): r["v"] for r in matrix.divide(as_matrix(spark, x), as_matrix(spark, y)).collect()}
+    assert np.allclose([[got[i, j] for j in range(3)] for i in range(3)], x @ np.linalg.inv(y))
+    half = {(r["i"], r["j"]): r["v"] for r in matrix.divide_cells(as_matrix(spark, x), 2.0).collect()}
+    assert np.allclose([[half[i, j] for j in range(3)] for i in range(3)], x / 2)
+
+
 def test_grids_are_made_by_many_tasks(spark, img):
     parts = geometry.full_grid(img, 40, 50).groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1 and sum(r["count"] for r in parts) == 2000
