@@ -110,10 +110,16 @@ GRAY = {
     "dilate": (lambda r: neighbours.dilate(r, [[0, 1, 0], [1, 1, 1], [0, 1, 0]]), "SELECT a.row, a.col, max(b.v) AS p0 FROM img a JOIN img b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 GROUP BY 1, 2"),
     "erode": (lambda r: neighbours.erode(r, [[0, 1, 0], [1, 1, 1], [0, 1, 0]]), "SELECT a.row, a.col, min(b.v) AS p0 FROM img a JOIN img b ON abs(a.row - b.row) + abs(a.col - b.col) <= 1 AND b.row BETWEEN a.row - 1 AND a.row + 1 GROUP BY 1, 2"),
     "sharpness_map": (neighbours.sharpness_map, "SHARP"),
-    "trimmed_median": (lambda r: neighbours.trimmed_mean(r, 0.5), None),
+    "trimmed_median": (lambda r: neighbours.trimmed_mean(r, 0.5), """WITH k AS (SELECT a, c FROM (SELECT unnest([-1, 0, 1]) AS a), (SELECT unnest([-1, 0, 1]) AS c)),
+        n AS (SELECT row, col, greatest(0, least(height - 1, row + a)) AS r0, greatest(0, least(99, col + c)) AS c0 FROM img, k, size)
+        SELECT n.row, n.col, list_sort(list(i.v))[5] AS p0 FROM n JOIN img i ON i.row = n.r0 AND i.col = n.c0 GROUP BY 1, 2"""),
     "optimal_estimate": (lambda r: neighbours.optimal_estimate(r, 0.1), None),
     "antialias": (neighbours.antialias, None),
-    "shear": (lambda r: geometry.shear(r, 10), None),
+    "shear": (lambda r: geometry.shear(r, 10), """WITH p AS (SELECT row, col, v, row * SLOPE::DOUBLE AS sh, lag(v, 1, 0) OVER (PARTITION BY row ORDER BY col) AS u FROM img),
+        q AS (SELECT *, floor(sh)::BIGINT AS w, floor((sh - floor(sh)) * 4096)::BIGINT AS f FROM p),
+        m AS (SELECT row, col + w AS col, (f * u + (4096 - f) * v + 2048) // 4096 AS v FROM q UNION ALL SELECT row, 100 + w, (f * v + 2048) // 4096 FROM q WHERE col = 99),
+        g AS (SELECT r.row, c.col FROM (SELECT unnest(range(height)) AS row FROM size) r, (SELECT unnest(range(100 + floor(height * SLOPE::DOUBLE + 0.999999)::BIGINT)) AS col FROM size) c)
+        SELECT g.row, g.col, coalesce(m.v, 0) AS p0 FROM g LEFT JOIN m USING (row, col)""".replace("SLOPE", "0.17632698070846498")),
     "rotate_30": (lambda r: geometry.rotate(r, 30), None),
     "resample_lanczos": (lambda r: geometry.resample(r, r.height, 40, "lanczos"), None),
     "jitter": (lambda r: geometry.jitter(r, 3, 5), None),

@@ -112,7 +112,7 @@ GENERATED = {
     "gaussian": (lambda s: generate.gaussian(s, 21, 21, 4.0), "WITH z AS (SELECT row, col, exp(-((row - 10) * (row - 10) + (col - 10) * (col - 10)) / 32.0) AS z FROM (SELECT unnest(range(21)) AS row), (SELECT unnest(range(21)) AS col)) SELECT row, col, floor(z * 255 / (SELECT sum(z) FROM z) + 0.5)::BIGINT AS p0 FROM z"),
     "distance_kernel": (lambda s: generate.distance_kernel(s, 5, 5), "WITH z AS (SELECT row, col, 1 / (1 + 6 * sqrt((row - 2.0::DOUBLE) * (row - 2.0::DOUBLE) + (col - 2.0::DOUBLE) * (col - 2.0::DOUBLE))) AS z FROM (SELECT unnest(range(5)) AS row), (SELECT unnest(range(5)) AS col)) SELECT row, col, floor(255 * (z / (2 * (SELECT max(z) FROM z)) + 0.5))::BIGINT AS p0 FROM z"),
     "distance_kernel_even": (lambda s: generate.distance_kernel(s, 4, 6), "WITH z AS (SELECT row, col, 1 / (1 + 6 * sqrt((row - 1.5::DOUBLE) * (row - 1.5::DOUBLE) + (col - 2.5::DOUBLE) * (col - 2.5::DOUBLE))) AS z FROM (SELECT unnest(range(4)) AS row), (SELECT unnest(range(6)) AS col)) SELECT row, col, floor(255 * (z / (2 * (SELECT max(z) FROM z)) + 0.5))::BIGINT AS p0 FROM z"),
-    "rainbow": (lambda s: generate.rainbow(s, 2, 60, [(255, 0, 0), (0, 255, 0), (0, 0, 255)]), None),
+    "rainbow": (lambda s: generate.rainbow(s, 2, 60, [(255, 0, 0), (0, 255, 0), (0, 0, 255)]), grid_sql(2, 60, *(f"floor([{a}][(col * 3 // 60 + 1)::INT] * (1 - (col * 3 / 60.0::DOUBLE - col * 3 // 60)) + [{b}][(col * 3 // 60 + 1)::INT] * (col * 3 / 60.0::DOUBLE - col * 3 // 60) + 0.5)" for a, b in (("255, 0, 0", "0, 0, 255"), ("0, 255, 0", "255, 0, 0"), ("0, 0, 255", "0, 255, 0"))))),
     "wheel": (lambda s: generate.wheel(s, 41), None),
     "noise": (lambda s: generate.noise(s, 30, 30, 7), None),
     "bar_code": (lambda s: generate.upc(s, 0, 72890, 11, 4), None),
