@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.  All but
 the last return the columns of documents.  ORACLE_SQL is None: a trained network, a noisy
 top-k and signatures can't be expressed in SQL; the stages are tested against brute force.
+An empty table gives an empty one at every stage, and columns of any name are carried along,
+but for those of the last stage's results, which replace columns of their names.
 """
 
 from __future__ import annotations
@@ -24,22 +26,31 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance resampling towards those labelled as good."""
+    """Documents drawn by importance resampling towards those labelled as good.
+
+    Null and empty texts go; repeated rows stay or go together; without labels of good rows all texts stay.
+    """
     return resampled_documents(docs, table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest id."""
+    """One document of each class of near-duplicates, the one with the smallest id; all rows with a null text stay.
+
+    A null id comes last; of rows that are repeated with their id one stays.
+    """
     return deduplicated(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: not at all, once, or repeated."""
+    """Documents as often as the mix of sources takes them: not at all, once, or repeated, at most three times.
+
+    Texts without a word are never taken; a null source is a source of its own.
+    """
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their number of tokens and digests of ids and decoded bytes."""
+    """Documents with their number of tokens and digests of ids and decoded bytes; a null text counts as empty, rows as often as they occur."""
     import public_tokenizers
 
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, passed=tuple(docs.columns))

@@ -271,7 +271,10 @@ def _labelled(source: DataFrame, shared, text_col: str, keep: int) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, labelled: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is known with a score of at least ``least``, with all their columns."""
+    """The rows of docs whose language is known with a score of at least ``least``, with all their columns.
+
+    Null texts and those without a letter go, repeated rows stay or go together; without labels none stays.
+    """
     net = learn(labelled, id_col, text_col, label_col)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     got = _labelled(docs.select(F.struct("*").alias("row")), shared, text_col, 0)

@@ -17,7 +17,7 @@ def ordered_key(values: np.ndarray) -> np.ndarray:
 
 
 def kth_largest(rows: DataFrame, key: str, k: int) -> int | None:
-    """The k-th largest value of a bigint column: at least k rows are not below it, fewer are above.  None if there are fewer than k rows or k is 0.
+    """The k-th largest value of a bigint column: at least k rows are not below it, fewer are above.  None if there are fewer than k rows or k is 0.  Null keys don't count; equal keys count as often as they occur.
 
     Each pass counts rows by the next BITS bits of the key, within what is still open;
     partial counts are made before the shuffle, so no key is hot.
