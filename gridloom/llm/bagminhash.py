@@ -18,7 +18,8 @@ Classes are the connected components of the verified links.  A node is first com
 the least node it shares a bucket with, so a group of n copies costs n comparisons;
 buckets whose nodes are all in one component are then done.  Of the others, those of up to
 LARGE nodes have their pairs across components verified one by one.  The nodes of larger
-ones are compared with LEADERS more leaders, and what is left is searched by prefixes: of
+ones are held against HEADS more leaders, LEADERS times, by their parities (bits that bound
+an overlap), and verified against the nearest; what is left is searched by prefixes: of
 two similar texts each holds one of the other's shingles among its own rarest fifth, so
 only pairs that share a rare shingle are verified.  So every link between candidates either
 is verified, or joins nodes that are already in one class.  Results don't depend on LARGE,
@@ -42,19 +43,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import textvec as V
-from gridloom.llm.common import frugal, settle
+from gridloom.llm.common import PER_TASK, frugal, narrow, settle
 from gridloom.llm.components import join_unique, stars
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Nodes of a bucket beyond which its pairs aren't enumerated, how many more leaders its nodes are then held
-#: against, and how many nodes that share a rare shingle are joined at once.
-LARGE, LEADERS, CELL = 32, 2, 512
+#: Nodes of a bucket beyond which its pairs aren't enumerated; how often and against how many leaders a bucket
+#: its nodes are then held; and how many nodes that share a rare shingle are joined at once.
+LARGE, LEADERS, HEADS, CELL = 32, 3, 8, 512
 #: Counters of how often shingles occur (8 MB, whatever the input).
 COUNTERS = 1 << 20
+#: Texts that are worth a task of their own.
+TEXTS = 1 << 12
 #: Bits of a text that bound an overlap.
-PARITIES = 4096
+PARITIES = 1024
 #: Bits of the filter that keeps texts without candidates out of the shuffle (2 MB, whatever the input).
 SIEVE = 1 << 24
 
@@ -202,21 +205,36 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _contested(member: DataFrame, found: DataFrame) -> DataFrame:
     """Memberships of the buckets whose nodes aren't all in one class: bucket, node, class, n (the bucket's nodes)."""
-    known = found.select(F.col("a").alias("node"), F.col("b").alias("class"))
-    named = settle(member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")))
+    known, n = found.select(F.col("a").alias("node"), F.col("b").alias("class")), member.count()
+    named = settle(narrow(member.select("bucket", "node").join(known, "node", "left").select("bucket", "node", F.coalesce("class", "node").alias("class")), n))
     mixed = named.groupBy("bucket").agg(F.min("class").alias("c1"), F.max("class").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("bucket", "n")
-    return settle(join_unique(named, mixed, "bucket").select("bucket", "node", "class", "n"))
+    return narrow(settle(narrow(join_unique(named, mixed, "bucket").select("bucket", "node", "class", "n"), n)))
 
 
-def _led(hot: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b): each node of a large bucket with a leader drawn from the bucket's classes but its largest, the least over its buckets."""
-    sizes = hot.groupBy("bucket", "class").agg(F.count("*").alias("k"), F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("one"))
-    sizes = sizes.withColumn("draw", F.xxhash64(F.lit(turn), "one"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("k", "class")).alias("largest"), F.max(F.struct("draw", "class", "one")).alias("x"), F.min(F.struct("draw", "class", "one")).alias("y"))
-    chosen = F.when(F.col("x.class") == F.col("largest"), F.col("y")).otherwise(F.col("x"))
-    leaders = largest.select("bucket", chosen["one"].alias("leader"), chosen["class"].alias("own"))
-    pairs = join_unique(hot, leaders, "bucket").where("class <> own and node <> leader")
-    return pairs.groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
+def _led(hot: DataFrame, bits: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b): each node of large buckets with the leader, of another class, that it differs from the least and may be similar to.
+
+    A bucket's classes are dealt to HEADS slots, and a leader is drawn from each, anew each turn.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(turn), "class"), F.lit(HEADS))
+    heads = hot.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "class")).alias("x")).select("bucket", F.col("x.node").alias("head"), F.col("x.class").alias("class"))
+    heads = heads.join(bits.withColumnRenamed("node", "head"), "head").groupBy("bucket").agg(F.collect_list(F.struct("head", "class", "size", "bits")).alias("heads"))
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = PARITIES // 64
+        for batch in batches:
+            node, class_, size = (batch.column(k).to_numpy() for k in range(3))
+            own = batch.column(3).flatten().to_numpy().reshape(-1, words)
+            who = np.repeat(np.arange(len(node)), batch.column(4).value_lengths().to_numpy())
+            head, its_class, its_size, its_bits = (batch.column(4).flatten().field(k) for k in range(4))
+            differ = differing(own[who], its_bits.flatten().to_numpy().reshape(-1, words))
+            fine = np.flatnonzero((class_[who] != its_class.to_numpy()) & (9 * differ <= size[who] + its_size.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(node[who[fine]]), head.take(pa.array(fine)), pa.array(differ[fine])], names=["a", "b", "differ"])
+
+    rows = join_unique(narrow(settle(join_unique(hot.select("bucket", "node", "class"), bits, "node")), each=PER_TASK // 8), heads, "bucket")
+    near = rows.select("node", "class", "size", "bits", "heads").mapInArrow(run, "a bigint, b bigint, differ bigint")
+    return near.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b"))
 
 
 def _elements(block: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,23 +273,31 @@ def parities(doc: np.ndarray, keys: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(rows, PARITIES // 64)
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ in each row; unsigned, as signed numbers are counted by their absolute values."""
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)
+
+
 def _parities(texts: DataFrame) -> DataFrame:
-    """node and its parities."""
+    """node, its number of elements and its parities."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(batch.column(1)):
-                doc, keys, _ = _elements(block)
+                doc, keys, size = _elements(block)
                 bits = parities(doc, keys, block.rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(block.rows + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), lists], names=["node", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(size), lists], names=["node", "size", "bits"])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, bits array<bigint>")
+    return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, bits array<bigint>")
 
 
 def _rare(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """node, class, size and the rarest elements of each text: as many as must hold one that it shares with any similar text."""
+    """node, class, size and the rarest elements of each text: as many as must hold one that it shares with any similar text.
+
+    Of these, elements whose counter is 1 are in no other text and are left out.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers
 
     @frugal
@@ -279,16 +305,18 @@ def _rare(texts: DataFrame, often: np.ndarray) -> DataFrame:
         for batch in batches:
             for block in V.blocks(batch.column(2)):
                 doc, keys, size = _elements(block)
-                order = np.lexsort((keys, shared.value[(keys % np.uint64(COUNTERS)).astype(np.int64)], doc))
+                n = shared.value[(keys % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((keys, n, doc))
                 place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
                 own = order[place < (size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1)[doc]]
+                own = own[n[own] > 1]
                 part = batch.select([0, 1]).slice(block.first, block.rows).take(pa.array(doc[own]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size[doc[own]]), pa.array(keys[own].view(np.int64))], names=["node", "class", "size", "element"])
 
     return texts.select("node", "class", "text").mapInArrow(run, "node bigint, class bigint, size bigint, element bigint")
 
 
-def _rare_pairs(hot: DataFrame, texts: DataFrame) -> DataFrame:
+def _rare_pairs(hot: DataFrame, own: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of large buckets, of different classes, that can be similar.
 
     Two similar texts share one of the rarest elements of each (whatever order says what is
@@ -297,19 +325,35 @@ def _rare_pairs(hot: DataFrame, texts: DataFrame) -> DataFrame:
     pairs only those stay whose sizes and parities allow the similarity: h bits that differ
     leave an overlap of at most (size a + size b - h) / 2.
     """
-    own = settle(texts.join(hot.select("node", "class").distinct(), "node"))
-    rows = settle(_rare(own, _frequencies(own)))
+    own = narrow(settle(own.join(hot.select("node", "class").distinct(), "node")), each=TEXTS)
+    rows = narrow(settle(_rare(own, _frequencies(own))))
     mixed = rows.groupBy("element").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 <> c2").select("element", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
     dealt = settle(join_unique(rows, mixed, "element").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
-    dealt = settle(join_unique(dealt, _parities(own), "node"))
+    dealt = narrow(settle(join_unique(dealt, bits.drop("size"), "node")), each=PER_TASK // 8)
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
-    one = dealt.select("element", "lo", "hi", "i", F.col("node").alias("a"), F.col("class").alias("ca"), F.col("size").alias("sa"), F.col("bits").alias("pa"))
-    two = dealt.select("element", "lo", "hi", F.col("i").alias("i2"), F.col("node").alias("b"), F.col("class").alias("cb"), F.col("size").alias("sb"), F.col("bits").alias("pb"))
-    differ = sum((F.bit_count(F.get("pa", F.lit(k)).bitwiseXOR(F.get("pb", F.lit(k)))) for k in range(PARITIES // 64)), F.lit(0))
-    near = (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & (F.least("sa", "sb") >= SIMILAR * F.greatest("sa", "sb"))
-    near &= 9 * differ <= F.col("sa") + F.col("sb")  # as an overlap of 0.8 takes 4 / 9 of both sizes
-    apart = (F.col("lo") == F.col("hi")) | (F.col("i") != F.col("i2"))  # two of one cell meet in that cell alone
-    return one.join(two, ["element", "lo", "hi"]).where(near & apart).select("a", "b").distinct()
+    return dealt.select("element", "lo", "hi", "i", "node", "class", "size", "bits").groupBy("element", "lo", "hi").applyInArrow(_near_pairs, "a bigint, b bigint").distinct()
+
+
+def _near_pairs(table: pa.Table) -> pa.Table:
+    """Pairs (a, b) of one group, a > b: those across two cells, or all of one, that may be similar by size and parities."""
+    table = table.combine_chunks()
+    i, node, class_, size = (table.column(c).to_numpy() for c in ("i", "node", "class", "size"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    one, two = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+    out = [np.zeros((0, 2), np.int64)]
+    for k in range(0, len(one), 64):
+        rows = one[k : k + 64]
+        both = size[rows, None] + size[two]
+        fine = (class_[rows, None] != class_[two]) & (np.minimum(size[rows, None], size[two]) >= SIMILAR * np.maximum(size[rows, None], size[two]) - 1e-9)
+        if lo == hi:
+            fine &= node[rows, None] > node[two]
+        x, y = np.nonzero(fine)
+        near = 9 * differing(bits[rows[x]], bits[two[y]]) <= both[x, y]  # as an overlap of 0.8 takes 4 / 9 of both sizes
+        pair = np.column_stack([node[rows[x[near]]], node[two[y[near]]]])
+        out.append(np.sort(pair, axis=1)[:, ::-1])
+    found = np.concatenate(out)
+    return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -318,21 +362,25 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("digest").alias("digest"), F.any_value("check").alias("check"))
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    member = settle(buckets.join(shared, "bucket").select("bucket", "node", "leader"))
-    chosen = settle(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "n", "digest", "check"))
-    texts = settle(_texts(docs, chosen, id_col, text_col))
+    member = narrow(settle(buckets.join(shared, "bucket").select("bucket", "node", "leader")))
+    chosen = narrow(settle(nodes.join(member.select("node").distinct(), "node", "left_semi").select("node", "id", "n", "digest", "check")))
+    texts = narrow(settle(_texts(docs, chosen, id_col, text_col)), each=TEXTS)
 
     # each node with the least leader of its buckets
     pairs = member.where("node <> leader").groupBy(F.col("node").alias("a")).agg(F.min("leader").alias("b"))
     found = stars(_verified(pairs, texts))
     left = _contested(member, found)
     # large buckets that are left: other leaders, then pairs that share a rare shingle
+    own = bits = None
     for turn in range(LEADERS + 1):
         hot = left.where(F.col("n") > LARGE)
         if not hot.take(1):
             break
-        pairs = _led(hot, turn) if turn < LEADERS else _rare_pairs(hot, texts)
-        found = stars(found.union(_verified(pairs, texts)))
+        if own is None:
+            own = narrow(settle(texts.join(hot.select("node").distinct(), "node", "left_semi")), each=TEXTS)
+            bits = settle(_parities(own))
+        pairs = _led(hot, bits, turn) if turn < LEADERS else _rare_pairs(hot, own, bits)
+        found = stars(found.union(_verified(pairs, own)))
         left = _contested(left, found)
     # small ones pair by pair
     small = left.where(F.col("n") <= LARGE).join(chosen.select("node", F.col("n").alias("size")), "node")
@@ -408,7 +456,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class, the one with the smallest id, and all rows without a text."""
+    """docs with one row of each class, the one with the smallest id, and all rows without a text.
+
+    A null id comes last; of rows that are repeated with their id one stays; columns of any name are kept.
+    """
     rows, found = links(docs, id_col, text_col)
     named = rows.join(found.withColumnRenamed("a", "node"), "node", "left").select("id", "digest", "check", F.coalesce("b", "node").alias("class"))
     counted = named.groupBy("class", "id", "digest", "check").count()

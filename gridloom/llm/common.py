@@ -33,6 +33,19 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of numbers that are worth a task of their own.
+PER_TASK = 1 << 18
+
+
+def narrow(df: DataFrame, rows: int | None = None, each: int = PER_TASK) -> DataFrame:
+    """The same rows in no more partitions than one for each ``each`` of them, without a shuffle.
+
+    rows, if the number isn't known, is counted, so df should then be settled.  Large tables keep
+    their partitions; small ones don't leave hundreds of tiny files at every step.
+    """
+    return df.coalesce(max(1, -(-(df.count() if rows is None else rows) // each)))
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """The name of a folder that isn't there yet, in the shared one."""
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"

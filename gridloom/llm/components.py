@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import settle
+from gridloom.llm.common import narrow, settle
 
 #: A key is hot if it has more rows than this and more than 1 / SHARE of all.
 FLOOR, SHARE = 1000, 1024
@@ -46,12 +46,14 @@ def stars(edges: DataFrame) -> DataFrame:
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, now = None, _print(edges)
+    edges = narrow(edges, now[0])
     while before != now and now[0]:
-        both = settle(edges.union(edges.select("b", "a")))
+        n = 2 * now[0]
+        both = settle(narrow(edges.union(edges.select("b", "a")), n))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = settle(join_unique(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = settle(narrow(join_unique(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = join_unique(large, least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        edges = settle(small.distinct())
+        edges = settle(narrow(small.distinct(), n))
         before, now = now, _print(edges)
     return edges
