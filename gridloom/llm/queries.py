@@ -79,5 +79,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.crosspolytope import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

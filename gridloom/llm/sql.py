@@ -92,6 +92,27 @@ WITH d AS (
 SELECT *, NOT base_failed AND NOT 100 * lost_chars > 30 * word_chars AS kept FROM failed
 """
 
+#: All pairs of a label, their cosines, and classes by reachability.
+OP13 = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row_id, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+), u AS (
+  SELECT row_id, label, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS size FROM d
+  WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), e AS (
+  SELECT a.row_id AS x, b.row_id AS y FROM u a JOIN u b ON a.label = b.label AND a.row_id <> b.row_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), reach AS (
+  SELECT row_id AS a, row_id AS b FROM d UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b
+), least AS (
+  SELECT a, min(vec_id) AS component_id FROM reach JOIN d ON d.row_id = reach.b GROUP BY a
+), n AS (
+  SELECT x, count(*) AS n_links FROM e GROUP BY x
+)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least ON least.a = d.row_id LEFT JOIN n ON n.x = d.row_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     from gridloom.llm.line_rules import PHRASES
@@ -99,5 +120,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_bagminhash": OP3,
         "op5_cover_tree": OP5,
+        "op13_cross_polytope": OP13,
         "op6_line_rules": OP6.replace("{phrases}", " OR ".join(f"contains(small, '{p}')" for p in PHRASES)),
     }
