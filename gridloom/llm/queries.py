@@ -79,6 +79,12 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_masked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.runs import periodic_runs, planted
+
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted)
+
+
 def op13_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.crosspolytope import near_vectors
 

@@ -92,6 +92,45 @@ WITH d AS (
 SELECT *, NOT base_failed AND NOT 100 * lost_chars > 30 * word_chars AS kept FROM failed
 """
 
+#: A run of period q and length n is n - q - 5 six-word windows in a row, each equal to the one q words on.  crc32 is worked out bit by bit.
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), c AS (
+  SELECT *, len(words) AS n, coalesce(xor(list_reduce(
+    list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, y: xor(xor(x, y) >> 1, (xor(x, y) & 1) * 3988292384)), 4294967295), 1) AS h FROM d
+), g AS (
+  SELECT *, h % 10 = 0 AND n > 0 AS planted, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM c
+), p AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS period FROM g
+), w AS (
+  SELECT row_id, doc_id, n, list_transform(range(0, n), lambda i: words[1 + CASE WHEN planted AND i >= a THEN a + (i - a) % period ELSE i END]) AS words FROM p
+), k AS (
+  SELECT row_id, i, words[i + 1:i + 6] AS gram FROM (SELECT row_id, words, unnest(range(0, n - 5)) AS i FROM w WHERE n > 5)
+), m AS (
+  SELECT x.row_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON x.row_id = y.row_id AND x.gram = y.gram AND x.i < y.i
+), s AS (
+  SELECT row_id, q, min(i) AS first, count(*) + 5 + q AS size
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row_id, q ORDER BY i) AS island FROM m) GROUP BY row_id, q, island
+), r AS (
+  SELECT row_id, first, size, min(q) AS q FROM s WHERE size >= 12 AND size >= 2 * q GROUP BY row_id, first, size
+), dropped AS (
+  SELECT DISTINCT row_id, unnest(range(first + q, first + size)) AS i FROM r
+), kept AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM (SELECT row_id, unnest(words) AS word, unnest(range(0, n)) AS i FROM w) e ANTI JOIN dropped USING (row_id, i) GROUP BY row_id
+), report AS (
+  SELECT row_id, count(*) AS n, string_agg(first || ',' || size || ',' || q || chr(10), '' ORDER BY first, q) AS lines FROM r GROUP BY row_id
+), best AS (
+  SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY size DESC, first, q) = 1
+)
+SELECT doc_id, coalesce(report.n, 0)::BIGINT AS n_runs, best.first::BIGINT AS start, best.size::BIGINT AS length, best.q::BIGINT AS period,
+       (1000 * best.size // best.q)::BIGINT AS exponent_milli, w.n::BIGINT AS n_words, coalesce(kept.n, 0)::BIGINT AS n_kept,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM w LEFT JOIN report USING (row_id) LEFT JOIN best USING (row_id) LEFT JOIN kept USING (row_id)
+"""
+
 #: All pairs of a label, their cosines, and classes by reachability.
 OP13 = """
 WITH RECURSIVE d AS (
@@ -120,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_bagminhash": OP3,
         "op5_cover_tree": OP5,
+        "op12_masked_runs": OP12,
         "op13_cross_polytope": OP13,
         "op6_line_rules": OP6.replace("{phrases}", " OR ".join(f"contains(small, '{p}')" for p in PHRASES)),
     }
