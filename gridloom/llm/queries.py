@@ -79,6 +79,14 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_stripe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gridloom.llm.alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_masked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.runs import periodic_runs, planted
 
