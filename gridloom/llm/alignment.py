@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ class Side:
         parts = some.to_pylist()
         new = [p for p in parts if p not in self.known]
         if new:
-            self.known.update((p, np.array(ids, np.int32).tobytes()) for p, ids in zip(new, self.learn(new), strict=True))
+            self.known.update((p, array("i", ids).tobytes()) for p, ids in zip(new, self.learn(new), strict=True))
         raw, at = _taken(_strings([self.known[p] for p in parts]), which)
         if len(self.known) > KNOWN:
             self.known.clear()
@@ -165,17 +166,20 @@ class Aligned:
             self.a, doc_a, self.b, doc_b = self.a[good[doc_a]], doc_a[good[doc_a]], self.b[good[doc_b]], doc_b[good[doc_b]]
         self.rows, self.doc_a, self.doc_b = block.rows, doc_a, doc_b
         self.end_a, self.end_b = np.cumsum(a.size[self.a]), np.cumsum(b.size[self.b])
-        ends = np.union1d(self.end_a, self.end_b)
-        #: of each link the token of either side
-        self.link_a, self.link_b = np.searchsorted(self.end_a, ends), np.searchsorted(self.end_b, ends)
-        self.both = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
+        is_a, is_b = (np.zeros(int(self.end_a[-1]) + 1 if len(self.a) else 1, bool) for _ in range(2))
+        is_a[self.end_a] = is_b[self.end_b] = True
+        ends = np.flatnonzero(is_a | is_b)
+        #: of each link the token of either side; of each token its group; where groups end
+        self.link_a, self.link_b = (V.prefix_count(x)[ends] for x in (is_a, is_b))
+        groups = V.prefix_count(is_a & is_b)
+        self.group_a, self.group_b = groups[self.end_a], groups[self.end_b]
+        self.both = np.flatnonzero(is_a & is_b)
 
     def digests(self, decimals: pa.LargeBinaryArray) -> list[str]:
         """SHA-256 of each text's groups; decimals has every id before a comma, then before a bar, then before a semicolon."""
         n = len(decimals) // 3
-        group_a, group_b = (np.searchsorted(self.both, e) for e in (self.end_a, self.end_b))
-        last_a, last_b = (self.both[g] == e for g, e in ((group_a, self.end_a), (group_b, self.end_b)))
-        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        last_a, last_b = (self.both[g] == e for g, e in ((self.group_a, self.end_a), (self.group_b, self.end_b)))
+        order = np.argsort(np.concatenate([2 * self.group_a, 2 * self.group_b + 1]), kind="stable")
         raw, at = _taken(decimals, np.concatenate([self.a + n * last_a, self.b + 2 * n * last_b])[order])
         k = np.searchsorted(self.doc_a, np.arange(self.rows + 1)) + np.searchsorted(self.doc_b, np.arange(self.rows + 1))
         ends, raw = at[k].tolist(), memoryview(raw)
@@ -183,8 +187,8 @@ class Aligned:
 
     def counts(self) -> dict[str, np.ndarray]:
         per = lambda doc: np.bincount(doc, minlength=self.rows).astype(np.int64)
-        ends = self.doc_a[np.searchsorted(self.end_a, self.both)] if len(self.both) else self.doc_a
-        return {"n_a": per(self.doc_a), "n_b": per(self.doc_b), "n_groups": per(ends), "n_links": per(self.doc_a[self.link_a])}
+        closing = self.doc_a[np.searchsorted(self.end_a, self.both)]
+        return {"n_a": per(self.doc_a), "n_b": per(self.doc_b), "n_groups": per(closing), "n_links": per(self.doc_a[self.link_a])}
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -201,11 +205,13 @@ def _by_stripe(found: Aligned, width: int) -> list[tuple[int, int, bytes, bytes,
     """Of each stripe its number, the number of pairs, and of each pair A's id, B's id within the stripe, in how many texts it is, in which, and how often in each."""
     a, b, doc = found.a[found.link_a].astype(np.int64), found.b[found.link_b].astype(np.int64), found.doc_a[found.link_a]
     key, n = np.unique((b * width + a) * found.rows + doc, return_counts=True)
+    if not len(key):
+        return []
     pair, doc = key // found.rows, key % found.rows
-    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
     pair, size = pair[cut], np.diff(np.append(cut, len(doc)))
     a, b = pair % width, pair // width
-    out, bounds = [], np.flatnonzero(np.concatenate([[True], b[1:] // STRIPE != b[:-1] // STRIPE])) if len(b) else []
+    out, bounds = [], np.flatnonzero(np.concatenate([[True], b[1:] // STRIPE != b[:-1] // STRIPE]))
     for lo, hi in zip(bounds, [*bounds[1:], len(b)], strict=True):
         at = slice(cut[lo], cut[hi] if hi < len(cut) else len(doc))
         out.append((int(b[lo]) // STRIPE, int(hi - lo), *map(packed, (a[lo:hi], b[lo:hi] % STRIPE, size[lo:hi], doc[at], n[at]))))
@@ -364,10 +370,12 @@ def _gathered(texts: DataFrame, scores: DataFrame, id_col: str) -> DataFrame:
         sums = np.zeros((2, 0), np.int64)
         own = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             chunk, m = batch.column("chunk").to_numpy(), batch.column("m").to_numpy(zero_copy_only=False)
             raw = [batch.column(c) for c in ("pos", "n_best", "count_sum")]
             is_text = np.isnan(m) if m.dtype.kind == "f" else np.zeros(len(m), bool)
-            cuts = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])])) if len(chunk) else []
+            cuts = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (is_text[1:] != is_text[:-1])]))
             for lo, hi in zip(cuts, [*cuts[1:], len(chunk)], strict=True):
                 if chunk[lo] != own:
                     own, sums = chunk[lo], np.zeros((2, 0), np.int64)
