@@ -52,8 +52,8 @@ REGISTERS = BANDS * ROWS
 #: Nodes of a bucket beyond which its pairs aren't enumerated; how often and against how many leaders a bucket
 #: its nodes are then held; and how many nodes that share a rare shingle are joined at once.
 LARGE, LEADERS, HEADS, CELL = 32, 3, 8, 512
-#: Counters of how often shingles occur (8 MB, whatever the input).
-COUNTERS = 1 << 20
+#: Counters of how often shingles occur and in which classes (24 MB, whatever the input), and those that are sent in one row.
+COUNTERS, PART = 1 << 20, 1 << 12
 #: Texts that are worth a task of their own.
 TEXTS = 1 << 12
 #: Bits of a text that bound an overlap.
@@ -245,24 +245,76 @@ def _elements(block: V.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, V.mix(keys ^ V.mix(nth.astype(np.uint64))), np.bincount(doc, minlength=block.rows)
 
 
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How often elements occur, by COUNTERS cells of their hashes: a table of fixed size."""
+class Counters:
+    """COUNTERS cells of elements' hashes: how often elements fall there, and the least and greatest class of the texts they are of."""
+
+    FIELDS = ("n", "low", "high")
+
+    def __init__(self) -> None:
+        top = np.iinfo(np.int64)
+        self.n, self.low, self.high = np.zeros(COUNTERS, np.int64), np.full(COUNTERS, top.max), np.full(COUNTERS, top.min)
+
+    def add(self, keys: np.ndarray, classes: np.ndarray) -> None:
+        cell = (keys % np.uint64(COUNTERS)).astype(np.int64)
+        self.n += np.bincount(cell, minlength=COUNTERS)
+        np.minimum.at(self.low, cell, classes)
+        np.maximum.at(self.high, cell, classes)
+
+    def merge(self, part: int, parts: tuple[bytes, ...]) -> None:
+        """Take in a part of other counters."""
+        at = slice(part * PART, (part + 1) * PART)
+        n, low, high = (np.frombuffer(p, np.int64) for p in parts)
+        self.n[at] += n
+        self.low[at] = np.minimum(self.low[at], low)
+        self.high[at] = np.maximum(self.high[at], high)
+
+    def batch(self) -> pa.RecordBatch:
+        """A row for each part in which something was counted."""
+        some = [k for k in range(COUNTERS // PART) if self.n[k * PART : (k + 1) * PART].any()]
+        columns = ([getattr(self, f)[k * PART : (k + 1) * PART].tobytes() for k in some] for f in self.FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", *self.FIELDS])
+
+
+def _counted(texts: DataFrame, often=None) -> Counters:
+    """The counters of the elements of texts (class, text), a table of fixed size that tasks send in parts of PART cells.
+
+    With the counts of all elements (broadcast), of each text only its prefix.
+    """
+    kind = "part int, n binary, low binary, high binary"
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(COUNTERS, np.int64)
+        own = Counters()
         for batch in batches:
-            for block in V.blocks(batch.column(0)):
-                own += np.bincount((_elements(block)[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some])], names=["cell", "n"])
-
-    out = np.zeros(COUNTERS, np.int64)
-    for r in texts.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[r["cell"]] = r["n"]
+            for block in V.blocks(batch.column(1)):
+                doc, keys, size = _elements(block)
+                if often is not None:
+                    first = _prefix(doc, keys, size, often.value)
+                    doc, keys = doc[first], keys[first]
+                own.add(keys, batch.column(0).slice(block.first, block.rows).to_numpy()[doc])
+        yield own.batch()
+
+    @frugal
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Counters()
+        for batch in batches:
+            for part, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own.merge(part, tuple(parts))
+        yield own.batch()
+
+    out = Counters()
+    for r in texts.select("class", "text").mapInArrow(run, kind).repartition("part").mapInArrow(merged, kind).toLocalIterator():
+        out.merge(r["part"], (r["n"], r["low"], r["high"]))
     return out
 
 
+def _prefix(doc: np.ndarray, keys: np.ndarray, size: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Places of each text's rarest elements: as many as must hold one that it shares with any similar text."""
+    order = np.lexsort((keys, often[(keys % np.uint64(COUNTERS)).astype(np.int64)], doc))
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    return order[place < (size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1)[doc]]
+
+
 def parities(doc: np.ndarray, keys: np.ndarray, rows: int) -> np.ndarray:
     """For each text PARITIES bits, each saying whether the number of its elements that fall there is odd; as 64-bit integers.
 
@@ -293,30 +345,33 @@ def _parities(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node bigint, size bigint, bits array<bigint>")
 
 
-def _rare(texts: DataFrame, often: np.ndarray) -> DataFrame:
-    """node, class, size and the rarest elements of each text: as many as must hold one that it shares with any similar text.
+def _rare(texts: DataFrame) -> DataFrame:
+    """node, class, size, bits (its parities) and, a row each, the elements of each text's prefix.
 
-    Of these, elements whose counter is 1 are in no other text and are left out.
+    Elements that texts of one class only have in their prefixes can't link classes and are
+    left out, but for some whose counter others fall into.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(often)  # COUNTERS numbers
+    spark = texts.sparkSession.sparkContext
+    often = spark.broadcast(_counted(texts).n)  # COUNTERS numbers
+    found = _counted(texts, often)
+    mixed = spark.broadcast(found.low < found.high)  # and marks
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in V.blocks(batch.column(2)):
                 doc, keys, size = _elements(block)
-                n = shared.value[(keys % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((keys, n, doc))
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-                own = order[place < (size - np.ceil(SIMILAR * size - 1e-9).astype(np.int64) + 1)[doc]]
-                own = own[n[own] > 1]
+                own = _prefix(doc, keys, size, often.value)
+                own = own[mixed.value[(keys[own] % np.uint64(COUNTERS)).astype(np.int64)]]
+                bits = parities(doc, keys, block.rows)[doc[own]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * bits.shape[1]), pa.array(bits.ravel()))
                 part = batch.select([0, 1]).slice(block.first, block.rows).take(pa.array(doc[own]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size[doc[own]]), pa.array(keys[own].view(np.int64))], names=["node", "class", "size", "element"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(size[doc[own]]), lists, pa.array(keys[own].view(np.int64))], names=["node", "class", "size", "bits", "element"])
 
-    return texts.select("node", "class", "text").mapInArrow(run, "node bigint, class bigint, size bigint, element bigint")
+    return texts.select("node", "class", "text").mapInArrow(run, "node bigint, class bigint, size bigint, bits array<bigint>, element bigint")
 
 
-def _rare_pairs(hot: DataFrame, own: DataFrame, bits: DataFrame) -> DataFrame:
+def _rare_pairs(hot: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of large buckets, of different classes, that can be similar.
 
     Two similar texts share one of the rarest elements of each (whatever order says what is
@@ -326,10 +381,9 @@ def _rare_pairs(hot: DataFrame, own: DataFrame, bits: DataFrame) -> DataFrame:
     leave an overlap of at most (size a + size b - h) / 2.
     """
     own = narrow(settle(own.join(hot.select("node", "class").distinct(), "node")), each=TEXTS)
-    rows = narrow(settle(_rare(own, _frequencies(own))))
+    rows = narrow(settle(_rare(own)), each=PER_TASK // 8)
     mixed = rows.groupBy("element").agg(F.count("*").alias("n"), F.min("class").alias("c1"), F.max("class").alias("c2")).where("c1 <> c2").select("element", F.ceil(F.col("n") / CELL).cast("int").alias("k"))
-    dealt = settle(join_unique(rows, mixed, "element").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
-    dealt = narrow(settle(join_unique(dealt, bits.drop("size"), "node")), each=PER_TASK // 8)
+    dealt = join_unique(rows, mixed, "element").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("i", "j")).withColumn("hi", F.greatest("i", "j"))
     return dealt.select("element", "lo", "hi", "i", "node", "class", "size", "bits").groupBy("element", "lo", "hi").applyInArrow(_near_pairs, "a bigint, b bigint").distinct()
 
@@ -379,7 +433,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         if own is None:
             own = narrow(settle(texts.join(hot.select("node").distinct(), "node", "left_semi")), each=TEXTS)
             bits = settle(_parities(own))
-        pairs = _led(hot, bits, turn) if turn < LEADERS else _rare_pairs(hot, own, bits)
+        pairs = _led(hot, bits, turn) if turn < LEADERS else _rare_pairs(hot, own)
         found = stars(found.union(_verified(pairs, own)))
         left = _contested(left, found)
     # small ones pair by pair
