@@ -1,8 +1,9 @@
 """Ray casting: rays joined with the objects of a scene, the nearest or the first hit of each.
 
-Rays are a generated range; objects are a table of a checked size, held as one array that
-every ray is tested against by an array expression, so a hit needs neither a join nor a
-shuffle.  Larger scenes go through a theta join and an aggregate.
+Small scenes are held as one array that every ray is tested against by an array expression,
+so a hit needs neither a join nor a shuffle.  Scenes of any size go over uniform grids: an
+object lies in the few cells of the grid that suits its size, a ray walks the cells it
+crosses, and the two meet in an equi-join on the cell; what is tested exactly is only there.
 """
 
 from __future__ import annotations
@@ -158,17 +159,151 @@ def render(spark: SparkSession, scene: Scene, hit: str = "nearest") -> DataFrame
     return px.select(*CELL, best.alias("h")).select(*CELL, F.col("h.k").alias("k"), F.coalesce("h.c", bg).alias("c"))
 
 
-def trace(ray_table: DataFrame, spheres: DataFrame, hit: str = "nearest") -> DataFrame:
-    """Rays (row, col, d) against spheres (k, centre, radius) of any number: row, col, k, t of the nearest or first hit, null without one.
+#: Cells of the finest grid along an axis at most; how much coarser each next grid is; cells along an axis that an object may touch.
+FINEST, COARSER, TOUCHED = 64, 4, 4
+#: Rays, and objects, of one cell that meet in one place.
+RAYS, OBJECTS = 1 << 15, 1 << 11
 
-    The theta join is a loop over the spheres for each ray; the best of a ray is an
-    aggregate that is partly made before the shuffle.
+AXES = "xyz"
+
+
+@dataclass(frozen=True)
+class Grids:
+    """Grids over one box, from the finest to a single cell: cells along an axis of each."""
+
+    low: tuple[float, float, float]
+    high: tuple[float, float, float]
+    sides: tuple[int, ...]
+
+    def first(self, level: int) -> int:
+        """The number of a grid's first cell; cells of all grids are numbered one after the other."""
+        return sum(n**3 for n in self.sides[:level])
+
+    def place(self, level: int, *at: Column) -> Column:
+        n = self.sides[level]
+        return (self.first(level) + (at[0] * n + at[1]) * n + at[2]).cast("bigint")
+
+    def index(self, level: int, axis: int, x: Column) -> Column:
+        n, low, high = self.sides[level], self.low[axis], self.high[axis]
+        return F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((x - low) * (n / (high - low))).cast("int")))
+
+
+def boxed(spheres: DataFrame | None, triangles: DataFrame | None) -> DataFrame:
+    """Spheres (k, centre, radius) and triangles (k, a, b, c) as one table with the corners low and high of their boxes, a little wider than they are."""
+    parts, margin = [], lambda v: 1e-6 * (1 + F.abs(v))
+    wide = lambda lo, hi: (vec(*(x - margin(x) for x in lo)).alias("low"), vec(*(x + margin(x) for x in hi)).alias("high"))
+    if spheres is not None:
+        ends = [[F.col(f"centre.{n}") + sign * F.abs("radius") for n in AXES] for sign in (-1, 1)]
+        parts.append(spheres.select("k", "centre", "radius", *wide(*ends)))
+    if triangles is not None:
+        ends = [[pick(*(F.col(f"{p}.{n}") for p in "abc")) for n in AXES] for pick in (F.least, F.greatest)]
+        parts.append(triangles.select("k", "a", "b", "c", *wide(*ends)))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
+def grids_of(objects: DataFrame) -> Grids | None:
+    """Grids for the boxes of objects, with about as many cells of the finest as there are objects; None without any."""
+    corners = [F.min(f"low.{n}").alias(f"l{n}") for n in AXES] + [F.max(f"high.{n}").alias(f"h{n}") for n in AXES]
+    got = objects.agg(F.count("*").alias("n"), *corners).collect()[0]
+    if not got["n"]:
+        return None
+    side, sides = max(1, min(FINEST, round(got["n"] ** (1 / 3)))), []
+    while side > 1:
+        sides.append(side)
+        side = -(-side // COARSER)
+    return Grids(tuple(got[f"l{n}"] for n in AXES), tuple(got[f"h{n}"] for n in AXES), (*sides, 1))
+
+
+def object_cells(objects: DataFrame, grids: Grids) -> DataFrame:
+    """objects with a row for each cell that their box touches, in the finest grid in which these are at most TOUCHED along every axis."""
+    spans = []
+    for level in range(len(grids.sides)):
+        ends = [(grids.index(level, k, F.col(f"low.{n}")), grids.index(level, k, F.col(f"high.{n}"))) for k, n in enumerate(AXES)]
+        fits = F.lit(True)
+        for lo, hi in ends:
+            fits = fits & (hi - lo < TOUCHED)
+        spans.append((level, fits, ends))
+    which = F.coalesce(*(F.when(fits, F.lit(level)) for level, fits, _ in spans), F.lit(len(spans) - 1))
+
+    def every(level: int, x: Column, y: Column, z: Column) -> Column:
+        return F.flatten(F.transform(x, lambda i: F.flatten(F.transform(y, lambda j: F.transform(z, lambda m: grids.place(level, i, j, m))))))
+
+    cells = F.lit(None)
+    for level, _, ends in reversed(spans):
+        cells = F.when(F.col("level") == level, every(level, *(F.sequence(lo, hi) for lo, hi in ends))).otherwise(cells)
+    return objects.withColumn("level", which).withColumn("cell", F.explode(cells)).drop("level", "low", "high")
+
+
+def ray_cells(grids: Grids, level: int) -> Column:
+    """The cells of a grid that the line o + t d crosses, before and behind o: between one wall and the next it is in the cell of the middle."""
+    n = grids.sides[level]
+    enter, leave, inside, walls = [], [], F.lit(True), []
+
+    def at(axis: str, x: Column) -> Column:
+        """Where the line has this coordinate; null if it has it everywhere or nowhere."""
+        return (x - F.col(f"o.{axis}")) / F.nullif(F.col(f"d.{axis}"), F.lit(0.0))
+
+    def between(axis: str, low: float, high: float) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: at(axis, low + i * ((high - low) / n)))
+
+    for name, low, high in zip(AXES, grids.low, grids.high, strict=True):
+        ends = at(name, F.lit(low)), at(name, F.lit(high))
+        enter.append(F.least(*ends))
+        leave.append(F.greatest(*ends))
+        inside = inside & ((F.col(f"d.{name}") != 0) | F.col(f"o.{name}").between(low, high))
+        if n > 1:
+            walls.append(between(name, low, high))
+    first, last = F.greatest(*enter), F.least(*leave)
+    stops = F.array_sort(F.concat(F.array(first, last), *(F.filter(w, lambda t: (t > first) & (t < last)) for w in walls)))
+
+    def cell(pair: Column) -> Column:
+        t = pair / 2
+        return grids.place(level, *(grids.index(level, k, F.col(f"o.{name}") + t * F.col(f"d.{name}")) for k, name in enumerate(AXES)))
+
+    middles = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda a, b: a + b)
+    return F.when(inside & (first <= last), F.array_distinct(F.transform(middles, cell))).otherwise(F.array().cast("array<bigint>"))
+
+
+def trace(ray_table: DataFrame, spheres: DataFrame | None, hit: str = "nearest", key: tuple[str, ...] = ("row", "col"), triangles: DataFrame | None = None) -> DataFrame:
+    """Rays (key, d and, unless all start at the origin, o) against spheres (k, centre, radius) and triangles (k, a, b, c) of any number.
+
+    Gives the key, k and t of the nearest hit, or of the first in the order of k; null without one.
+    Hits behind o count, with a negative t, as the originals have it; of equally near hits the least k.
+
+    Rays meet objects cell by cell.  A cell that very many rays cross, or in which very many
+    objects lie, is dealt out: rays by their key, objects by theirs, and every share of the
+    one meets every share of the other apart.  The best of a ray is an aggregate that is
+    partly made before the shuffle.  What is broadcast is a row for each cell with objects,
+    of at most FINEST ** 3 cells and those of the coarser grids.
     """
-    near = ray_table.join(spheres, sphere_distance(vec(0, 0, 0), F.col("d"), F.col("centre"), F.col("radius")).isNotNull())
-    t = sphere_distance(vec(0, 0, 0), F.col("d"), F.col("centre"), F.col("radius"))
-    order = F.struct(t.alias("t"), F.col("k").alias("k")) if hit == "nearest" else F.struct(F.col("k").alias("k"), t.alias("t"))
-    best = near.groupBy("row", "col").agg(F.min(order).alias("h"))
-    return ray_table.select("row", "col").join(best, ["row", "col"], "left").select("row", "col", F.col("h.k").alias("k"), F.col("h.t").alias("t"))
+    objects = boxed(spheres, triangles)
+    grids = grids_of(objects)
+    none = ray_table.select(*key, F.lit(None).cast(objects.schema["k"].dataType).alias("k"), F.lit(None).cast("double").alias("t"))
+    if grids is None:
+        return none
+    o = F.col("o") if "o" in ray_table.columns else vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    own = ray_table.select(*key, o.alias("o"), "d").where("not (d.x = 0 and d.y = 0 and d.z = 0)")
+    walked = own.withColumn("cell", F.explode(F.concat(*(ray_cells(grids, level) for level in range(len(grids.sides))))))
+    lying = object_cells(objects, grids)
+    filled = lying.groupBy("cell").agg(F.count("*").alias("n"))
+    crossed = walked.join(F.broadcast(filled), "cell").groupBy("cell", "n").agg(F.count("*").alias("m"))
+    shares = crossed.select("cell", F.ceil(F.col("m") / RAYS).cast("int").alias("by_ray"), F.ceil(F.col("n") / OBJECTS).cast("int").alias("by_object"))
+    shares = F.broadcast(shares)
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = walked.join(shares, "cell").withColumn("i", F.pmod(F.xxhash64(*key), "by_ray").cast("int")).withColumn("j", upto("by_object")).drop("by_ray", "by_object")
+    two = lying.join(shares, "cell").withColumn("j", F.pmod(F.xxhash64("k"), "by_object").cast("int")).withColumn("i", upto("by_ray")).drop("by_ray", "by_object")
+    t = F.lit(None).cast("double")
+    if triangles is not None:
+        t = triangle_distance(F.col("o"), F.col("d"), F.col("a"), F.col("b"), F.col("c"))
+    if spheres is not None:
+        t = F.coalesce(sphere_distance(F.col("o"), F.col("d"), F.col("centre"), F.col("radius")), t)
+    hits = one.join(two, ["cell", "i", "j"]).select(*key, "k", t.alias("t")).where("t is not null")
+    order = F.struct("t", "k") if hit == "nearest" else F.struct("k", "t")
+    best = hits.groupBy(*key).agg(F.min(order).alias("h"))
+    return ray_table.select(*key).join(best, list(key), "left").select(*key, F.col("h.k").alias("k"), F.col("h.t").alias("t"))
 
 
 def picture(rendered: DataFrame, scene: Scene, scale: float = 255.0) -> Raster:

@@ -43,6 +43,54 @@ def raytrace_first_hit(spark, sf_dir):
     return _traced(spark, sf_dir, "first")
 
 
+#: A ray for each order, from a place of its customer, against spheres, or a triangle for each nation.
+ORDER_RAYS = """WITH o AS (SELECT o_orderkey::BIGINT AS ray, (o_custkey % 9 - 4)::DOUBLE AS ox, (o_custkey % 4 - 2)::DOUBLE AS oy, 0.0::DOUBLE AS oz,
+  (o_orderkey % 101 - 50)::DOUBLE AS x, (o_orderkey // 101 % 91 - 45)::DOUBLE AS y, 60.0::DOUBLE AS z FROM orders),
+d AS (SELECT ray, ox, oy, oz, x / sqrt(x*x + y*y + z*z) AS x, y / sqrt(x*x + y*y + z*z) AS y, z / sqrt(x*x + y*y + z*z) AS z FROM o),
+{objects}
+n AS (SELECT *, row_number() OVER (PARTITION BY ray ORDER BY {order}) AS place FROM h)
+SELECT d.ray, n.k, round(n.t, 6) AS t FROM d LEFT JOIN n ON n.ray = d.ray AND n.place = 1"""
+AS_SPHERES = """s AS (SELECT s_suppkey::BIGINT AS k, ((s_suppkey % 7 - 3) * 6)::DOUBLE AS cx, ((s_suppkey % 5 - 2) * 6)::DOUBLE AS cy, (30 + s_suppkey % 11)::DOUBLE AS cz, (2 + s_suppkey % 3)::DOUBLE AS radius FROM supplier),
+b AS (SELECT ray, k, 2 * (x * (ox - cx) + y * (oy - cy) + z * (oz - cz)) AS b, (ox - cx) * (ox - cx) + (oy - cy) * (oy - cy) + (oz - cz) * (oz - cz) - radius * radius AS c FROM d, s),
+h AS (SELECT ray, k, CASE WHEN b * b - 4 * c > 1e-7 THEN (-b - sqrt(b * b - 4 * c)) / 2 ELSE -b / 2 END AS t FROM b WHERE b * b - 4 * c >= -1e-7),"""
+AS_TRIANGLES = """g AS (SELECT n_nationkey::BIGINT AS k, (n_nationkey % 5 * 8 - 16)::DOUBLE - 0.317::DOUBLE AS ax, (n_nationkey // 5 * 8 - 16)::DOUBLE + 0.213::DOUBLE AS ay, (40 + n_nationkey % 3)::DOUBLE AS az FROM nation),
+f AS (SELECT *, 7.0::DOUBLE AS ex, 1.0::DOUBLE AS ey, 2.0::DOUBLE AS ez, 1.0::DOUBLE AS fx, 7.0::DOUBLE AS fy, -1.0::DOUBLE AS fz FROM g),
+p AS (SELECT ray, k, x, y, z, ox - ax AS tx, oy - ay AS ty, oz - az AS tz, ex, ey, ez, fx, fy, fz, y * fz - z * fy AS px, z * fx - x * fz AS py, x * fy - y * fx AS pz FROM d, f),
+q AS (SELECT *, ex * px + ey * py + ez * pz AS det, ty * ez - tz * ey AS qx, tz * ex - tx * ez AS qy, tx * ey - ty * ex AS qz FROM p),
+u AS (SELECT ray, k, (tx * px + ty * py + tz * pz) / det AS u, (x * qx + y * qy + z * qz) / det AS v, (fx * qx + fy * qy + fz * qz) / det AS t FROM q WHERE abs(det) >= 1e-7),
+h AS (SELECT ray, k, t FROM u WHERE u >= 0 AND v >= 0 AND u + v <= 1),"""
+
+
+def order_rays(spark, sf_dir):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    start = vec.vec((c % 9 - 4).cast("double"), (c % 4 - 2).cast("double"), F.lit(0.0))
+    d = vec.normalize(vec.vec((o % 101 - 50).cast("double"), (F.floor(o / 101) % 91 - 45).cast("double"), F.lit(60.0)))
+    return table(spark, sf_dir, "orders").select(o.cast("bigint").alias("ray"), start.alias("o"), d.alias("d"))
+
+
+def _order_rays(spark, sf_dir, hit):
+    return scene.trace(order_rays(spark, sf_dir), spheres(spark, sf_dir), hit, ("ray",)).select("ray", "k", F.round("t", 6).alias("t"))
+
+
+@query(ORDER_RAYS.format(objects=AS_SPHERES, order="t, k"))
+def raytrace_orders_nearest(spark, sf_dir):
+    return _order_rays(spark, sf_dir, "nearest")
+
+
+@query(ORDER_RAYS.format(objects=AS_SPHERES, order="k"))
+def raytrace_orders_first_hit(spark, sf_dir):
+    return _order_rays(spark, sf_dir, "first")
+
+
+@query(ORDER_RAYS.format(objects=AS_TRIANGLES, order="t, k"))
+def raytrace_orders_triangles(spark, sf_dir):
+    n = F.col("n_nationkey")
+    a = [(n % 5 * 8 - 16).cast("double") - 0.317, (F.floor(n / 5) * 8 - 16).cast("double") + 0.213, (40 + n % 3).cast("double")]
+    corner = lambda *e: vec.vec(*(x + y for x, y in zip(a, e, strict=True)))
+    triangles = table(spark, sf_dir, "nation").select(n.cast("bigint").alias("k"), corner(0.0, 0.0, 0.0).alias("a"), corner(7.0, 1.0, 2.0).alias("b"), corner(1.0, 7.0, -1.0).alias("c"))
+    return scene.trace(order_rays(spark, sf_dir), None, "nearest", ("ray",), triangles).select("ray", "k", F.round("t", 6).alias("t"))
+
+
 TEXT = """40, 50
 0, 0, 0
 0, 0, 1
