@@ -480,6 +480,52 @@ query("SELECT row, col, max(bit) AS p0 FROM (SELECT row, col + 6 AS col, bit FRO
 query("SELECT row, col, bit AS p0 FROM img WHERE col < 96 UNION ALL SELECT r.r, c.c, 0 FROM (SELECT unnest(range(height, (height + 3) // 4 * 4)) AS r FROM size) r, (SELECT unnest(range(96)) AS c) c", "file_mda")(lambda spark, sf_dir: _there_and_back(bits(spark, sf_dir), "mda").select("row", "col", F.col("s")[0].alias("p0")))
 
 
+# ---- images written and read by rows, in many tasks
+
+
+def _by_rows(r: Raster, format: str, repeat: int = 1):
+    from gridloom import shared
+    from gridloom.sources import rowscan
+
+    folder = shared.new_folder(r.px.sparkSession, "rows")
+    rowscan.write_rows(r, folder, format, repeat=repeat)
+    return folder
+
+
+def _scanned(spark, folder: str, planes: int = 1):
+    from gridloom.sources import rowscan
+
+    return rowscan.scan(spark, folder, ("row", "col", "s")).select("row", "col", *(F.col("s")[k].alias(f"p{k}") for k in range(planes)))
+
+
+@query("SELECT row, col, v AS p0, g AS p1, b AS p2 FROM img")
+def rows_color(spark, sf_dir):
+    return _scanned(spark, _by_rows(rgb(spark, sf_dir), "P6"), 3)
+
+
+@query("SELECT row, col, bit AS p0 FROM img")
+def rows_bitmap(spark, sf_dir):
+    return _scanned(spark, _by_rows(bits(spark, sf_dir), "P4"))
+
+
+@query("SELECT row, col, v * 257 AS p0 FROM img")
+def rows_two_bytes(spark, sf_dir):
+    return _scanned(spark, _by_rows(point.depth(gray(spark, sf_dir), 65535), "P7"))
+
+
+@query("SELECT row * 3 + k AS row, col, v AS p0 FROM img, (SELECT unnest([0, 1, 2])::BIGINT AS k)")
+def rows_repeated(spark, sf_dir):
+    return _scanned(spark, _by_rows(gray(spark, sf_dir), "P5", repeat=3))
+
+
+@query("SELECT row, max(v) AS most, sum(v)::BIGINT AS total FROM img, size WHERE 2 * row >= height AND 2 * row < height + 20 GROUP BY row")
+def rows_band(spark, sf_dir):
+    r = gray(spark, sf_dir)
+    first = -(-r.height // 2)
+    band = _scanned(spark, _by_rows(r, "P5")).where((F.col("row") >= first) & (F.col("row") < -(-(r.height + 20) // 2)))
+    return band.groupBy("row").agg(F.max("p0").alias("most"), F.sum("p0").alias("total"))
+
+
 # ---- clustered dithers, curves by plane, crops by side
 
 for _side, _own in point.CLUSTERS.items():
