@@ -2,7 +2,7 @@
 
 Error diffusion passes on what each cell's rounding left, so an image is one group of a
 pandas function; very many images spread over the cluster.  Deconvolution works line by
-line.  Flood filling is a loop of joins over the frontier, for images of any size.
+line.  Masks are flooded from the edge by the regions of an image of any size.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import regions
 from gridloom.raster import CELL, Raster
 
 _SCHEMA = "image string, row bigint, col bigint, s array<bigint>"
@@ -131,43 +131,9 @@ def abel(r: Raster, axis: int, factor: float = 1.0) -> Raster:
     return replace(r, px=r.px.groupBy("image", "row").applyInPandas(one, _SCHEMA))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Computed once, in the session's checkpoint folder."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
-def flood(r: Raster, color: int) -> DataFrame:
-    """image, row and col of the cells of a colour that are joined to the image's edge by such cells, four ways.
-
-    A run of cells along a row is one node, so the rounds grow with how often the
-    region turns, not with its area; only the nodes just reached are joined.
-    """
-    from pyspark.sql import Window
-
-    line = Window.partitionBy("image", "row").orderBy("col")
-    own = r.px.where(r.plane() == color).select(*CELL)
-    runs = own.withColumn("g", F.col("col") - F.row_number().over(line)).groupBy("image", "row", "g").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-    runs = _settled(runs.select("image", "row", "a", "b"))
-    edge = (F.col("row") == 0) | (F.col("row") == r.height - 1) | (F.col("a") == 0) | (F.col("b") == r.width - 1)
-    reached = new = _settled(runs.where(edge))
-    while True:
-        near = new.withColumn("row", F.explode(F.array(F.col("row") - 1, F.col("row") + 1))).select("image", "row", F.col("a").alias("a2"), F.col("b").alias("b2"))
-        hit = runs.join(near, ["image", "row"]).where("a <= b2 and b >= a2").select("image", "row", "a", "b").distinct()
-        new = _settled(hit.join(reached, ["image", "row", "a", "b"], "left_anti"))
-        if not new.take(1):
-            break
-        reached = _settled(reached.union(new))
-    return reached.select("image", "row", F.explode(F.sequence("a", "b")).alias("col"))
-
-
 def mask(r: Raster, background: int = 1, expand: bool = False) -> Raster:
     """A bitmap, white where background reaches in from the edge and black elsewhere; expand grows the black by one cell."""
-    outside = flood(r, background).withColumn("out", F.lit(1).cast("bigint"))
+    outside = regions.flood(r, background).withColumn("out", F.lit(1).cast("bigint"))
     px = r.px.join(outside, list(CELL), "left").select(*CELL, F.array(F.coalesce("out", F.lit(0).cast("bigint"))).alias("s"))
     got = replace(r, px=px, maxval=1)
     if expand:

@@ -93,6 +93,8 @@ sparse AS (SELECT l_orderkey::BIGINT AS row, l_linenumber::BIGINT AS col, least(
 
 def _with_images(sql: str) -> str:
     sql = sql.strip()
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {IMAGES.strip()},\n{sql[15:]}"
     if sql[:5].upper() == "WITH ":
         return f"WITH {IMAGES.strip()},\n{sql[5:]}"
     return f"WITH {IMAGES.strip()}\n{sql}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import vector as vec
-from gridloom.operators import draw, generate, scene, sequential
+from gridloom.operators import draw, generate, regions, scene, sequential
 from gridloom.plans.catalog import bits, few, gray, query, rgb, table
 
 SIDE = 50
@@ -209,11 +209,30 @@ def abel(spark, sf_dir):
 
 
 
-@query()
+#: Cells reached from cells of the same value, four ways.
+REACH = """reach AS (
+  SELECT row, col, {v} AS v FROM img, size WHERE {start}
+  UNION SELECT i.row, i.col, i.{v} FROM reach r JOIN img i ON i.{v} = r.v AND ((i.row = r.row AND abs(i.col - r.col) = 1) OR (i.col = r.col AND abs(i.row - r.row) = 1))
+)"""
+
+
+@query("WITH RECURSIVE " + REACH.format(v="bit", start="bit = 1 AND (row = 0 OR row = height - 1 OR col = 0 OR col = width - 1)") + """
+SELECT img.row, img.col, (reach.v IS NOT NULL)::BIGINT AS p0 FROM img LEFT JOIN reach ON img.row = reach.row AND img.col = reach.col""")
 def mask_from_edges(spark, sf_dir):
     return sequential.mask(bits(spark, sf_dir)).flat()
 
 
+SEEDS = [(0, 0), (3, 50), (10, 99), (11, 7), (14, 30)]
+
+
+@query("WITH RECURSIVE " + REACH.format(v="bit", start=" OR ".join(f"(row = {r} AND col = {c})" for r, c in SEEDS)) + """
+SELECT img.row, img.col, CASE WHEN reach.v IS NULL THEN few ELSE 15 END AS p0 FROM img LEFT JOIN reach ON img.row = reach.row AND img.col = reach.col""")
+def fill_seeds(spark, sf_dir):
+    r = bits(spark, sf_dir)
+    marked = regions.fill(r, SEEDS, (2,)).px.select("row", "col", (F.col("s")[0] == 2).alias("in"))
+    return few(spark, sf_dir).px.join(marked, ["row", "col"]).select("row", "col", F.when(F.col("in"), 15).otherwise(F.col("s")[0]).cast("bigint").alias("p0"))
+
+
 @query()
 def stereogram(spark, sf_dir):
     return sequential.stereogram(few(spark, sf_dir)).flat()
