@@ -138,10 +138,28 @@ def _at(matrix: list[list[int]]) -> Column:
     return F.element_at(flat, ((F.col("row") % n) * n + F.col("col") % n + 1).cast("int"))
 
 
-def ordered_bitmap(r: Raster, power: int = 3) -> Raster:
-    """Gray to a bitmap by an ordered matrix: white where the sample exceeds its share."""
-    n2 = 4**power
-    return r.with_cell(F.array((r.plane() * n2 > _at(bayer(power)) * r.maxval + F.lit(r.maxval // 2)).cast("bigint")), maxval=1)
+def tessellation(power: int = 4) -> list[list[int]]:
+    """The order in which the cells of a square of side 2 ** power turn white: each next one as far as can be from those before.
+
+    The four digits of a number, from the lowest, say by how many halves of what is left of the
+    square its cell lies from the middle: 1 is a step across, 2 a step down, 3 both, one after the other.
+    """
+    side = 1 << power
+    out = [[0] * side for _ in range(side)]
+    for n in range(side * side):
+        row = col = side // 2
+        for level in range(power):
+            digit, step = n >> 2 * level & 3, side >> level + 1
+            row += step * ((digit & 1) + (digit >> 1))
+            col += step * (digit & 1)
+        out[row % side][col % side] = n
+    return out
+
+
+def ordered_bitmap(r: Raster) -> Raster:
+    """Gray to a bitmap by an ordered dither of side 16: white where the sample exceeds its share."""
+    bound = [[v * r.maxval // 256 for v in line] for line in tessellation()]
+    return r.with_cell(F.array((r.plane() > _at(bound)).cast("bigint")), maxval=1)
 
 
 #: Orders in which the cells of a clustered dither of side 3, 4 and 8 turn white; the other half of each chequer is what is left to 2 * side ** 2 - 1.

@@ -85,19 +85,22 @@ def vector_times_matrix(spark, sf_dir):
     return M.vector_times(x, folded(spark, sf_dir))
 
 
-@query("SELECT x.i, y.j, (x.i = y.j)::INT::DOUBLE AS v FROM (SELECT unnest(range(6)) AS i) x, (SELECT unnest(range(6)) AS j) y")
+DENSE = "SELECT x.i, y.j, coalesce(v, 0) AS v FROM (SELECT unnest(range(8)) AS i) x CROSS JOIN (SELECT unnest(range(8)) AS j) y LEFT JOIN a ON a.i = x.i AND a.j = y.j"
+
+
+@query(BASE + DENSE)
 def matrix_unit(spark, sf_dir):
-    return M.unit(spark, 6)
+    return M.multiply(folded(spark, sf_dir), M.unit(spark, 8))
 
 
-@query("SELECT x.i, y.j, 0::DOUBLE AS v FROM (SELECT unnest(range(6)) AS i) x, (SELECT unnest(range(2)) AS j) y")
+@query(BASE + DENSE)
 def matrix_null(spark, sf_dir):
-    return M.null(spark, 6, 2)
+    return M.add(folded(spark, sf_dir), M.null(spark, 8, 8))
 
 
 @query()
 def matrix_random(spark, sf_dir):
-    return M.random(spark, 20, 20, -5, 5, 3)
+    return M.add(folded(spark, sf_dir), M.random(spark, 8, 8, -5, 5, 3))
 
 
 def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:

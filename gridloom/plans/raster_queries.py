@@ -61,7 +61,9 @@ for _name, (_f, _sql) in ONE.items():
 
 GRAY = {
     "threshold": (lambda r: point.threshold(r, 0.4), "SELECT row, col, (v >= 102)::BIGINT AS p0 FROM img"),
-    "ordered_bitmap": (lambda r: point.ordered_bitmap(r, 1), "SELECT row, col, (v * 4 > [0, 2, 3, 1][(row % 2 * 2 + col % 2 + 1)::INT] * 255 + 127)::BIGINT AS p0 FROM img"),
+    "ordered_bitmap": (point.ordered_bitmap, """WITH digits AS (SELECT n, n & 3 AS d0, n >> 2 & 3 AS d1, n >> 4 & 3 AS d2, n >> 6 & 3 AS d3 FROM (SELECT unnest(range(256)) AS n)),
+dither AS (SELECT n, (8 + 8 * ((d0 & 1) + (d0 >> 1)) + 4 * ((d1 & 1) + (d1 >> 1)) + 2 * ((d2 & 1) + (d2 >> 1)) + (d3 & 1) + (d3 >> 1)) % 16 AS r, (8 + 8 * (d0 & 1) + 4 * (d1 & 1) + 2 * (d2 & 1) + (d3 & 1)) % 16 AS c FROM digits)
+SELECT row, col, (v > (n * 255) // 256)::BIGINT AS p0 FROM img JOIN dither ON r = row % 16 AND c = col % 16"""),
     "color_ramp": (lambda r: point.color_ramp(r, (0, 0, 128), (255, 200, 0)), "SELECT row, col, (v * 255) // 255 AS p0, (v * 200) // 255 AS p1, (128 * (255 - v)) // 255 AS p2 FROM img"),
     "normalize_contrast": (
         point.normalize,

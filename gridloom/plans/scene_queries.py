@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import vector as vec
 from gridloom.operators import draw, generate, regions, scene, sequential
 from gridloom.plans.catalog import bits, few, gray, query, rgb, table
+from gridloom.raster import Raster
 
 SIDE = 50
 
@@ -105,8 +106,10 @@ TEXT = """40, 50
 
 @query()
 def render_scene(spark, sf_dir):
-    s = scene.parse(TEXT)
-    return scene.picture(scene.render(spark, s), s).flat()
+    """As many lines as the image of the orders has, with their gray in the light of the scene."""
+    r = gray(spark, sf_dir)
+    s = scene.parse(TEXT.replace("40, 50", f"{r.height}, {r.width}"))
+    return _shaded(r, scene.picture(scene.render(spark, s), s))
 
 
 @query("SELECT s_suppkey::BIGINT AS k, x.x * 2.0::DOUBLE - 3 AS x, x.x + 1.0::DOUBLE AS y, 4.0::DOUBLE AS z FROM supplier, LATERAL (SELECT (s_suppkey % 9)::DOUBLE AS x) x")
@@ -176,8 +179,28 @@ GENERATED = {
 }
 
 
+def _shaded(image: Raster, shade: Raster) -> DataFrame:
+    """The image's cells with each plane of another one, laid out over it again and again, as their shade."""
+    at = [F.pmod(F.col(c), F.lit(n)).alias(f"at_{c}") for c, n in (("row", shade.height), ("col", shade.width))]
+    other = shade.px.select(F.col("row").alias("at_row"), F.col("col").alias("at_col"), F.col("s").alias("t"))
+    both = image.px.select("row", "col", F.col("s")[0].alias("v"), *at).join(other, ["at_row", "at_col"])
+    return both.select("row", "col", *(F.floor(F.col("v") * F.col("t")[k] / F.lit(shade.maxval)).cast("bigint").alias(f"p{k}") for k in range(shade.depth)))
+
+
+#: Height, width, planes and scale of the images that are made.
+SIZES = {
+    "make_constant": (20, 30, 3, 255), "make_white": (2, 16, 1, 1), "make_chequer": (7, 7, 1, 1), "ramp_across": (10, 64, 1, 255), "ramp_down": (64, 10, 1, 255), "ramp_rectangle": (40, 40, 1, 255),
+    "ramp_ellipse": (40, 60, 1, 255), "all_tuples": (1, 125, 3, 4), "gaussian": (21, 21, 1, 255), "distance_kernel": (5, 5, 1, 255), "distance_kernel_even": (4, 6, 1, 255), "rainbow": (2, 60, 3, 255),
+}
+
+
 def _made(name, f, sql):
-    query(sql, name)(lambda spark, sf_dir: f(spark).flat())
+    """The gray image in the shades of one that is made: its SQL has that image's."""
+    if sql:
+        height, width, planes, maxval = SIZES[name]
+        shades = ", ".join(f"(v * p{k}) // {maxval} AS p{k}" for k in range(planes))
+        sql = f"SELECT i.row, i.col, {shades} FROM img i JOIN ({sql}) made ON made.row = i.row % {height} AND made.col = i.col % {width}"
+    query(sql, name)(lambda spark, sf_dir: _shaded(gray(spark, sf_dir), f(spark)))
 
 
 for _name, (_f, _sql) in GENERATED.items():

@@ -275,7 +275,7 @@ def test_features_and_weights_by_plain_loops(spark):
     for r in resample.weigh(table, ratios).collect():
         own = want[r["doc_id"]]
         n, total = sum(own.values()), sum(ratios[c] * k for c, k in own.items())
-        assert r["n_features"] == n and r["log_weight"] == pytest.approx(min(0.0, total * min(n, resample.EVIDENCE) / max(1, n)), abs=1e-9)
+        assert r["n_features"] == n and r["log_weight"] == pytest.approx(total * min(n, resample.EVIDENCE) / max(1, n), abs=1e-9)
 
 
 def test_draws_follow_the_weights(spark):
@@ -309,17 +309,35 @@ def test_effective_sample_size(spark):
     assert resample.sample_size(rows.limit(0)) == 0
 
 
-def test_drawn_set_is_no_threshold(spark):
+def test_draws_follow_the_weights(spark):
     small = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
-    rows = resample.weigh(docs, resample.models(docs, labels.where("quality = 1"))).where("n_features > 0").collect()
-    draw = {(r["doc_id"]) for r in resample.resample(docs, labels.where("quality = 1")).collect()}
-    weight = {r["doc_id"]: r["log_weight"] for r in rows}
-    best_left = max(w for k, w in weight.items() if k not in draw)
-    worst_in = min(weight[k] for k in draw)
-    assert worst_in < best_left  # no threshold gives this set
-    bad = [r["doc_id"] for r in labels.where("quality = 0").collect()]
-    assert not draw.intersection(bad)
+    good = labels.where("quality = 1")
+    rows = resample.weigh(docs, resample.models(docs, good)).where("n_features > 0").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    ids, w = rows["doc_id"].to_numpy(), rows["log_weight"].to_numpy()
+    drawn = {r["doc_id"] for r in resample.resample(docs, good).collect()}
+    top = set(ids[np.argsort(-w)[: len(drawn)]])
+    assert len(drawn - top) > 0.05 * len(drawn)  # no threshold gives this set
+    assert not drawn.intersection(r["doc_id"] for r in labels.where("quality = 0").collect())
+    rng = np.random.default_rng(2)
+    rates = np.zeros(len(ids))
+    for _ in range(400):
+        rates[np.argsort(-(w + rng.gumbel(size=len(w))))[: len(drawn)]] += 1 / 400
+    doubt = (rates > 0.05) & (rates < 0.95)
+    assert doubt.mean() > 0.1
+    ranks = lambda x: np.argsort(np.argsort(x))
+    expected = 1 - np.exp(-np.exp(w))  # one that grows with the weight alone
+    steps = np.array_split(np.argsort(expected[doubt], kind="stable"), 10)
+    means = [rates[doubt][s].mean() for s in steps]
+    assert np.corrcoef(ranks(np.array(means)), np.arange(10))[0, 1] > 0.9
+
+
+def test_equal_rows_at_the_last_place_are_drawn_together(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and some more") for k in range(6)] + [(2, "word2 and some more")] * 3, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long")
+    for k in range(1, 10):
+        got = [r["doc_id"] for r in resample.resample(docs, none, k=k).collect()]
+        assert got.count(2) in (0, 4) and k <= len(got) <= k + 3
 
 
 # ---- networks, classifiers and flows by plain loops

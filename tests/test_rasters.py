@@ -392,3 +392,13 @@ def test_lookup_and_nearest(spark):
     assert back(combine.remap(make(spark, [[10, 15, 20]]), [(10,), (20,)])) == [[10, 10, 20]]
     assert combine.psnr(r, r).collect()[0]["y"] is None
     assert F is not None
+
+
+def test_ordered_dither_of_side_sixteen():
+    from gridloom.operators.point import tessellation
+
+    m = tessellation()
+    # fixed values: the first line and the last column of the published matrix
+    assert m[0] == [1, 235, 59, 219, 15, 231, 55, 215, 2, 232, 56, 216, 12, 228, 52, 212]
+    assert [line[15] for line in m] == [212, 116, 244, 92, 220, 124, 252, 86, 214, 118, 246, 94, 222, 126, 254, 84]
+    assert sorted(v for line in m for v in line) == list(range(256))
