@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import blocked
 from gridloom.operators import matrix as M
 from gridloom.plans.catalog import query, sparse, table
 
@@ -210,3 +211,73 @@ def matrix_divide(spark, sf_dir):
 def matrix_inverse_product(spark, sf_dir):
     a = _grams(spark, sf_dir)
     return _shown(M.multiply_each(M.inverse(a, "qr").drop("part"), a), 6)
+
+
+# ---- one matrix larger than a task: blocked factorisations, multiplied out again
+
+SIDE = 1024
+FOLDED = f"f AS (SELECT o_custkey::BIGINT % {SIDE} AS i, o_orderkey::BIGINT % {SIDE} AS j, sum(floor(o_totalprice)::BIGINT % 256)::DOUBLE AS v FROM orders GROUP BY 1, 2)"
+SYMMETRIC = f"""{FOLDED}, o AS (SELECT i, j, sum(v) AS v FROM (SELECT i, j, v FROM f WHERE i <> j UNION ALL SELECT j, i, v FROM f WHERE i <> j) GROUP BY 1, 2)"""
+
+
+def _folded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1,024 x 1,024: whole numbers, one sum for each customer and order modulo 1,024."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.groupBy((F.col("o_custkey") % SIDE).cast("bigint").alias("i"), (F.col("o_orderkey") % SIDE).cast("bigint").alias("j")).agg(F.sum(F.floor("o_totalprice") % 256).cast("double").alias("v"))
+
+
+def _diagonal(spark: SparkSession, v) -> DataFrame:
+    return spark.range(SIDE).select(F.col("id").alias("i"), F.col("id").alias("j"), v.cast("double").alias("v"))
+
+
+def _whole(a: DataFrame) -> DataFrame:
+    return a.select("i", "j", (F.round("v", 4) + 0.0).alias("v")).where("v <> 0")
+
+
+@query(f"WITH {FOLDED} SELECT i, j, sum(v) AS v FROM (SELECT * FROM f UNION ALL SELECT k, k, 500 + k FROM (SELECT unnest(range({SIDE})) AS k)) GROUP BY 1, 2 HAVING sum(v) <> 0")
+def matrix_blocked_lu_product(spark, sf_dir):
+    a = M.add(_folded_orders(spark, sf_dir), _diagonal(spark, F.col("id") + 500))
+    low, up, order = blocked.lu(a)
+    return _whole(M.multiply_blocked(low, up).join(order, "i").select(F.col("row").alias("i"), "j", "v"))
+
+
+@query(f"WITH {SYMMETRIC} SELECT i, j, v FROM o WHERE v <> 0 UNION ALL SELECT k, k, 1 + coalesce(v, 0) FROM (SELECT unnest(range({SIDE})) AS k) d LEFT JOIN (SELECT i, sum(v) AS v FROM o GROUP BY i) t ON t.i = d.k")
+def matrix_blocked_cholesky_product(spark, sf_dir):
+    off = _folded_orders(spark, sf_dir).where("i <> j")
+    off = M.add(off, M.transpose(off))
+    sums = off.groupBy("i").agg(F.sum("v").alias("v"))
+    a = off.unionByName(_diagonal(spark, F.lit(1.0)).drop("v").join(sums, "i", "left").select("i", "j", (1 + F.coalesce("v", F.lit(0.0))).alias("v")))
+    low = blocked.cholesky(a)
+    return _whole(M.multiply_blocked(low, M.transpose(low)))
+
+
+#: Vectors as the rows of a tall matrix, by their place in the order of ids.
+TALL = "t AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), a AS (SELECT i, unnest(range(len(e)))::BIGINT AS j, unnest(e) AS v FROM t)"
+
+
+def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("j", "v"))
+    return ids.select(F.col("vec_id").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "v")
+
+
+@query(f"WITH {TALL.replace('row_number() OVER (ORDER BY vec_id) - 1', 'vec_id::BIGINT')} SELECT i, j, round(v, 5) + 0.0 AS v FROM a WHERE round(v, 5) <> 0")
+def matrix_tall_qr_product(spark, sf_dir):
+    q, r = blocked.tall_qr(_tall(spark, sf_dir))
+    product = q.select("i", F.col("j").alias("k"), "v").join(F.broadcast(r.select(F.col("i").alias("k"), "j", F.col("v").alias("w"))), "k")  # r is as small as the columns
+    return product.groupBy("i", "j").agg((F.round(F.sum(F.col("v") * F.col("w")), 5) + 0.0).alias("v")).where("v <> 0")
+
+
+@query(f"WITH {TALL} SELECT x.j AS i, y.j, round(sum(x.v * y.v), 4) + 0.0 AS v FROM a x JOIN a y ON x.i = y.i GROUP BY 1, 2 HAVING round(sum(x.v * y.v), 4) <> 0")
+def matrix_tall_svd_gram(spark, sf_dir):
+    """v w^2 v': what the columns of the matrix have in common."""
+    _, w, vt = blocked.tall_svd(_tall(spark, sf_dir))
+    scaled = vt.join(w.withColumnRenamed("j", "i"), "i").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+    return _whole(M.multiply(M.transpose(scaled), scaled))
+
+
+@query(f"WITH {TALL}, n AS (SELECT DISTINCT j FROM a) SELECT x.j AS i, y.j, 1.0::DOUBLE AS v FROM n x JOIN n y ON x.j = y.j")
+def matrix_tall_orthogonal(spark, sf_dir):
+    q, _ = blocked.tall_qr(_tall(spark, sf_dir))
+    rows = q.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("c"))
+    pairs = rows.select(F.explode("c").alias("x"), "c").select("x", F.explode("c").alias("y"))
+    return _whole(pairs.groupBy(F.col("x.j").alias("i"), F.col("y.j").alias("j")).agg(F.sum(F.col("x.v") * F.col("y.v")).alias("v")))
