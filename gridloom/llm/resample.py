@@ -8,15 +8,15 @@ whether a word repeats the one before).  The raw model counts every document; th
 model counts the texts of at most TARGET labelled rows.
 
 A document's features aren't independent, so it counts as at most EVIDENCE of them: its log
-weight is their mean ratio times EVIDENCE (or times their number, if that is less).
-Weights are truncated at 1, as in truncated importance sampling: a document that the target
-model explains at least as well isn't thinned in favour of more typical ones.  Its key is
-its log weight plus seeded Gumbel noise, and those with the k largest keys are drawn: k
-documents without replacement, each step in proportion to the weights.
+weight is their mean ratio times EVIDENCE (or times their number, if that is less), which
+tempers the weights and truncates none: the better the target model explains a document
+against the raw one, the likelier it is drawn.  Its key is its log weight plus seeded Gumbel
+noise, and those with the k largest keys are drawn: k documents without replacement, each
+step in proportion to the weights.
 
 k, if not given, is the effective sample size, (sum of weights) ** 2 / sum of squared
-weights.  Good documents nearly all fit into it; those in doubt take places from one
-another, and from a few good ones, by the noise; junk, with weights near 0, gets none.
+weights: the more the weights of good documents differ, the fewer of them are drawn, and
+which of them are is up to weights and noise; junk, with weights near 0, gets no place.
 
 Models are sums of MODEL counts whatever the input; texts are never shuffled, and the
 k-th key is found by counting (select.kth_largest).
@@ -97,8 +97,8 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def log_weights(sums: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Log importance weights of documents with n features whose log ratios have these sums; at most 0."""
-    return np.minimum(0, sums * np.minimum(n, EVIDENCE) / np.maximum(n, 1))
+    """Log importance weights of documents with n features whose log ratios have these sums."""
+    return sums * np.minimum(n, EVIDENCE) / np.maximum(n, 1)
 
 
 def models(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
