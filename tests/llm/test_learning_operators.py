@@ -211,7 +211,8 @@ def test_resampling_separates_junk(spark, docs, small):
     quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
     good = [k in got for k, q in quality.items() if q == 1]
     bad = [k in got for k, q in quality.items() if q == 0]
-    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+    # untruncated weights thin good documents too, the more the fewer the rows the models are made of; junk stays out
+    assert np.mean(good) > 0.85 and np.mean(bad) < 0.1
     whole = resample.resampled_documents(docs, labels.where("quality = 1"))
     assert whole.columns == docs.columns and {r["doc_id"] for r in whole.collect()} == got
 
