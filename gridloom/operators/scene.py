@@ -160,7 +160,7 @@ def render(spark: SparkSession, scene: Scene, hit: str = "nearest") -> DataFrame
 
 
 #: Cells of the finest grid along an axis at most; how much coarser each next grid is; cells along an axis that an object may touch.
-FINEST, COARSER, TOUCHED = 64, 4, 4
+FINEST, COARSER, TOUCHED = 64, 4, 2
 #: Rays, and objects, of one cell that meet in one place.
 RAYS, OBJECTS = 1 << 15, 1 << 11
 
@@ -237,34 +237,44 @@ def object_cells(objects: DataFrame, grids: Grids) -> DataFrame:
     return objects.withColumn("level", which).withColumn("cell", F.explode(cells)).drop("level", "low", "high")
 
 
-def ray_cells(grids: Grids, level: int) -> Column:
-    """The cells of a grid that the line o + t d crosses, before and behind o: between one wall and the next it is in the cell of the middle."""
-    n = grids.sides[level]
-    enter, leave, inside, walls = [], [], F.lit(True), []
+def walked_cells(rays: DataFrame, grids: Grids) -> DataFrame:
+    """rays (o, d and more) with a row for each cell, of every grid, that the line o + t d crosses, before and behind o.
+
+    Between one wall and the next a line is in the cell of the middle.  Each step is a column
+    of its own, so that it's worked out once a ray.
+    """
 
     def at(axis: str, x: Column) -> Column:
         """Where the line has this coordinate; null if it has it everywhere or nowhere."""
         return (x - F.col(f"o.{axis}")) / F.nullif(F.col(f"d.{axis}"), F.lit(0.0))
 
-    def between(axis: str, low: float, high: float) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: at(axis, low + i * ((high - low) / n)))
+    def between(axis: str, n: int, low: float, high: float) -> Column:
+        walls = F.array(*(F.lit(low + i * ((high - low) / n)) for i in range(1, n)))
+        return F.transform(walls, lambda x: at(axis, x))
 
-    for name, low, high in zip(AXES, grids.low, grids.high, strict=True):
-        ends = at(name, F.lit(low)), at(name, F.lit(high))
-        enter.append(F.least(*ends))
-        leave.append(F.greatest(*ends))
+    axes = list(zip(AXES, grids.low, grids.high, strict=True))
+    ends = [(at(n, F.lit(low)), at(n, F.lit(high))) for n, low, high in axes]
+    inside = F.lit(True)
+    for name, low, high in axes:
         inside = inside & ((F.col(f"d.{name}") != 0) | F.col(f"o.{name}").between(low, high))
-        if n > 1:
-            walls.append(between(name, low, high))
-    first, last = F.greatest(*enter), F.least(*leave)
-    stops = F.array_sort(F.concat(F.array(first, last), *(F.filter(w, lambda t: (t > first) & (t < last)) for w in walls)))
+    out = rays.withColumns({"first": F.greatest(*(F.least(*e) for e in ends)), "last": F.least(*(F.greatest(*e) for e in ends)), "inside": inside})
+    out = out.where("inside and first <= last").drop("inside")
+    sides = list(enumerate(grids.sides))
+    walls = {f"walls{k}": F.concat(*(between(name, n, low, high) for name, low, high in axes)) for k, n in sides if n > 1}
+    out = out.withColumns(walls) if walls else out
+    crossed = lambda k: F.filter(f"walls{k}", lambda t: (t > F.col("first")) & (t < F.col("last")))
+    out = out.withColumns({f"stops{k}": F.array_sort(F.concat(F.array("first", "last"), *([crossed(k)] if n > 1 else []))) for k, n in sides})
+
+    def cells(k: int) -> Column:
+        def cell(t: Column) -> Column:
+            return grids.place(k, *(grids.index(k, i, F.col(f"o.{name}") + t * F.col(f"d.{name}")) for i, name in enumerate(AXES)))
 
-    def cell(pair: Column) -> Column:
-        t = pair / 2
-        return grids.place(level, *(grids.index(level, k, F.col(f"o.{name}") + t * F.col(f"d.{name}")) for k, name in enumerate(AXES)))
+        stops = F.col(f"stops{k}")
+        middles = F.transform(F.slice(stops, 1, F.size(stops) - 1), lambda t, i: (t + stops[i + 1]) / 2)
+        return F.array_distinct(F.transform(middles, cell))
 
-    middles = F.zip_with(F.slice(stops, 1, F.size(stops) - 1), F.slice(stops, 2, F.size(stops) - 1), lambda a, b: a + b)
-    return F.when(inside & (first <= last), F.array_distinct(F.transform(middles, cell))).otherwise(F.array().cast("array<bigint>"))
+    out = out.withColumn("cell", F.explode(F.concat(*(cells(k) for k, _ in sides))))
+    return out.drop("first", "last", *walls, *(f"stops{k}" for k, _ in sides))
 
 
 def trace(ray_table: DataFrame, spheres: DataFrame | None, hit: str = "nearest", key: tuple[str, ...] = ("row", "col"), triangles: DataFrame | None = None) -> DataFrame:
@@ -286,7 +296,7 @@ def trace(ray_table: DataFrame, spheres: DataFrame | None, hit: str = "nearest",
         return none
     o = F.col("o") if "o" in ray_table.columns else vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     own = ray_table.select(*key, o.alias("o"), "d").where("not (d.x = 0 and d.y = 0 and d.z = 0)")
-    walked = own.withColumn("cell", F.explode(F.concat(*(ray_cells(grids, level) for level in range(len(grids.sides))))))
+    walked = walked_cells(own, grids)
     lying = object_cells(objects, grids)
     filled = lying.groupBy("cell").agg(F.count("*").alias("n"))
     crossed = walked.join(F.broadcast(filled), "cell").groupBy("cell", "n").agg(F.count("*").alias("m"))
