@@ -1,10 +1,13 @@
 """Tall images: what a format can't name, a task can't hold or a grid can't join."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.plans import catalog, raster_queries  # noqa: F401
+from gridloom.operators import geometry
+from gridloom.plans import raster_queries
 from gridloom.raster import Raster
 from gridloom.sources import formats
 
@@ -41,3 +44,54 @@ def test_files_are_decoded_by_parts(spark, monkeypatch):
     got = formats.decoded(files, "bmp").collect()
     assert {(x["row"], x["col"]): x["s"] for x in got} == {(i, j): m[i, j].tolist() for i in range(7) for j in range(4)}
     assert {(x["image"], x["height"], x["width"], x["maxval"]) for x in got} == {("x", 7, 4, 255)}
+
+
+@pytest.mark.parametrize("degrees", [0, 30, 90, 151, 180, 200, -77])
+@pytest.mark.parametrize("height, width", [(23, 4), (3, 17)])
+def test_rotated_by_loops(spark, degrees, height, width):
+    r = tall(spark, height, width, keep="id % 7 <> 3")
+    own = {(x["row"], x["col"]): x["s"][0] for x in r.px.collect()}
+    out = geometry.rotate(r, degrees, (9,))
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    want = {}
+    for row in range(out.height):
+        for col in range(out.width):
+            x, y = col - (out.width - 1) / 2, row - (out.height - 1) / 2
+            at = math.floor(y * c + x * s + (height - 1) / 2 + 0.5), math.floor(x * c - y * s + (width - 1) / 2 + 0.5)
+            want[row, col] = own.get(at, 9)
+    got = out.px.collect()
+    assert len(got) == len(want) and {(x["row"], x["col"]): x["s"][0] for x in got} == want
+
+
+@pytest.mark.parametrize("degrees, smooth", [(20, True), (-35, True), (20, False), (-35, False)])
+def test_sheared_by_loops(spark, degrees, smooth):
+    height, width, slope = 19, 5, math.tan(math.radians(degrees))
+    r = tall(spark, height, width)
+    v = {(x["row"], x["col"]): x["s"][0] for x in r.px.collect()}
+    out = geometry.shear(r, degrees, smooth)
+    want = {(row, col): 0 for row in range(height) for col in range(out.width)}
+    for row in range(height):
+        shift = row * abs(slope) if slope > 0 else (height - row) * abs(slope)
+        whole = math.floor(shift if smooth else shift + 0.5)
+        part = math.floor((shift - whole) * 4096) if smooth else 0
+        for col in range(width + 1):
+            if col + whole < out.width:
+                want[row, col + whole] = (v.get((row, col - 1), 0) * part + v.get((row, col), 0) * (4096 - part) + 2048) // 4096
+    got = out.px.collect()
+    assert len(got) == len(want) and {(x["row"], x["col"]): x["s"][0] for x in got} == want
+
+
+@pytest.mark.parametrize("move", [lambda r: geometry.rotate(r, 30), lambda r: geometry.shear(r, 10)])
+def test_only_what_an_image_covers_is_joined(spark, monkeypatch, move):
+    r, made, real = tall(spark, 2000, 3), [], geometry.full_grid
+    monkeypatch.setattr(geometry, "full_grid", lambda *a, **k: made.append((real(*a, **k), k.get("beyond", False))) or made[-1][0])
+    out = move(r)
+    joined, rest = ([g.count() for g, beyond in made if beyond == b] for b in (False, True))
+    assert sum(joined) <= 12 * out.height and sum(joined) + sum(rest) == out.height * out.width
+
+
+@pytest.mark.parametrize("move", [lambda r: geometry.jitter(r, 3, 5), lambda r: geometry.spread(r, 2, 5), lambda r: geometry.sample(r, 2 * r.height, 2)])
+def test_grids_are_not_broadcast(spark, move):
+    got = move(tall(spark, 3000, 3)).px
+    assert got.count() > 0
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
