@@ -9,8 +9,12 @@ crosses, and the two meet in an equi-join on the cell; what is tested exactly is
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +208,12 @@ def boxed(spheres: DataFrame | None, triangles: DataFrame | None) -> DataFrame:
     return out
 
 
+def unlike(objects: DataFrame) -> DataFrame:
+    """Objects of one place and shape as that with the least k."""
+    shape = [c for c in objects.columns if c != "k"]
+    return objects.groupBy(*shape).agg(F.min(F.struct("k")).alias("k")).select("k.k", *shape)
+
+
 def grids_of(objects: DataFrame) -> Grids | None:
     """Grids for the boxes of objects, with about as many cells of the finest as there are objects; None without any."""
     corners = [F.min(f"low.{n}").alias(f"l{n}") for n in AXES] + [F.max(f"high.{n}").alias(f"h{n}") for n in AXES]
@@ -277,25 +287,83 @@ def walked_cells(rays: DataFrame, grids: Grids) -> DataFrame:
     return out.drop("first", "last", *walls, *(f"stops{k}" for k, _ in sides))
 
 
+#: Pairs of a ray and an object that are tested at a time.
+AT_ONCE = 1 << 18
+
+
+def _meeting(line: list[str], hit: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best hit of each ray of a place among its objects, as sphere_distance and triangle_distance find it."""
+
+    def dot(a, b):
+        return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+    def cross(a, b):
+        return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+    def minus(a, b):
+        return tuple(x - y for x, y in zip(a, b, strict=True))
+
+    def meet(rays: pa.Table, objects: pa.Table) -> pa.Table:
+        objects = objects.take(pc.sort_indices(objects, [("k", "ascending")], null_placement="at_start"))
+        number = lambda name: objects[name].to_numpy().astype(float)[None, :]
+        corner = lambda name: tuple(number(f"{name}_{n}") for n in AXES)
+        every = np.stack([rays[n].to_numpy() for n in line])
+        step, found, which, far = max(1, AT_ONCE // max(1, len(objects))), [], [], []
+        for first in range(0, every.shape[1], step):
+            part = every[:, first : first + step, None]
+            o, d = part[:3], part[3:]
+            t = np.full((part.shape[1], len(objects)), np.nan)
+            with np.errstate(all="ignore"):
+                if "a_x" in objects.column_names:
+                    a = corner("a")
+                    e1, e2 = minus(corner("b"), a), minus(corner("c"), a)
+                    p = cross(d, e2)
+                    det = dot(e1, p)
+                    to = minus(o, a)
+                    u, q = dot(to, p) / det, cross(to, e1)
+                    v = dot(d, q) / det
+                    t = np.where((np.abs(det) >= TINY) & (u >= 0) & (v >= 0) & (u + v <= 1), dot(e2, q) / det, np.nan)
+                if "radius" in objects.column_names:
+                    to, radius = minus(o, corner("centre")), number("radius")
+                    b = 2 * dot(d, to)
+                    disc = b * b - 4 * (dot(to, to) - radius * radius)
+                    near = np.where(disc > TINY, (-b - np.sqrt(np.maximum(disc, 0.0))) / 2, np.where(disc >= -TINY, -b / 2, np.nan))
+                    t = np.where(np.isnan(near), t, near)
+            met = ~np.isnan(t)
+            best = met.argmax(axis=1) if hit == "first" else np.where(met, t, np.inf).argmin(axis=1)  # of equal ones the first, that of the least k
+            some = np.flatnonzero(met.any(axis=1))
+            found.append(some + first)
+            which.append(best[some])
+            far.append(t[some, best[some]])
+        found, which, far = (np.concatenate(x) for x in (found, which, far))
+        return pa.table({**{n: pa.array(every[k, found]) for k, n in enumerate(line)}, "k": objects["k"].take(pa.array(which)), "t": pa.array(far)})
+
+    return lambda rays, objects: meet(rays, objects) if len(rays) and len(objects) else pa.table({**{n: pa.array([], pa.float64()) for n in line}, "k": objects["k"].slice(0, 0), "t": pa.array([], pa.float64())})
+
+
 def trace(ray_table: DataFrame, spheres: DataFrame | None, hit: str = "nearest", key: tuple[str, ...] = ("row", "col"), triangles: DataFrame | None = None) -> DataFrame:
     """Rays (key, d and, unless all start at the origin, o) against spheres (k, centre, radius) and triangles (k, a, b, c) of any number.
 
     Gives the key, k and t of the nearest hit, or of the first in the order of k; null without one.
     Hits behind o count, with a negative t, as the originals have it; of equally near hits the least k.
 
-    Rays meet objects cell by cell.  A cell that very many rays cross, or in which very many
-    objects lie, is dealt out: rays by their key, objects by theirs, and every share of the
+    Of objects that are alike only the one of the least k can be hit, and rays that are alike
+    have the same hit: both are taken once.  Rays meet objects cell by cell.  A cell that very many rays cross, or in which very many
+    objects lie, is dealt out: rays by their line, objects by their key, and every share of the
     one meets every share of the other apart.  The best of a ray is an aggregate that is
     partly made before the shuffle.  What is broadcast is a row for each cell with objects,
     of at most FINEST ** 3 cells and those of the coarser grids.
     """
-    objects = boxed(spheres, triangles)
+    objects = unlike(boxed(spheres, triangles))
     grids = grids_of(objects)
     none = ray_table.select(*key, F.lit(None).cast(objects.schema["k"].dataType).alias("k"), F.lit(None).cast("double").alias("t"))
     if grids is None:
         return none
     o = F.col("o") if "o" in ray_table.columns else vec(F.lit(0.0), F.lit(0.0), F.lit(0.0))
-    own = ray_table.select(*key, o.alias("o"), "d").where("not (d.x = 0 and d.y = 0 and d.z = 0)")
+    given = ray_table.select(*key, *(p[n].alias(f"{name}_{n}") for name, p in (("o", o), ("d", F.col("d"))) for n in AXES))
+    line = [f"{name}_{n}" for name in "od" for n in AXES]
+    own = given.select(*line).where("not (d_x = 0 and d_y = 0 and d_z = 0)").distinct()
+    own = own.select(*line, *(vec(*(F.col(f"{name}_{n}") for n in AXES)).alias(name) for name in "od"))
     walked = walked_cells(own, grids)
     lying = object_cells(objects, grids)
     filled = lying.groupBy("cell").agg(F.count("*").alias("n"))
@@ -303,17 +371,16 @@ def trace(ray_table: DataFrame, spheres: DataFrame | None, hit: str = "nearest",
     shares = crossed.select("cell", F.ceil(F.col("m") / RAYS).cast("int").alias("by_ray"), F.ceil(F.col("n") / OBJECTS).cast("int").alias("by_object"))
     shares = F.broadcast(shares)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = walked.join(shares, "cell").withColumn("i", F.pmod(F.xxhash64(*key), "by_ray").cast("int")).withColumn("j", upto("by_object")).drop("by_ray", "by_object")
+    one = walked.join(shares, "cell").withColumn("i", F.pmod(F.xxhash64(*line), "by_ray").cast("int")).withColumn("j", upto("by_object")).drop("by_ray", "by_object")
     two = lying.join(shares, "cell").withColumn("j", F.pmod(F.xxhash64("k"), "by_object").cast("int")).withColumn("i", upto("by_ray")).drop("by_ray", "by_object")
-    t = F.lit(None).cast("double")
-    if triangles is not None:
-        t = triangle_distance(F.col("o"), F.col("d"), F.col("a"), F.col("b"), F.col("c"))
-    if spheres is not None:
-        t = F.coalesce(sphere_distance(F.col("o"), F.col("d"), F.col("centre"), F.col("radius")), t)
-    hits = one.join(two, ["cell", "i", "j"]).select(*key, "k", t.alias("t")).where("t is not null")
+    place, parts = ["cell", "i", "j"], {"centre": AXES, "a": AXES, "b": AXES, "c": AXES, "radius": ""}
+    shape = [F.col(f"{name}.{n}").alias(f"{name}_{n}") if axes else F.col(name) for name, axes in parts.items() if name in two.columns for n in axes or "-"]
+    two = two.select(*place, "k", *shape)
+    out = one.select(*line).schema.add("k", two.schema["k"].dataType).add("t", "double")
+    hits = one.select(*place, *line).groupBy(*place).cogroup(two.groupBy(*place)).applyInArrow(_meeting(line, hit), out)
     order = F.struct("t", "k") if hit == "nearest" else F.struct("k", "t")
-    best = hits.groupBy(*key).agg(F.min(order).alias("h"))
-    return ray_table.select(*key).join(best, list(key), "left").select(*key, F.col("h.k").alias("k"), F.col("h.t").alias("t"))
+    best = hits.groupBy(*line).agg(F.min(order).alias("h"))
+    return given.join(best, line, "left").select(*key, F.col("h.k").alias("k"), F.col("h.t").alias("t"))
 
 
 def picture(rendered: DataFrame, scene: Scene, scale: float = 255.0) -> Raster:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import geometry, sequential
+from gridloom.operators import geometry, scene, sequential
 from gridloom.plans import raster_queries
 from gridloom.raster import Raster
 from gridloom.sources import formats
@@ -134,3 +134,17 @@ def test_diffused_line_by_line(spark, monkeypatch, palette):
     assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no image is held whole
     got = out.collect()
     assert len(got) == len(want) and {(x["row"], x["col"]): x["s"][0] for x in got} == {k: v // 255 if palette is None else v for k, v in want.items()}
+
+
+@pytest.mark.parametrize("hit", ["nearest", "first"])
+def test_rays_and_objects_that_are_alike_are_taken_once(spark, monkeypatch, hit):
+    v = lambda *x: F.struct(*(F.lit(float(k)).alias(n) for k, n in zip(x, "xyz", strict=True)))
+    spheres = spark.range(5, 605).select(F.col("id").alias("k"), v(0, 0, 30).alias("centre"), (F.col("id") % 2 + 2).cast("double").alias("radius"))
+    rays = spark.range(900).select(F.col("id").alias("ray"), v(0, 0, 0).alias("o"), F.when(F.col("id") % 3 == 0, v(0, 1, 0)).otherwise(v(0, 0, 1)).alias("d"))
+    laid, walked = [], []
+    lying, walking = scene.object_cells, scene.walked_cells
+    monkeypatch.setattr(scene, "object_cells", lambda objects, grids: laid.append(objects.count()) or lying(objects, grids))
+    monkeypatch.setattr(scene, "walked_cells", lambda own, grids: walked.append(own.count()) or walking(own, grids))
+    got = scene.trace(rays, spheres, hit, ("ray",)).collect()
+    assert laid == [2] and walked == [2] and len(got) == 900
+    assert all((x["k"], x["t"]) == ((None, None) if x["ray"] % 3 == 0 else (5, 27.0)) for x in got)
