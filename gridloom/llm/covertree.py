@@ -1,4 +1,4 @@
-"""Exact top-k by inner product with dual cover trees.
+"""Exact top-k by inner product with cover trees.
 
 Vectors are turned into integers, floor(SCALE * x).  A node of a tree has one of its points
 as centre and the largest distance to any of its points as covering radius; its children
@@ -10,17 +10,17 @@ input) is cut at up to CELLS nodes, and every row, query or not, goes to the nea
 their centres.  So the rows of a cell lie together, and its radius is that of all its rows.
 Below, each block of at most BLOCK rows of a cell has a tree of its own.
 
-A pair of nodes can't hold a score above
+A node can't hold a score above
 
-    <q, d> + |q| r_d + |d| r_q + r_q r_d
+    <q, c> + |q| r
 
-for centres q, d and radii r_q, r_d.  It is passed over if that is below the worst k-th
-score among the queries of its query node.  First every query block meets one block of the
-cell that promises most, which gives each query a floor; then only those cells whose bound
-reaches the least floor of the query block are joined with it at all, and within a task
-pairs of tree nodes are looked at from the highest bound down, against floors and scores
-found so far.  Pairs of leaves are multiplied as matrices.  The groups' best are merged, k a
-query from each.
+for a query q, its centre c and radius r.  It is passed over by the queries whose worst k-th
+score is above that.  First the queries meet one part of their own cell, which gives each a
+floor; then each goes only to those cells whose bound reaches its floor.  Data stay where
+they are: a task holds a part of a cell, builds its trees once, and the queries, a fiftieth
+of the rows or fewer, come by in blocks.  Bounds of a net's centres and products of leaves
+are matrices of many queries, nodes from the highest bound down, against floors and
+scores found so far.  The parts' best are merged, k a query from each.
 
 Defined results: vectors that are null, or hold a null, NaN or infinite component, take no
 part, neither do rows without an id; vectors of different lengths aren't compared; a
@@ -32,7 +32,7 @@ scores beyond 64 bits are held at their limits; an empty table gives an empty on
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -45,12 +45,16 @@ from gridloom.llm.components import join_unique
 
 SCALE, K = 256, 5
 BLOCK, BASE = 4096, 1.25
-#: Points of a leaf, of data and of queries.
-LEAF, ASKED = 64, 16
-#: Rows that the upper levels are made of, and cells they are cut into, for each vector length in the sample.
+#: Points of a leaf; of one in a search, where products of matrices cost less than bounds.
+LEAF, WIDE = 64, 512
+#: Rows that the upper levels are made of, and cells they are cut into at most, for each vector length in the sample.
 SAMPLE, CELLS = 8192, 256
-#: Blocks of a cell that are searched by one task.
-GROUP = 8
+#: A task holds the rows of a cell up to a SHARE of all, but never more than HELD; cells grow with the square root of the rows, over SPREAD.
+SHARE, HELD, SPREAD = 32, 1 << 17, 16
+#: Queries that are searched at a time, and rows of data multiplied at a time, about.
+ASKED, AT_ONCE = 2048, 1024
+#: Tasks of a search, at most.
+TASKS = 1 << 14
 _NONE = np.iinfo(np.int64).min
 
 
@@ -106,80 +110,121 @@ def upper_levels(sample: np.ndarray, cells: int) -> np.ndarray:
     return np.array([n.centre for *_, n in open_] + [n.centre for n in done])
 
 
-def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exact inner products as 64-bit integers, held at the limits beyond."""
+def _exact(q: np.ndarray, d: np.ndarray) -> type:
+    """The numbers in which inner products of integers are exact: floats, doubles, or else integers."""
     high = float(np.abs(q).max(initial=0)) * float(np.abs(d).max(initial=0)) * q.shape[1]
-    if high < 2**53:
-        return (q @ d.T).astype(np.int64)
+    return np.float32 if high < 2**24 else np.float64 if high < 2**53 else np.int64
+
+
+def _products(q: np.ndarray, d: np.ndarray, kind: type) -> np.ndarray:
+    """Exact inner products; integers are 64-bit, held at the limits beyond."""
+    if kind is not np.int64:
+        return q @ d.T
     as_int = lambda m: np.array([[int(x) for x in row] for row in m.tolist()], dtype=object).reshape(m.shape)
     exact = as_int(q) @ as_int(d).T if q.shape[1] else np.zeros((len(q), len(d)), object)
     return np.clip(exact, _NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
 
 
+def _bounds(points: np.ndarray, m: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """What each node, by its centre, the centre's norm and its radius, can give to each query."""
+    own = np.linalg.norm(points, axis=1)[:, None]
+    most = points @ m.T + own * radii
+    return np.maximum(most + 1e-9 * (np.abs(most) + own * norms + 1), float(_NONE))
+
+
 class Search:
     """The best scores so far of a block of queries; floors are scores that the k-th of each query is known to reach."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, k: int, floors: np.ndarray | None = None) -> None:
-        self.ids, self.points, self.k, self.tree = ids, points, k, cover_tree(points, leaf=ASKED)
+        self.ids, self.points, self.k = ids, points, k
         self.floors = np.full(len(ids), _NONE) if floors is None else floors
         self.score = np.full((len(ids), k), _NONE)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        #: Node pairs looked at, and query-data pairs multiplied.
+        #: Queries and nodes looked at, and query-data pairs multiplied.
         self.visited = self.multiplied = 0
 
-    def _leaves(self, rows: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
-        """Take in all pairs of some queries and some data, given in the order of ids."""
-        self.multiplied += len(rows) * len(ids)
-        score = _products(self.points[rows], points)
-        score[self.ids[rows][:, None] == ids] = _NONE
-        if len(ids) > 4 * self.k:  # the k best of each row, ties to the first
-            low = np.partition(score, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
-            sure, tie = score > low[:, None], score == low[:, None]
-            keep = sure | (tie & (np.cumsum(tie, axis=1) <= self.k - sure.sum(axis=1)[:, None]))
-            at = np.nonzero(keep)[1].reshape(len(rows), self.k)
-            score, ids = np.take_along_axis(score, at, axis=1), ids[at]
-        else:
-            ids = np.broadcast_to(ids, score.shape)
-        score = np.concatenate([self.score[rows], score], axis=1)
-        ids = np.concatenate([self.found[rows], ids], axis=1)
-        ids = np.where(score == _NONE, np.iinfo(np.int64).max, ids)
-        order = np.lexsort((ids, np.where(score == _NONE, np.iinfo(np.int64).max, ~score)), axis=1)[:, : self.k]
-        self.score[rows], self.found[rows] = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
-
-    def _bounds(self, centre: np.ndarray, radius: float, m: np.ndarray, norms: np.ndarray, radii: np.ndarray) -> np.ndarray:
-        a = float(np.linalg.norm(centre))
-        most = m @ centre + a * radii + norms * radius + radius * radii
-        return most + 1e-9 * (np.abs(most) + a * norms + 1)
+    def worst(self) -> np.ndarray:
+        """What a score has to reach, for each query."""
+        return np.maximum(self.score[:, -1], self.floors)
+
+    def _leaves(self, rows: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Take in the scores of some queries and some data, given in the order of ids."""
+        self.multiplied += score.size
+        none = _NONE if score.dtype == np.int64 else -np.inf
+        first, last = (np.searchsorted(ids, self.ids[rows], side) for side in ("left", "right"))
+        for r in np.flatnonzero(last > first).tolist():
+            score[r, first[r] : last[r]] = none
+        worst, n = self.worst()[rows], len(ids)
+        low = worst if score.dtype == np.int64 else np.where(worst == _NONE, none, worst).astype(score.dtype)
+        keep = score >= low[:, None]
+        many = np.flatnonzero(np.count_nonzero(keep, axis=1) > 4 * self.k)
+        if len(many):  # the k best of each, ties to the first
+            some = score[many]
+            line = np.maximum(low[many], np.partition(some, n - self.k, axis=1)[:, n - self.k])[:, None]
+            tie = some == line
+            keep[many] = (some > line) | (tie & (np.cumsum(tie, axis=1) <= self.k))
+        flat = np.flatnonzero(keep)
+        flat = flat[score.ravel()[flat] != none]
+        if not len(flat):
+            return
+        r, c = np.divmod(flat, n)
+        hit = np.unique(r)
+        q = np.concatenate([hit.repeat(self.k), r])
+        s = np.concatenate([self.score[rows[hit]].ravel(), score.ravel()[flat].astype(np.int64)])
+        i = np.concatenate([self.found[rows[hit]].ravel(), ids[c]])
+        order = np.lexsort((i, ~s, q))
+        start = np.searchsorted(q[order], hit)
+        take = order[start[:, None] + np.arange(self.k)]
+        self.score[rows[hit]], self.found[rows[hit]] = s[take], i[take]
 
     def meet(self, ids: np.ndarray, points: np.ndarray, tree: Node) -> None:
         """Search a data block, whose rows are in the order of ids, for every query."""
-        queue, turn = [(-np.inf, 0, self.tree, tree)], 0
+        kind = _exact(self.points, points)
+        mine, theirs = (m if kind is np.int64 else m.astype(kind) for m in (self.points, points))
+        held: list[np.ndarray] = []  # leaves that are multiplied together, the queries that ask for any of them, and pairs asked for
+        asking, useful = np.zeros(len(self.ids), bool), 0
+
+        def multiply() -> None:
+            nonlocal useful
+            if held:
+                q, d = np.flatnonzero(asking), np.sort(np.concatenate(held))
+                self._leaves(q, ids[d], _products(mine[q], theirs[d], kind))
+            held.clear()
+            asking[:] = False
+            useful = 0
+
+        def hold(rows: np.ndarray, data: np.ndarray) -> None:
+            nonlocal useful
+            n, pairs = sum(map(len, held)) + len(data), useful + len(rows) * len(data)
+            if held and (n > AT_ONCE or n * (np.count_nonzero(asking) + np.count_nonzero(~asking[rows])) > 1.5 * pairs):
+                multiply()
+                pairs = len(rows) * len(data)
+            held.append(data)
+            asking[rows] = True
+            useful = pairs
+
+        queue, turn = [(-np.inf, 0, tree, np.arange(len(self.ids)), None)], 0
         while queue:
-            most, _, q, d = heapq.heappop(queue)
-            self.visited += 1
-            worst = int(np.maximum(self.score[q.rows, -1], self.floors[q.rows]).min())
-            if worst != _NONE and max(-most, float(_NONE)) < worst:
+            _, _, node, rows, most = heapq.heappop(queue)
+            if most is not None:
+                rows = rows[~(most < self.worst()[rows])]
+            if not len(rows):
                 continue
-            if not q.children and not d.children:
-                rows = np.sort(d.rows)
-                self._leaves(q.rows, ids[rows], points[rows])
+            if not node.children:
+                hold(rows, node.rows)
                 continue
-            split_q = bool(q.children) and (not d.children or q.radius > d.radius)
-            own, other = (q, d) if split_q else (d, q)
-            bounds = self._bounds(other.centre, other.radius, *own.net())
-            ready = []  # leaves below d that q, a leaf, can't pass over: multiplied at once
-            for most, c in zip(bounds.tolist(), own.children, strict=True):
+            bounds = _bounds(self.points[rows], *node.net())
+            self.visited += bounds.size
+            small = np.array([not c.children and len(c.rows) < LEAF for c in node.children])
+            for nth in np.flatnonzero(~small).tolist():
                 turn += 1
-                if split_q:
-                    heapq.heappush(queue, (-most, turn, c, d))
-                elif q.children or c.children:
-                    heapq.heappush(queue, (-most, turn, q, c))
-                elif most >= worst:
-                    ready.append(c.rows)
-            if ready:
-                self.visited += len(ready)
-                rows = np.sort(np.concatenate(ready))
-                self._leaves(q.rows, ids[rows], points[rows])
+                heapq.heappush(queue, (-float(bounds[:, nth].max()), turn, node.children[nth], rows, bounds[:, nth]))
+            if small.any():  # small leaves of a node go together
+                go = ~(bounds[:, small] < self.worst()[rows][:, None])
+                data = [node.children[nth].rows for nth in np.flatnonzero(small)[go.any(axis=0)].tolist()]
+                if data:
+                    hold(rows[go.any(axis=1)], np.concatenate(data))
+        multiply()
 
 
 def _pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
@@ -188,7 +233,7 @@ def _pivots(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
     by: dict[int, list] = {}
     for r in drawn.collect():
         by.setdefault(len(r["v"]), []).append(r["v"])
-    cells = max(1, min(CELLS, -(-2 * n // BLOCK)))
+    cells = max(1, min(CELLS, -(-2 * n // BLOCK), round(n**0.5 / SPREAD)))
     return {dim: upper_levels(np.array(sorted(own), np.float64), cells) for dim, own in by.items() if dim}
 
 
@@ -217,9 +262,9 @@ def _assigned(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def _pack(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows (id, v, cell) as blocks of one cell: cell, its group, dim, ids and components as bytes.
+    """Rows (id, v, cell) as blocks of one part of a cell: cell, part, dim, ids and components as bytes.
 
-    A cell is dealt by hash to as many parts as it needs blocks, so a hot one is many tasks' work.
+    A cell is dealt by hash to as many parts as sizes (cell, parts) say, so a hot one is many tasks' work.
     """
 
     @frugal
@@ -232,7 +277,7 @@ def _pack(rows: DataFrame, sizes: DataFrame) -> DataFrame:
             held.clear()
             order = np.argsort(ids, kind="stable")
             return pa.RecordBatch.from_arrays(
-                [pa.array([now[0]]), pa.array([now[1]]), pa.array([now[0] // CELLS]), pa.array([ids[order].tobytes()]), pa.array([m[order].astype(np.float64).tobytes()])], names=["cell", "part", "dim", "ids", "m"])
+                [pa.array([now[0]]), pa.array([now[1]]), pa.array([now[0] // CELLS]), pa.array([ids[order].tobytes()]), pa.array([_written(m[order])])], names=["cell", "part", "dim", "ids", "m"])
 
         for batch in batches:
             ids, lists, cell, part = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -255,9 +300,59 @@ def _pack(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.select("id", "v", "cell", "part").repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(run, "cell bigint, part bigint, dim bigint, ids binary, m binary")
 
 
+def _written(m: np.ndarray) -> bytes:
+    """Components as two bytes each if all fit, or as doubles."""
+    return m.astype(np.int16 if np.abs(m).max(initial=0) < 2**15 else np.float64).tobytes()
+
+
 def _read(dim: int, ids: bytes, m: bytes) -> tuple[np.ndarray, np.ndarray]:
     own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(m, np.float64).reshape(len(own), dim)
+    return own, np.frombuffer(m, np.int16 if len(m) == 2 * dim * len(own) else np.float64).reshape(len(own), dim).astype(np.float64)
+
+
+ASK = "cell bigint, dim bigint, ids binary, m binary, floors binary"
+
+
+def _meeting(data: DataFrame, asked: DataFrame, tasks: int, k: int, found: Callable[[int, int, Search], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``found`` says of searches of blocks of queries in all data of their (cell, part).
+
+    A part's data come to its task first and are held, with trees that are built once; the queries
+    follow, with their floors, and are searched ASKED at a time.
+    """
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, trees, waiting = None, [], [], []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                trees.extend((ids, points, cover_tree(points, leaf=WIDE)) for ids, points in held)
+                held.clear()
+                ids, points, low = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                waiting.clear()
+                search = Search(ids, points, k, low)
+                for block in trees:
+                    search.meet(*block)
+                yield from found(now[0], now[2], search)
+
+        for batch in batches:
+            for cell, part, dim, ids, m, low in zip(*(batch.column(i) for i in range(6)), strict=True):
+                key = cell.as_py(), part.as_py(), dim.as_py()
+                if key != now:
+                    yield from flush()
+                    now, held, trees = key, [], []
+                own = _read(key[2], ids.as_py(), m.as_py())
+                if low.is_valid:
+                    waiting.append((*own, np.frombuffer(low.as_py(), np.int64) if len(low.as_py()) else np.full(len(own[0]), _NONE)))
+                    if sum(len(w[0]) for w in waiting) >= ASKED:
+                        yield from flush()
+                else:
+                    held.append(own)
+        yield from flush()
+
+    columns = ["cell", "part", "dim", "ids", "m"]
+    both = data.select(*columns, F.lit(None).cast("binary").alias("floors")).unionByName(asked.select(*columns, "floors"))
+    return both.repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", F.col("floors").isNotNull()).mapInArrow(run, schema)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -270,11 +365,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     n = rows.count()
     pivots = _pivots(rows, n)
     placed = settle(_assigned(rows, pivots))
-    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
-    data = settle(_pack(placed.select("id", "v", "cell"), cells.select("cell", F.ceil(F.col("n") / BLOCK).alias("parts"))).withColumn("block", F.monotonically_increasing_id()))
+    own = max(BLOCK, min(HELD, -(-n // SHARE)))
+    cells = settle(placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).withColumn("parts", F.ceil(F.col("n") / own)))
+    tasks = max(1, min(TASKS, 2 * (cells.agg(F.sum("parts")).collect()[0][0] or 0)))
+    data = settle(_pack(placed.select("id", "v", "cell"), cells.select("cell", "parts")))
     asked = settle(placed.where("query").select("id", "v", "cell").distinct())
-    queries = settle(_pack(asked, asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))).withColumn("q", F.monotonically_increasing_id()))
-    queries = queries.select("q", "dim", F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
+    queries = settle(_pack(asked, asked.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))))
     # cells of the lengths in the sample, at most CELLS each: what prunes whole cells
     around = {dim: (m, np.linalg.norm(m, axis=1), np.zeros(len(m)), np.full(len(m), -1, np.int64)) for dim, m in pivots.items()}
     known = placed.sparkSession.createDataFrame([(int(dim),) for dim in pivots], "dim bigint")
@@ -283,63 +379,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
         around[dim][2][nth], around[dim][3][nth] = r["radius"], r["cell"]
     plan = data.sparkSession.sparkContext.broadcast(around)
 
-    def reach(search: Search, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        """The data cells of a length and what each can give to a block of queries."""
-        if dim not in plan.value:
-            return np.array([dim * CELLS]), np.array([np.inf])
-        m, norms, radii, names = plan.value[dim]
-        there = names >= 0
-        return names[there], search._bounds(search.tree.centre, search.tree.radius, m[there], norms[there], radii[there])
-
-    @frugal
-    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = []
-            for dim, ids, m in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                names, most = reach(Search(*_read(dim, ids, m), k), dim)
-                best.append(int(names[most.argmax()]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.int64())], names=[*batch.schema.names, "cell"])
-
-    shape = "q bigint, dim bigint, q_ids binary, q_m binary"
-    first = data.withColumn("nth", F.row_number().over(Window.partitionBy("cell", "part").orderBy("block"))).where("part = 0 and nth = 1").select("cell", "ids", "m")
-
-    @frugal
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q, dim, q_ids, q_m, ids, m in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                search = Search(*_read(dim, q_ids, q_m), k)
-                own = _read(dim, ids, m)
-                search.meet(*own, cover_tree(own[1]))
-                search.floors = np.maximum(search.score[:, -1], _NONE)
-                names, most = reach(search, dim)
-                worst = search.floors.min()
-                go = names[most >= worst] if worst != _NONE else names
-                yield pa.RecordBatch.from_arrays([pa.array([q]), pa.array([dim]), pa.array([q_ids]), pa.array([q_m]), pa.array([search.floors.tobytes()]), pa.array([go.tolist()], pa.list_(pa.int64()))], names=["q", "dim", "q_ids", "q_m", "floors", "go"])
-
-    begun = queries.mapInArrow(home, f"{shape}, cell bigint").join(first, "cell").select("q", "dim", "q_ids", "q_m", "ids", "m").mapInArrow(floors, f"{shape}, floors binary, go array<bigint>")
-    groups = data.select("cell", F.floor(F.col("part") / GROUP).alias("g")).distinct()
-    going = begun.withColumn("cell", F.explode("go")).drop("go").join(groups, "cell")
-    pairs = going.join(data.withColumn("g", F.floor(F.col("part") / GROUP)).drop("dim", "part"), ["cell", "g"]).select("q", "dim", "q_ids", "q_m", "floors", "block", "ids", "m")
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search, now, trees = None, None, {}
-        for batch in batches:
-            for q, dim, q_ids, q_m, low, b, ids, m in zip(*(batch.column(i) for i in range(8)), strict=True):
-                if (key := q.as_py()) != now:
-                    if search:
-                        yield _best(search)
-                    search, now = Search(*_read(dim.as_py(), q_ids.as_py(), q_m.as_py()), k, np.frombuffer(low.as_py(), np.int64)), key
-                if (key := b.as_py()) not in trees:
-                    if len(trees) > 2 * GROUP:
-                        trees.clear()
-                    own = _read(dim.as_py(), ids.as_py(), m.as_py())
-                    trees[key] = (*own, cover_tree(own[1]))
-                search.meet(*trees[key])
-        if search:
-            yield _best(search)
-
-    found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    def floors(cell: int, dim: int, search: Search) -> Iterator[pa.RecordBatch]:
+        """The queries again, for each cell those that its bound doesn't rule out, with what they have reached."""
+        low = search.worst()
+        names, reached = [cell], np.ones((len(low), 1), bool)  # lengths without centres have one cell
+        if dim in plan.value:
+            m, norms, radii, names = (x[plan.value[dim][3] >= 0] for x in plan.value[dim])
+            reached = ~(_bounds(search.points, m, norms, radii) < low[:, None])
+        for name, go in zip(names, reached.T, strict=True):
+            if go.any():
+                yield pa.RecordBatch.from_arrays([pa.array([int(name)]), pa.array([dim]), pa.array([search.ids[go].tobytes()]), pa.array([_written(search.points[go])]), pa.array([low[go].tobytes()])], names=["cell", "dim", "ids", "m", "floors"])
+
+    parts = cells.select("cell", "parts")
+    first = queries.join(parts, "cell").withColumn("part", F.col("part") % F.col("parts")).withColumn("floors", F.lit(bytearray()))
+    met = data.join(first.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
+    going = _meeting(met, first, tasks, k, floors, ASK).join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    found = _meeting(data, going, tasks, k, lambda cell, dim, search: iter([_best(search)]), "query_id bigint, vec_id bigint, score bigint")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

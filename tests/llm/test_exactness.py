@@ -236,6 +236,46 @@ def test_cells_are_bounded_and_rows_dealt(spark, monkeypatch):
         assert [(r[2], r[3]) for r in rows] == [(i, -s) for s, i in best]
 
 
+def test_many_queries_are_few_products(monkeypatch):
+    rng = np.random.default_rng(6)
+    points = np.floor(rng.normal(size=(4000, 64)) * 32)
+    ids, asked, made, real = np.arange(4000) // 2, np.arange(0, 4000, 4), [], covertree._products
+    monkeypatch.setattr(covertree, "_products", lambda *a: made.append(1) or real(*a))
+    search = covertree.Search(ids[asked], points[asked], 5)
+    search.meet(ids, points, covertree.cover_tree(points))
+    assert len(made) < 100  # nothing can be pruned here, and a product of matrices has some 2^20 pairs
+    score = points[asked] @ points.T
+    score[ids[asked][:, None] == ids] = -np.inf
+    for k in range(len(asked)):
+        best = np.lexsort((ids, -score[k]))[:5]
+        assert search.found[k].tolist() == ids[best].tolist() and search.score[k].tolist() == score[k][best].astype(int).tolist()
+
+
+def test_trees_are_built_once(spark, monkeypatch, tmp_path):
+    log, real = str(tmp_path / "trees"), covertree.cover_tree
+
+    def logged(points, *rest, **more):
+        if not rest:  # a whole tree
+            with open(log, "a") as file:
+                file.write(f"{len(points)}\n")
+        return real(points, *rest, **more)
+
+    monkeypatch.setattr(covertree, "BLOCK", 64)
+    monkeypatch.setattr(covertree, "cover_tree", logged)
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(3000)]
+    got = covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0).collect()
+    ints = np.floor(256 * np.array([v for _, v in rows]))
+    want = []
+    for q in range(0, 3000, 5):
+        score = ints @ ints[q]
+        score[q] = -np.inf
+        want += [(q, n, int(i), int(score[i])) for n, i in enumerate(np.lexsort((np.arange(3000), -score))[:5], 1)]
+    assert sorted(map(tuple, got)) == want
+    with open(log) as file:
+        assert sum(map(int, file)) <= 3 * len(rows)  # the sample, and each row at most once for floors and once for results
+
+
 # ---- resampling
 
 
