@@ -29,6 +29,15 @@ def test_tall_images_are_files_by_bands(spark, name, height, maxval):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("name, width, maxval, depth", [("ilbm", 2, 255, 3), ("mda", 8, 1, 1), ("pcx", 2, 255, 1), ("leaf", 2, 255, 1), ("sgi", 2, 255, 1), ("sir", 2, 255, 1), ("sir", 2, 255, 3)])
+def test_heights_that_formats_cannot_name(spark, name, width, maxval, depth):
+    r = tall(spark, 66000, width, maxval)
+    r = r.with_cell(F.array(*((F.col("s")[0] * (k + 1)) % (maxval + 1) for k in range(depth))), depth=depth)
+    got = raster_queries._there_and_back(r, name).select("row", "col", F.slice("s", 1, depth).alias("s"))
+    want = r.px.select("row", "col", "s")
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_bands_without_cells_are_written(spark):
     r = tall(spark, 600, 3, keep="id < 30 or id > 1700")
     got = formats.decoded(formats.encoded(r, "png", 192), "png").collect()
