@@ -38,6 +38,17 @@ def test_heights_that_formats_cannot_name(spark, name, width, maxval, depth):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
+@pytest.mark.parametrize("name, maxval, times", [("bmp", 255, 1), ("pfm", 255, 257), ("xwd", 255, 1), ("png", 255, 1), ("tiff", 255, 1), ("icon", 1, 1), ("g3", 1, 1)])
+def test_tasks_hold_a_band_of_an_image(spark, name, maxval, times):
+    r = tall(spark, 9000, 16, maxval)
+    rows = formats.band_rows(r)
+    files = formats.encoded(r, name, rows)
+    assert sorted(f["top"] for f in files.select("top").collect()) == list(range(0, 9000, rows)) and rows * r.width * r.depth <= formats.FILE_CELLS
+    got = raster_queries._there_and_back(r, name).select("row", "col", F.col("s")[0].alias("v"))
+    want = r.px.select("row", "col", (F.col("s")[0] * times).alias("v"))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
 def test_bands_without_cells_are_written(spark):
     r = tall(spark, 600, 3, keep="id < 30 or id > 1700")
     got = formats.decoded(formats.encoded(r, "png", 192), "png").collect()
