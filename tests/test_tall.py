@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom import raster
 from gridloom.operators import geometry, scene, sequential
 from gridloom.plans import raster_queries
 from gridloom.raster import Raster
@@ -110,6 +111,24 @@ def test_only_what_an_image_covers_is_joined(spark, monkeypatch, move):
     assert sum(joined) <= 12 * out.height and sum(joined) + sum(rest) == out.height * out.width
 
 
+@pytest.mark.parametrize("height, move", [(4000, lambda r: geometry.rotate(r, 30))])
+def test_canvases_are_small_in_files(spark, tmp_path, height, move):
+    out = move(tall(spark, height, 3))
+    out.flat().write.parquet(str(tmp_path / "out"))
+    got, size = spark.read.parquet(str(tmp_path / "out")), sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert got.count() == out.height * out.width > 5_000_000 and size < 0.4 * out.height * out.width
+
+
+@pytest.mark.parametrize("block", [(1, 1), (5, 3), (64, 2)])
+@pytest.mark.parametrize("first, last", [(4, 6), (0, 12), (7, 6), (-3, 2), (11, 20), (15, 20)])
+def test_cells_beyond_a_span_by_blocks(spark, monkeypatch, block, first, last):
+    monkeypatch.setattr(raster, "BLOCK", block)
+    span = F.col("row") % 2 + first, F.lit(last)
+    within, beyond = (sorted((x["row"], x["col"]) for x in raster.full_grid(tall(spark, 2, 2), 7, 13, span, beyond=b).collect()) for b in (False, True))
+    assert within == [(row, col) for row in range(7) for col in range(13) if row % 2 + first <= col <= last]
+    assert sorted(within + beyond) == [(row, col) for row in range(7) for col in range(13)]
+
+
 @pytest.mark.parametrize("move", [lambda r: geometry.jitter(r, 3, 5), lambda r: geometry.spread(r, 2, 5), lambda r: geometry.sample(r, 2 * r.height, 2)])
 def test_grids_are_not_broadcast(spark, move):
     got = move(tall(spark, 3000, 3)).px
