@@ -111,7 +111,7 @@ def test_only_what_an_image_covers_is_joined(spark, monkeypatch, move):
     assert sum(joined) <= 12 * out.height and sum(joined) + sum(rest) == out.height * out.width
 
 
-@pytest.mark.parametrize("height, move", [(4000, lambda r: geometry.rotate(r, 30))])
+@pytest.mark.parametrize("height, move", [(4000, lambda r: geometry.rotate(r, 30)), (200, lambda r: geometry.shear(r, 89.6))])
 def test_canvases_are_small_in_files(spark, tmp_path, height, move):
     out = move(tall(spark, height, 3))
     out.flat().write.parquet(str(tmp_path / "out"))
